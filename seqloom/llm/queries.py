@@ -8,11 +8,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.functions.letters import letters, name_fields
+from seqloom.llm.components import components
 from seqloom.llm.copies import collapse, copies
+from seqloom.llm.forest import expand_copies, near_pairs
 from seqloom.llm.pieces import split_items
 from seqloom.session import table
 
 
+def _letters(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """The sequences of each table that holds near-duplicates, as letters."""
+    ids = {"fasta": "fasta_id", "fastq": "read_row_id"}
+    return {t: table(spark, d, t).select(F.col(i).alias("id"), letters(F.col("sequence")).alias("letters")) for t, i in ids.items()}
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    found = [expand_copies(near_pairs(x, "id", "letters"), x, "id", "letters").select(F.lit(t).alias("src"), "id_a", "id_b") for t, x in _letters(spark, d).items()]
+    return found[0].unionByName(found[1])
+
+
+def p2_groups(spark: SparkSession, d: str) -> DataFrame:
+    """The groups that the pairs of distinct texts form: each representative with its group, the smallest id in it, and its links."""
+    out = []
+    for t, x in _letters(spark, d).items():
+        pairs = near_pairs(x, "id", "letters")
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
+        out.append(components(pairs, "a", "b").join(ends, "node").select(F.lit(t).alias("src"), F.col("node").alias("rep_id"), F.col("component").alias("group_id"), "n_links"))
+    return out[0].unionByName(out[1])
+
+
 def _layouts(spark: SparkSession, d: str) -> DataFrame:
     """Ids and canonical texts of both tables that hold records in many layouts."""
     fasta = table(spark, d, "fasta").select(F.lit("fasta").alias("src"), F.col("fasta_id").alias("id"), letters(F.col("sequence")).alias("seq"), name_fields(F.col("name")).alias("name"))
@@ -53,7 +76,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return _pieces(spark, d).where("piece_no = 0").select("src", "item_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p4_found, p4_pieces, p6_found, p6_records)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_groups, p4_found, p4_pieces, p6_found, p6_records)}
 
 _CANON = """with t as (
   select 'fasta' src, fasta_id id, upper(regexp_replace(sequence, '[^A-Za-z]', '', 'g')) seq,
