@@ -11,6 +11,7 @@ from seqloom.functions.letters import letters, name_fields
 from seqloom.llm.components import components
 from seqloom.llm.copies import collapse, copies
 from seqloom.llm.forest import expand_copies, near_pairs
+from seqloom.llm.names import link_mentions, mention_pairs
 from seqloom.llm.pieces import split_items
 from seqloom.session import table
 
@@ -76,7 +77,17 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return _pieces(spark, d).where("piece_no = 0").select("src", "item_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_groups, p4_found, p4_pieces, p6_found, p6_records)}
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return mention_pairs(link_mentions(table(spark, d, "genbank_refs")))
+
+
+def p7_entities(spark: SparkSession, d: str) -> DataFrame:
+    """Entities with the number of their mentions and spellings."""
+    linked = link_mentions(table(spark, d, "genbank_refs"))
+    return linked.groupBy("kind", "entity").agg(F.count(F.lit(1)).alias("n_mentions"), F.countDistinct("raw").alias("n_spellings"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_groups, p4_found, p4_pieces, p6_found, p6_records, p7_found, p7_entities)}
 
 _CANON = """with t as (
   select 'fasta' src, fasta_id id, upper(regexp_replace(sequence, '[^A-Za-z]', '', 'g')) seq,
