@@ -11,8 +11,11 @@ from seqloom.functions.letters import letters, name_fields
 from seqloom.llm.components import components
 from seqloom.llm.copies import collapse, copies
 from seqloom.llm.forest import expand_copies, near_pairs
+from seqloom.llm.mixing import mix, share_report
 from seqloom.llm.names import link_mentions, mention_pairs
+from seqloom.llm.packing import fill_report, pack
 from seqloom.llm.pieces import split_items
+from seqloom.llm.truncation import find_truncated, truncation_rates
 from seqloom.session import table
 
 
@@ -87,7 +90,37 @@ def p7_entities(spark: SparkSession, d: str) -> DataFrame:
     return linked.groupBy("kind", "entity").agg(F.count(F.lit(1)).alias("n_mentions"), F.countDistinct("raw").alias("n_spellings"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_groups, p4_found, p4_pieces, p6_found, p6_records, p7_found, p7_entities)}
+def _targets(spark: SparkSession, d: str) -> dict[str, tuple[float, int]]:
+    """mix_targets: a fixed table of a row for each source."""
+    return {r.source: (r.target_share, r.max_repeats) for r in table(spark, d, "mix_targets").collect()}
+
+
+def p8_pack(spark: SparkSession, d: str) -> DataFrame:
+    shares = {s: x for s, (x, _) in _targets(spark, d).items()}
+    return pack(table(spark, d, "documents"), capacity=_limits(spark, d)["container_tokens"], targets=shares)
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    return fill_report(p8_pack(spark, d), _limits(spark, d)["container_tokens"])
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mix(table(spark, d, "documents"), _targets(spark, d))
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return share_report(spark, p9_mix(spark, d), _targets(spark, d))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return find_truncated(table(spark, d, "documents")).where("cut").select("doc_id")
+
+
+def p10_rates(spark: SparkSession, d: str) -> DataFrame:
+    return truncation_rates(find_truncated(table(spark, d, "documents")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_groups, p4_found, p4_pieces, p6_found, p6_records, p7_found, p7_entities, p8_pack, p8_fill, p9_mix, p9_shares, p10_found, p10_rates)}
 
 _CANON = """with t as (
   select 'fasta' src, fasta_id id, upper(regexp_replace(sequence, '[^A-Za-z]', '', 'g')) seq,
