@@ -345,3 +345,20 @@ def locate_in(seq: Column, index: Column, pattern: str) -> Column:
         return pd.Series([search(x, a) for x, a in zip(s, idx)], dtype=object)
 
     return run(seq, index)
+
+
+def mash_similarity(a: Column, b: Column) -> Column:
+    """Hashes that two sorted sketches share, repeats counted, over the size of the smaller; 1 minus it is the distance."""
+
+    @F.pandas_udf("double")
+    def run(x: pd.Series, y: pd.Series) -> pd.Series:
+        def one(p, q):
+            if p is None or q is None or not len(p) or not len(q):
+                return None
+            (u, m), (v, n) = (np.unique(np.asarray(z), return_counts=True) for z in (p, q))
+            both, i, j = np.intersect1d(u, v, return_indices=True)
+            return float(np.minimum(m[i], n[j]).sum()) / min(len(p), len(q))
+
+        return pd.Series([one(p, q) for p, q in zip(x, y)], dtype=float)
+
+    return run(a, b)

@@ -1,2 +1,401 @@
-QUERIES = {}
-ORACLE = {}
+"""Queries of the sequence operators over whole tables, and the SQL that says the same.
+
+Sequences are the letters of fasta.sequence (and of features.sequence for coding regions); oligos are 32-mers derived from the keys of supplier.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from seqloom.functions import kernels as K
+from seqloom.functions import sequence as S
+from seqloom.functions.genetic_code import STANDARD, genetic_code
+from seqloom.functions.letters import letters
+from seqloom.operators import codons as C
+from seqloom.operators import primers as P
+from seqloom.operators import synthesis as Y
+from seqloom.operators.cloning import ENZYMES, digest_parts, golden_gate
+from seqloom.operators.fold import fold
+from seqloom.operators.rejects import parse_lines, valid_rows
+from seqloom.session import table
+from seqloom.sources.writers import fasta_text, fastq_text, pileup_text
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+
+_SEQ = "with s as (select fasta_id id, upper(regexp_replace(sequence, '[^A-Za-z]', '', 'g')) seq from fasta where regexp_matches(sequence, '[A-Za-z]')) "
+_DNA = "with s as (select * from (select fasta_id id, upper(regexp_replace(sequence, '[^A-Za-z]', '', 'g')) seq from fasta) where regexp_full_match(seq, '[ACGT]+')) "
+_OLIGO = "with s as (select s_suppkey id, translate(md5(cast(s_suppkey as varchar)), '0123456789abcdef', 'ACGTACGTACGTACGT') seq from supplier) "
+_CDS = "with s as (select * from (select feature_id id, upper(regexp_replace(sequence, '[^A-Za-z]', '', 'g')) seq from features where feature_type = 'CDS') where seq <> '' and length(seq) % 3 = 0) "
+
+
+def sequences(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "fasta").select(F.col("fasta_id").alias("id"), letters(F.col("sequence")).alias("seq")).where("seq != ''")
+
+
+def dna(spark: SparkSession, d: str) -> DataFrame:
+    return sequences(spark, d).where(S.is_dna("seq"))
+
+
+def oligos(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.translate(F.md5(F.col("s_suppkey").cast("string")), "0123456789abcdef", "ACGTACGTACGTACGT").alias("seq"))
+
+
+def coding(spark: SparkSession, d: str) -> DataFrame:
+    f = table(spark, d, "features").select(F.col("feature_id").alias("id"), "feature_type", letters(F.col("sequence")).alias("sequence"))
+    return C.coding_regions(f).select("id", F.col("sequence").alias("seq"))
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def scalar(name: str, of: Callable[[Column], Column], source=sequences, sql: str | None = None, base: str = _SEQ) -> None:
+    """A query that projects one expression over a table's sequences."""
+    QUERIES[name] = lambda spark, d: source(spark, d).select("id", of(F.col("seq")).alias("value"))
+    if sql:
+        ORACLE[name] = f"{base}select id, {sql} as value from s"
+
+
+_IUPAC = f"[{S.DNA_CODES}]*"
+_COMP = f"translate(seq, '{S.DNA_CODES}', '{S.DNA_COMPLEMENTS}')"
+_RNA = f"translate(replace(seq, 'T', 'U'), '{S.RNA_CODES}', '{S.RNA_COMPLEMENTS}')"
+_RNA_OK = f"regexp_full_match(replace(seq, 'T', 'U'), '[{S.RNA_CODES}]*')"
+_OK = f"regexp_full_match(seq, '{_IUPAC}')"
+as_rna = lambda s: F.translate(s, "T", "U")
+
+scalar("reverse", S.reverse, sql="reverse(seq)")
+scalar("complement", S.complement, sql=f"case when {_OK} then {_COMP} end")
+scalar("reverse_complement", S.reverse_complement, sql=f"case when {_OK} then reverse({_COMP}) end")
+scalar("complement_rna", lambda s: S.complement_rna(as_rna(s)), sql=f"case when {_RNA_OK} then {_RNA} end")
+scalar("reverse_complement_rna", lambda s: S.reverse_complement_rna(as_rna(s)), sql=f"case when {_RNA_OK} then reverse({_RNA}) end")
+scalar("complement_base", lambda s: S.complement_base(F.substring(s, 1, 1)), sql=f"case when regexp_full_match(substr(seq, 1, 1), '{_IUPAC}') then {_COMP.replace('(seq', '(substr(seq, 1, 1)')} else ' ' end")
+scalar("complement_base_rna", lambda s: S.complement_base(F.substring(as_rna(s), 1, 1), rna=True), sql=f"case when regexp_full_match(substr(replace(seq, 'T', 'U'), 1, 1), '[{S.RNA_CODES}]*') then {_RNA.replace('replace(seq', 'replace(substr(seq, 1, 1)')} else ' ' end")
+scalar("is_palindromic", lambda s: S.is_palindromic(F.substring(s, 1, 4)), sql=f"case when regexp_full_match(substr(seq, 1, 4), '{_IUPAC}') then substr(seq, 1, 4) = reverse({_COMP.replace('(seq', '(substr(seq, 1, 4)')}) else false end")
+scalar("gc_content", lambda s: F.round(S.gc_content(s), 9), sql="round(len(regexp_extract_all(seq, '[GC]')) / length(seq)::double, 9)")
+scalar("is_dna", S.is_dna, sql="regexp_full_match(seq, '[ACGT]*')")
+scalar("is_rna", lambda s: S.is_rna(as_rna(s)), sql="regexp_full_match(replace(seq, 'T', 'U'), '[ACGU]*')")
+scalar("alphabet_encode", lambda s: S.encode(F.substring(s, 1, 1), S.extend(S.ALPHABETS["DNA"], ["N"])), sql="nullif(strpos('ACGTN', substr(seq, 1, 1)), 0) - 1")
+scalar("alphabet_decode", lambda s: S.decode(F.length(s) % 5, S.ALPHABETS["DNA"]), sql="case length(seq) % 5 when 0 then 'A' when 1 then 'C' when 2 then 'G' when 3 then 'T' end")
+scalar("marmur_doty", S.marmur_doty, sql="2.0::double * len(regexp_extract_all(seq, '[AT]')) + 4 * len(regexp_extract_all(seq, '[GC]')) - 7")
+
+
+def _tenths(seq: str, i: int) -> str:
+    cases = " ".join(f"when '{p}' then {x[i]}" for pairs, *x in S.NEAREST_NEIGHBOURS for p in pairs)
+    return f"coalesce(list_sum(list_transform(range(1, length({seq})), lambda i: case substr({seq}, i, 2) {cases} else 0 end)), 0)"
+
+
+def _own(seq: str) -> str:
+    return f"{seq} = reverse(translate({seq}, '{S.DNA_CODES}', '{S.DNA_COMPLEMENTS}'))"
+
+
+def _thermo(seq: str, primer: float, salt: float) -> tuple[str, str, str]:
+    start = [f"({S.INITIATION[i]} + case when {_own(seq)} then {S.SYMMETRY[i]} else 0 end + case when right({seq}, 1) in ('A', 'T') then {S.TERMINAL_AT[i]} else 0 end + {_tenths(seq, i)}) / 10.0::double" for i in (0, 1)]
+    ds = f"({start[1]} + 0.368 * (length({seq}) - 1) * ln({salt}::double))"
+    return f"({start[0]}) * 1000 / ({ds} + {S.GAS_CONSTANT} * ln({primer}::double / case when {_own(seq)} then 1.0 else 4.0 end)) - {S.KELVIN}", f"({start[0]})", ds
+
+
+QUERIES["santa_lucia"] = lambda spark, d: sequences(spark, d).withColumn("t", S.santa_lucia("seq", 0.1e-6, 0.35)).select("id", *(F.round(f"t.{x}", 5).alias(x) for x in ("melting_temp", "dh", "ds")))
+ORACLE["santa_lucia"] = _SEQ + "select id, round({}, 5) melting_temp, round({}, 5) dh, round({}, 5) ds from s".format(*_thermo("seq", 0.1e-6, 0.35))
+scalar("melting_temp", lambda s: F.round(S.melting_temp(s), 5), oligos, f"round({_thermo('seq', 500e-9, 50e-3)[0]}, 5)", _OLIGO)
+scalar("count_pattern", lambda s: S.count_overlapping(s, "AA"), sql="len(list_filter(range(1, length(seq)), lambda i: substr(seq, i, 2) = 'AA'))")
+scalar("locate_pattern", lambda s: F.array_join(S.locate_all(s, "CACA").cast("array<string>"), ","), oligos, "array_to_string(list_transform(list_filter(range(1, 30), lambda i: substr(seq, i, 4) = 'CACA'), lambda i: i - 1), ',')", _OLIGO)
+scalar("extract", lambda s: S.extract(s, 100, 130), sql="case when length(seq) >= 130 then substr(seq, 101, 30) end")
+scalar("sequence_length", F.length, sql="cast(length(seq) as integer)")
+scalar("burrows_wheeler", K.bwt, oligos, "array_to_string(list_transform(list_sort(list_transform(range(1, length(seq) + 2), lambda i: substr(seq || '$', i) || substr(seq, 1, i - 1))), lambda r: right(r, 1)), '')", _OLIGO)
+scalar("suffix_array_locate", lambda s: F.array_join(F.array_sort(K.locate_in(s, K.suffix_array(s), "GT")).cast("array<string>"), ","), oligos, "array_to_string(list_transform(list_filter(range(1, 32), lambda i: substr(seq, i, 2) = 'GT'), lambda i: i - 1), ',')", _OLIGO)
+_ROT = "list_min(list_transform(range(1, length({0}) + 1), lambda i: substr({0} || {0}, i, length({0}))))"
+scalar("canonical_rotation", K.canonical_rotation, oligos, _ROT.format("seq"), _OLIGO)
+scalar("canonical_circular", lambda s: F.md5(K.canonical_rotation(s, double=True)), oligos, f"md5(least({_ROT.format('seq')}, {_ROT.format(f'reverse({_COMP})')}))", _OLIGO)
+scalar("seqhash", lambda s: K.seqhash(s, "DNA", False, True), dna)
+scalar("seqhash_circular", lambda s: K.seqhash(s, "DNA", True, True), dna)
+scalar("mash_sketch", lambda s: K.mash_sketch(s, 17, 50))
+_AA = "substr('{}', 16 * (strpos('TCAG', substr(seq, 3 * i + 1, 1)) - 1) + 4 * (strpos('TCAG', substr(seq, 3 * i + 2, 1)) - 1) + strpos('TCAG', substr(seq, 3 * i + 3, 1)), 1)"
+for _n in (1, 11, 2):
+    _code = genetic_code(_n)
+    scalar(f"translate_table_{_n}", lambda s, c=_code: S.translate_dna(s, c), dna, f"array_to_string(list_transform(range(0, length(seq) // 3), lambda i: {_AA.format(''.join(_code.values()))}), '')", _DNA)
+assert "".join(genetic_code(1).values()) == STANDARD
+scalar("gc_fix_suggestion", lambda s: F.to_json(S.gc_fix_suggestion(s, 0.52, 0.48)), dna)
+ORACLE["gc_fix_suggestion"] = _DNA + ", g as (select *, len(regexp_extract_all(seq, '[GC]')) / length(seq)::double gc from s) select id, case when gc > 0.52 then '{\"bias\":\"AT\",\"quantity\":' || cast(floor((gc - 0.52) * length(seq)) + 1 as integer) || '}' when gc < 0.48 then '{\"bias\":\"GC\",\"quantity\":' || cast(floor((0.48 - gc) * length(seq)) + 1 as integer) || '}' end as value from g"
+scalar("fold_dna", lambda s: F.to_json(fold(s, 37.0)), lambda spark, d: table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.translate(F.md5(F.col("n_nationkey").cast("string")), "0123456789abcdef", "ACGTACGTACGTACGT").alias("seq")))
+
+
+@query(_OLIGO.replace("'ACGTACGTACGTACGT') seq", "'ACGTRYMKSWHBVDNA') whole") + ", c(code, bases) as (values " + ", ".join(f"('{k}', '{v}')" for k, v in S.IUPAC.items()) + """),
+  b as (select id, substr(whole, 1, 6) seq from s),
+  r as (with recursive r(id, seq, n, place, variant) as (select id, seq, 0, 0::bigint, '' from b
+    union all select id, seq, n + 1, place * length(bases) + j - 1, variant || substr(bases, cast(j as integer), 1) from r join c on code = substr(seq, n + 1, 1), unnest(range(1, length(bases) + 1)) u(j) where n < 6)
+    select * from r)
+  select id, cast(place as integer) place, variant from r where n = 6""")
+def iupac_variants(spark, d):
+    """Six-letter ambiguous primers, derived from the keys of supplier, expanded."""
+    six = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.substring(F.translate(F.md5(F.col("s_suppkey").cast("string")), "0123456789abcdef", "ACGTRYMKSWHBVDNA"), 1, 6).alias("seq"))
+    return six.select("id", F.posexplode(S.iupac_variants("seq")).alias("place", "variant"))
+
+
+_KMERS = _DNA + ", k as (select id, substr(seq, cast(i as integer), {0}) kmer from s, unnest(range(1, length(seq) - {0} + 1)) u(i)) "
+
+
+@query(_KMERS.format(6) + "select kmer, count(*) n from k group by kmer")
+def kmer_counts(spark, d):
+    return dna(spark, d).select(F.explode(S.kmers("seq", 6)).alias("kmer")).groupBy("kmer").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(_KMERS.format(6) + f"select least(kmer, reverse(translate(kmer, '{S.DNA_CODES}', '{S.DNA_COMPLEMENTS}'))) kmer, count(*) n from k group by 1")
+def canonical_kmer_counts(spark, d):
+    return dna(spark, d).select(F.explode(S.canonical_kmers("seq", 6)).alias("kmer")).groupBy("kmer").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(_KMERS.format(10) + f", c as (select id, least(kmer, reverse(translate(kmer, '{S.DNA_CODES}', '{S.DNA_COMPLEMENTS}'))) kmer, count(*) n from k group by all) select id, kmer, n from c where n > 1")
+def repeated_kmers(spark, d):
+    """Ten-letter words that a sequence holds more than once on either strand."""
+    words = dna(spark, d).select("id", F.explode(S.canonical_kmers("seq", 10)).alias("kmer"))
+    return words.groupBy("id", "kmer").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
+_FREQ = ", f as (select substr(seq, cast(3 * i + 1 as integer), 3) triplet, count(*) n from s, unnest(range(0, length(seq) // 3)) u(i) group by 1) "
+_DIM = ", dim as (select substr('TCAG', cast(a as integer), 1) || substr('TCAG', cast(b as integer), 1) || substr('TCAG', cast(c as integer), 1) triplet, substr('" + STANDARD + "', cast(16 * (a - 1) + 4 * (b - 1) + c as integer), 1) letter from range(1, 5) x(a), range(1, 5) y(b), range(1, 5) z(c)) "
+_WEIGHTS = ", w as (select letter, triplet, coalesce(n, 0) weight from dim left join f using (triplet)) "
+
+
+@query(_CDS + _FREQ + "select * from f")
+def codon_frequency(spark, d):
+    return C.codon_frequency(coding(spark, d), F.col("seq"))
+
+
+@query(_CDS + _FREQ + _DIM + _WEIGHTS + "select * from w")
+def codon_weights(spark, d):
+    return C.weigh(C.codon_dim(spark), codon_frequency(spark, d))
+
+
+@query(_CDS + "select substr(seq, 1, 3) start_codon, count(*) n from s group by 1")
+def start_codon_counts(spark, d):
+    return C.start_counts(coding(spark, d), F.col("seq"))
+
+
+@query(_CDS + "select id, seq from s")
+def coding_regions(spark, d):
+    return coding(spark, d)
+
+
+def _dna_weights(spark, d):
+    return C.weigh(C.codon_dim(spark), C.codon_frequency(dna(spark, d), F.col("seq")))
+
+
+_TWO = _CDS + _FREQ + _DIM + _WEIGHTS + ", s2 as (select * from (select upper(regexp_replace(sequence, '[^A-Za-z]', '', 'g')) seq from fasta) where regexp_full_match(seq, '[ACGT]+')), f2 as (select substr(seq, cast(3 * i + 1 as integer), 3) triplet, count(*) n from s2, unnest(range(0, length(seq) // 3)) u(i) group by 1), w2 as (select letter, triplet, coalesce(n, 0) weight from dim left join f2 using (triplet)) "
+
+
+@query(_TWO + "select w.letter, w.triplet, w.weight + w2.weight weight from w join w2 using (triplet)")
+def add_codon_tables(spark, d):
+    return C.add_tables(codon_weights(spark, d), _dna_weights(spark, d))
+
+
+@query(_TWO + """, p as (select w.letter, w.triplet, cast(floor(w.weight::double / nullif(sum(w.weight) over (partition by w.letter), 0) * 10000) as integer) p1,
+    cast(floor(w2.weight::double / nullif(sum(w2.weight) over (partition by w.letter), 0) * 10000) as integer) p2 from w join w2 using (letter, triplet))
+  select letter, triplet, case when p1 < 1000 or p2 < 1000 then 0 else cast(floor((p1 + p2) / 2.0) as integer) end weight from p""")
+def compromise_codon_tables(spark, d):
+    return C.compromise(codon_weights(spark, d), _dna_weights(spark, d), 0.1)
+
+
+@query(_CDS + _FREQ + _DIM + _WEIGHTS + """, t as (select *, sum(weight) over (partition by letter) total from w), k as (select letter, triplet, weight from t where weight > 0.1 * total)
+  select letter, triplet, round((sum(weight) over (partition by letter order by triplet) - weight)::double / sum(weight) over (partition by letter), 9) low,
+    round((sum(weight) over (partition by letter order by triplet))::double / sum(weight) over (partition by letter), 9) high from k""")
+def codon_cdf(spark, d):
+    return C.codon_cdf(codon_weights(spark, d))
+
+
+@query(_SEQ + "select id, true as same from s where regexp_full_match(seq, '[ACDEFGHIKLMNPQRSTVWY]+') and not regexp_full_match(seq, '[ACGT]+')")
+def optimize_codons(spark, d):
+    """Proteins written as DNA, and read back."""
+    rows = C.table_rows(_dna_weights(spark, d))
+    p = sequences(spark, d).where(F.col("seq").rlike("^[ACDEFGHIKLMNPQRSTVWY]+$") & ~S.is_dna("seq"))
+    return p.withColumn("cds", C.optimize(F.col("seq"), rows, 7)).select("id", (S.translate_dna("cds", genetic_code(1)) == F.col("seq")).alias("same"))
+
+
+@query("with f as (select feature_id, complement, upper(regexp_replace(g.sequence, '[^A-Za-z]', '', 'g')) p, segments from features x join genbank g using (record_id) where g.sequence is not null and len(segments) > 0), "
+       f"j as (select feature_id, complement, array_to_string(list_transform(segments, lambda g: case when g.complement then reverse(translate(substr(p, g.seg_start + 1, greatest(0, g.seg_end - g.seg_start)), '{S.DNA_CODES}', '{S.DNA_COMPLEMENTS}')) else substr(p, g.seg_start + 1, greatest(0, g.seg_end - g.seg_start)) end), '') s from f) "
+       f"select feature_id, md5(case when complement then reverse(translate(s, '{S.DNA_CODES}', '{S.DNA_COMPLEMENTS}')) else s end) digest from j")
+def feature_sequences(spark, d):
+    """Features of GenBank records cut from their record's letters."""
+    g = table(spark, d, "genbank").where("sequence is not null").select("record_id", letters(F.col("sequence")).alias("p"))
+    f = table(spark, d, "features").where(F.size("segments") > 0).select("feature_id", "record_id", "segments", F.col("complement").alias("turned"))
+    return f.join(g, "record_id").select("feature_id", F.md5(S.feature_sequence("p", "segments", F.coalesce("turned", F.lit(False)))).alias("digest"))
+
+
+_K = "k between 15 and least(length(seq), 200)"
+_DESIGN = _DNA + f""", ends as (select id, 'forward' side, substr(seq, 1, 200) seq from s union all select id, 'reverse', substr(reverse({_COMP}), 1, 200) from s),
+  p as (select id, side, k, substr(seq, 1, cast(k as integer)) x from ends, unnest(range(15, 201)) u(k) where {_K}),
+  t as (select id, side, k, x from p where {_thermo('x', 500e-9, 50e-3)[0]} >= 55.0),
+  m as (select id, side, min_by(x, k) x from t group by id, side)
+  select s.id, a.x forward, b.x reverse from s left join m a on a.id = s.id and a.side = 'forward' left join m b on b.id = s.id and b.side = 'reverse'"""
+
+
+@query(_DESIGN)
+def design_primers(spark, d):
+    return dna(spark, d).withColumn("p", P.design_primers(F.col("seq"), 55.0)).select("id", "p.forward", "p.reverse")
+
+
+@query()
+def design_primers_overhangs(spark, d):
+    return dna(spark, d).withColumn("p", P.design_primers(F.col("seq"), 55.0, "TTATAGGTCTCATACT", "ATGAAGAGACCATATA")).select("id", "p.forward", "p.reverse")
+
+
+@query()
+def pcr_products(spark, d):
+    """Every sequence amplified with its own primers."""
+    made = design_primers(spark, d).where("forward is not null and reverse is not null").join(dna(spark, d), "id").withColumn("primers", F.array("forward", "reverse"))
+    return P.pcr(made, "id", "seq", "primers", 55.0)
+
+
+@query()
+def pcr_circular(spark, d):
+    made = design_primers(spark, d).where("forward is not null and reverse is not null").join(dna(spark, d), "id").withColumn("primers", F.array("forward", "reverse"))
+    return P.pcr(made, "id", "seq", "primers", 55.0, circular=True, check=False)
+
+
+_DIGEST = _DNA + """, sites as (select id, seq, i - 1 + 7 pos, 0 strand from s, unnest(range(1, length(seq) - 4)) u(i) where substr(seq, cast(i as integer), 6) = 'GGTCTC'
+    union all select id, seq, i - 2, 1 from s, unnest(range(1, length(seq) - 4)) u(i) where substr(seq, cast(i as integer), 6) = 'GAGACC'),
+  t as (select * from (select *, row_number() over (partition by id, strand order by pos desc) r from sites) where r > 1 or pos + 5 <= length(seq)),
+  p as (select *, lead(pos) over w nxt, lead(strand) over w nstrand, lag(pos) over w before, row_number() over w k from t window w as (partition by id order by pos, strand)),
+  f as (select id, k, substr(seq, cast(pos + 1 as integer), cast(nxt - pos as integer)) x from p where nxt is not null and strand = 0 and nstrand = 1 and nxt - pos > 8)
+  select id, cast(row_number() over (partition by id order by k) as integer) fragment_no, substr(x, 5, length(x) - 8) fragment, substr(x, 1, 4) forward, right(x, 4) reverse from f"""
+
+
+@query(_DIGEST)
+def digest_directional(spark, d):
+    return digest_parts(dna(spark, d), "id", "seq", ENZYMES["BsaI"])
+
+
+@query()
+def digest_all(spark, d):
+    return digest_parts(dna(spark, d), "id", "seq", ENZYMES["BbsI"], directional=False)
+
+
+@query()
+def digest_circular(spark, d):
+    return digest_parts(dna(spark, d), "id", "seq", ENZYMES["BtgZI"], circular=True)
+
+
+@query(_OLIGO + "select id as reaction, 1 n_constructs, 0 n_loops, 42 size from s")
+def golden_gate_reactions(spark, d):
+    """Three parts a reaction, made from an oligo, with ends that fit in a ring."""
+    ends = ["AATG", "CGAG", "TACT", "AATG"]
+    part = lambda i: F.struct(F.lit(i).alias("part_no"), F.concat(F.lit("TTGGTCTCA" + ends[i]), F.substring("seq", 1 + 10 * i, 10), F.lit(ends[i + 1] + "TGAGACCAA")).alias("sequence"))
+    parts = oligos(spark, d).select(F.col("id").alias("reaction"), F.explode(F.array(part(0), part(1), part(2))).alias("p")).select("reaction", "p.*", F.lit(False).alias("circular"))
+    made = golden_gate(parts, "reaction", "sequence", "circular", ENZYMES["BsaI"], "part_no")
+    return made.select("reaction", F.size("constructs").alias("n_constructs"), F.size("loops").alias("n_loops"), F.length(F.get("constructs", F.lit(0))).alias("size"))
+
+
+def _neighbours(spark, d):
+    o = oligos(spark, d)
+    return o.join(o.select((F.col("id") - 1).alias("id"), F.col("seq").alias("other")), "id")
+
+
+@query()
+def needleman_wunsch(spark, d):
+    return _neighbours(spark, d).withColumn("a", K.alignment(F.col("seq"), F.col("other"))).select("id", "a.*")
+
+
+@query()
+def smith_waterman(spark, d):
+    return _neighbours(spark, d).withColumn("a", K.alignment(F.col("seq"), F.col("other"), K.nuc_4(), local=True)).select("id", "a.*")
+
+
+@query()
+def mash_distance(spark, d):
+    sim = K.mash_similarity(K.mash_sketch(F.col("seq"), 5, 10), K.mash_sketch(F.col("other"), 5, 10))
+    return _neighbours(spark, d).select("id", (1 - sim).alias("distance"))
+
+
+@query()
+def de_bruijn_barcodes(spark, d):
+    sets = {"plain": P.barcodes(20, 6), "gc": P.barcodes_gc(20, 6, 0.25, 0.75), "banned": P.barcodes(20, 6, ["GGTCTC", "GAAGAC"])}
+    return spark.createDataFrame([(k, i, b) for k, v in sets.items() for i, b in enumerate(v)], "kind string, place int, barcode string")
+
+
+_FOURS = _OLIGO + ", o as (select id, j, substr(seq, cast(4 * j + 1 as integer), 4) x from s, unnest(range(0, 8)) u(j)), "
+_COUNT = "case when {0} = reverse(translate({0}, 'ACGT', 'TGCA')) then 0 when {0} = {1} then 1000 when hamming({0}, {1}) = 1 then 2 else 0 end"
+
+
+@query(_FOURS + f"t as (select a.id, a.j, a.x, sum({_COUNT.format('a.x', 'b.x')} + " + _COUNT.format("a.x", "reverse(translate(b.x, 'ACGT', 'TGCA'))") + f") total, any_value({_COUNT.format('a.x', 'a.x')}) good from o a join o b using (id) group by a.id, a.j, a.x) select id, round(product(case when total = good then 1.0 else good / total::double end), 9) as value from t group by id")
+def set_efficiency(spark, d):
+    """Fidelity of the eight four-letter words of each oligo as overhangs of one reaction."""
+    counts = Y.ideal_fidelity()
+
+    @F.pandas_udf("double")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: round(Y.set_efficiency([x[i : i + 4] for i in range(0, 32, 4)], counts), 9))
+
+    return oligos(spark, d).select("id", run("seq").alias("value"))
+
+
+@query()
+def next_overhangs(spark, d):
+    rows = Y.next_overhangs(["ATAA", "AATG"], Y.ideal_fidelity())
+    return spark.createDataFrame([(w, x, w == Y.next_overhang(["ATAA", "AATG"], Y.ideal_fidelity())) for w, x in rows], "overhang string, efficiency double, best boolean")
+
+
+@query()
+def fragment_sequences(spark, d):
+    counts = Y.ideal_fidelity()
+    long = dna(spark, d).where(F.length("seq") >= 200).withColumn("f", Y.fragments(F.col("seq"), 90, 110, counts))
+    return long.select("id", F.size("f.fragments").alias("n_fragments"), F.array_join("f.fragments", "|").alias("fragments"), F.round("f.efficiency", 9).alias("efficiency"), "f.error")
+
+
+@query()
+def fix_coding_sequences(spark, d):
+    rows = C.table_rows(_dna_weights(spark, d))
+    finders = Y.usual_finders(["GAAGAC", "GGTCTC", "GCGATG"])
+    return coding(spark, d).withColumn("f", Y.fixed_cds(F.col("seq"), rows, finders)).select("id", "f.fixed", F.size("f.changes").alias("n_changes"), "f.error")
+
+
+@query(_CDS + "select id, cast((i - 1) // 3 as integer) codon_start, cast((i + 5) // 3 - 1 as integer) codon_end, site from s, unnest(range(1, length(seq) - 4)) u(i), (values ('GGTCTC'), ('GAGACC'), ('GAAGAC'), ('GTCTTC')) v(site) where substr(seq, cast(i as integer), 6) = site")
+def remove_sequence_suggestions(spark, d):
+    """Codons that hold sites of two enzymes, on either strand."""
+    sites = F.explode(F.array(*(F.lit(x) for x in ("GGTCTC", "GAGACC", "GAAGAC", "GTCTTC")))).alias("site")
+    at = coding(spark, d).select("id", "seq", sites).where(F.contains("seq", "site"))
+    places = F.filter(F.sequence(F.lit(0), F.length("seq") - 6), lambda i: F.substring("seq", i + 1, F.lit(6)) == F.col("site"))
+    return at.where(F.length("seq") >= 6).select("id", "site", F.explode(places).alias("i")).select("id", F.floor(F.col("i") / 3).cast("int").alias("codon_start"), (F.floor((F.col("i") + 6) / 3) - 1).cast("int").alias("codon_end"), "site")
+
+
+@query("select read_row_id id, md5('@' || identifier || coalesce(array_to_string(list_transform(list_sort(map_entries(optionals)), lambda e: ' ' || e.key || '=' || e.value), ''), '') || chr(10) || sequence || chr(10) || '+' || chr(10) || quality) digest from fastq")
+def fastq_records(spark, d):
+    t = table(spark, d, "fastq")
+    return t.select(F.col("read_row_id").alias("id"), F.md5(fastq_text(F.col("identifier"), F.col("optionals"), F.col("sequence"), F.col("quality"))).alias("digest"))
+
+
+@query(_SEQ + "select id, md5('>' || id || chr(10) || array_to_string(list_transform(range(0, (length(seq) + 79) // 80), lambda i: substr(seq, 80 * i + 1, 80)), chr(10)) || chr(10)) digest from s")
+def fasta_records(spark, d):
+    return sequences(spark, d).select("id", F.md5(fasta_text(F.col("id").cast("string"), F.col("seq"))).alias("digest"))
+
+
+@query("select read_row_id id, unnest(map_entries(optionals)).key as \"key\", unnest(map_entries(optionals)).value as \"value\" from fastq where optionals is not null")
+def fastq_optionals(spark, d):
+    return table(spark, d, "fastq").select(F.col("read_row_id").alias("id"), F.explode("optionals"))
+
+
+@query()
+def pileup_records(spark, d):
+    """Valid pileup lines written anew."""
+    return valid_rows(parse_lines(table(spark, d, "pileup_lines"), "pileup")).select("line_id", F.md5(pileup_text()).alias("digest"))
+
+
+@query()
+def random_sequences(spark, d):
+    t = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"))
+    return t.select("id", S.random_sequence(50, F.col("id")).alias("dna"), S.random_sequence(50, F.col("id"), "ACUG").alias("rna"), S.random_protein(30, F.col("id")).alias("protein"))
+
+
+@query("select record_id, md5(concat_ws('|', organism, array_to_string(taxonomy, ';'), locus.locus_name, locus.circular::varchar)) digest from genbank")
+def genbank_meta(spark, d):
+    t = table(spark, d, "genbank")
+    return t.select("record_id", F.md5(F.concat_ws("|", "organism", F.array_join("taxonomy", ";"), "locus.locus_name", F.col("locus.circular").cast("string"))).alias("digest"))
