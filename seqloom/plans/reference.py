@@ -285,7 +285,11 @@ def digest_circular(spark, d):
     return digest_parts(dna(spark, d), "id", "seq", ENZYMES["BtgZI"], circular=True)
 
 
-@query(_OLIGO + "select id as reaction, 1 n_constructs, 0 n_loops, 42 size from s")
+_PARTS = ", ".join(f"'TTGGTCTCA{a}' || substr(seq, {1 + 10 * i}, 10) || '{b}TGAGACCAA'" for i, (a, b) in enumerate((("AATG", "CGAG"), ("CGAG", "TACT"), ("TACT", "AATG"))))
+
+
+@query(_OLIGO + f", p as (select id, list_max(list_transform([{_PARTS}], lambda x: len(regexp_extract_all(x, 'GGTCTC|GAGACC')))) sites from s) "
+       "select id reaction, case when sites = 2 then 1 else 0 end n_constructs, 0 n_loops, case when sites = 2 then 42 end size from p")
 def golden_gate_reactions(spark, d):
     """Three parts a reaction, made from an oligo, with ends that fit in a ring."""
     ends = ["AATG", "CGAG", "TACT", "AATG"]

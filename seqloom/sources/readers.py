@@ -19,10 +19,11 @@ from seqloom.sources.genbank import RECORD_FIELDS, RECORD_SCHEMA, parse_record
 
 
 def _fasta_columns(chunks: DataFrame) -> DataFrame:
-    body = F.regexp_replace(F.col("value"), r"\A(?:[ \t\r]*(?:;[^\n]*)?\n)*>?", "")
+    # What stands before a file's first '>' is no record: blank lines and comments.
+    body = F.regexp_replace(F.col("value"), r"\A\s*>", "")
     lines = F.split(body, "\n", -1)
     kept = F.filter(F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0))), lambda x: ~x.startswith(";"))
-    return chunks.where(F.col("value").rlike(r"[^\s]")).select(F.rtrim(F.get(lines, F.lit(0))).alias("name"), F.regexp_replace(F.array_join(kept, ""), r"\r", "").alias("sequence"))
+    return chunks.where(F.col("value").rlike(r"(?m)^[ \t]*[^; \t\r\n]")).select(F.regexp_replace(F.get(lines, F.lit(0)), r"\s+$", "").alias("name"), F.regexp_replace(F.array_join(kept, ""), r"\r", "").alias("sequence"))
 
 
 def read_fasta(spark: SparkSession, path: str, max_records: int | None = None) -> DataFrame:
@@ -273,7 +274,7 @@ def read_codon_json(spark: SparkSession, path: str) -> DataFrame:
 
 def read_matrix(spark: SparkSession, path: str) -> DataFrame:
     """a, b, score of a substitution matrix in the usual text form: a line of letters, then a line of scores for each letter."""
-    lines = spark.read.option("wholetext", True).text(path)
+    lines = spark.read.text(path, wholetext=True)
 
     def kernel(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
