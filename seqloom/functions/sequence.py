@@ -5,7 +5,7 @@ Sequences are ASCII. Where a letter has no meaning for a function the result is
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The complements of the IUPAC codes.
@@ -126,6 +126,16 @@ def canonical_kmers(seq: Column | str, k: int, last: bool = False) -> Column:
     return F.transform(kmers(seq, k, last), lambda x: F.least(x, F.reverse(F.translate(x, DNA_CODES, DNA_COMPLEMENTS))))
 
 
+def kmer_rows(df: DataFrame, seq: str, k: int, keep: list[str] | None = None, last: bool = False, canonical: bool = False) -> DataFrame:
+    """A row for each k-mer: the columns to keep and ``kmer``. The same words as kmers(), but generated row by row in compiled code."""
+    keep = keep or []
+    n = F.length(seq) - k + (1 if last else 0)
+    at = df.where(n > 0).select(*keep, F.col(seq).alias("__seq"), F.explode(F.sequence(F.lit(1), n)).alias("__i"))
+    word = F.substring("__seq", F.col("__i"), F.lit(k))
+    out = at.select(*keep, word.alias("kmer"))
+    return out.withColumn("kmer", F.least("kmer", F.reverse(F.translate("kmer", DNA_CODES, DNA_COMPLEMENTS)))) if canonical else out
+
+
 def marmur_doty(seq: Column | str) -> Column:
     """Melting temperature of a very short sequence: two degrees for A or T, four for G or C, less seven."""
     s = _col(seq)
@@ -135,12 +145,18 @@ def marmur_doty(seq: Column | str) -> Column:
 def santa_lucia(seq: Column | str, primer: float, salt: float, magnesium: float = 0.0) -> Column:
     """Struct of melting_temp (Celsius), dh (kcal/mol), ds (cal/mol K) by nearest neighbours; null for an empty sequence.
 
-    Neighbours are counted by look-ahead in one scan each, and summed as whole tenths: exact, and linear in the length.
+    Neighbours are counted by what the text loses without them, and summed as whole tenths: exact, and linear in the length.
     """
     s = F.upper(_col(seq))
     own = s == F.reverse(F.translate(s, DNA_CODES, DNA_COMPLEMENTS))
     at = s.rlike("[AT]\\z")
-    counts = [(F.regexp_count(s, F.lit("(?=" + "|".join(p) + ")")), h, e) for p, h, e in NEAREST_NEIGHBOURS]
+
+    def count(pair: str) -> Column:
+        lost = F.length(s) - F.length(F.replace(s, F.lit(pair[0] if pair[0] == pair[1] else pair), F.lit("")))
+        # Equal letters overlap: a run of n has n - 1 pairs.
+        return lost - F.regexp_count(s, F.lit(pair[0] + "+")) if pair[0] == pair[1] else (lost / 2).cast("int")
+
+    counts = [(sum((count(x) for x in p[1:]), count(p[0])), h, e) for p, h, e in NEAREST_NEIGHBOURS]
 
     def tenths(i: int) -> Column:
         total = F.lit(INITIATION[i]) + F.when(own, SYMMETRY[i]).otherwise(0) + F.when(at, TERMINAL_AT[i]).otherwise(0)

@@ -50,6 +50,33 @@ def set_efficiency(overhangs: list[str], counts: Fidelity) -> float:
     return share
 
 
+class _Totals:
+    """Ligations of each overhang of a growing set, so that a further one's efficiency takes one pass over the set."""
+
+    def __init__(self, overhangs: list[str], counts: Fidelity):
+        self.counts, self.members = counts, []
+        for x in overhangs:
+            self.add(x)
+
+    def with_one(self, w: str) -> list[tuple[int, int]]:
+        """Right and all ligations of each member, with w among them."""
+        c, other = self.counts, turned(w)
+        out = [(right, total + c.get((x, w), 0) + c.get((x, other), 0)) for x, right, total in self.members]
+        own = sum(c.get((w, y), 0) + c.get((w, turned(y)), 0) for y in [x for x, _, _ in self.members] + [w])
+        return [*out, (c.get((w, w), 0), own)]
+
+    def add(self, w: str) -> None:
+        names = [x for x, _, _ in self.members] + [w]
+        self.members = [(x, r, t) for x, (r, t) in zip(names, self.with_one(w))]
+
+    def efficiency(self, w: str) -> float:
+        share = 1.0
+        for right, total in self.with_one(w):
+            if total != right:
+                share *= right / total
+        return share
+
+
 def next_overhangs(current: list[str], counts: Fidelity) -> list[tuple[str, float]]:
     """Overhangs that may be added, not palindromic nor there already on either strand, with the efficiency of the set they would make."""
     have = {*current, *map(turned, current)}
@@ -83,12 +110,13 @@ def fragment(sequence: str, least: int, most: int, counts: Fidelity, exclude: li
             most = min(most, (len(s) + spread) // 2)
             least = most - spread
         taken = {w for o in overhangs for w in (o, turned(o))}
+        known = _Totals(overhangs, counts)
         best, cut = 0.0, 0
         for at in range(most, least - 1, -1):
             w = s[at - 4 : at]
             if w in taken or w == turned(w) or (allowed and w not in allowed):
                 continue
-            share = set_efficiency([*overhangs, w], counts)
+            share = known.efficiency(w)
             if share > best:
                 best, cut = share, at
         if not cut:

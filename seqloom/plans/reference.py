@@ -21,7 +21,7 @@ from seqloom.operators import synthesis as Y
 from seqloom.operators.cloning import ENZYMES, digest_parts, golden_gate
 from seqloom.operators.fold import fold
 from seqloom.operators.rejects import parse_lines, valid_rows
-from seqloom.session import table
+from seqloom.session import spread, table
 from seqloom.sources.writers import fasta_text, fastq_text, pileup_text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,7 +34,7 @@ _CDS = "with s as (select * from (select feature_id id, upper(regexp_replace(seq
 
 
 def sequences(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "fasta").select(F.col("fasta_id").alias("id"), letters(F.col("sequence")).alias("seq")).where("seq != ''")
+    return spread(table(spark, d, "fasta").select(F.col("fasta_id").alias("id"), "sequence")).select("id", letters(F.col("sequence")).alias("seq")).where("seq != ''")
 
 
 def dna(spark: SparkSession, d: str) -> DataFrame:
@@ -42,11 +42,12 @@ def dna(spark: SparkSession, d: str) -> DataFrame:
 
 
 def oligos(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.translate(F.md5(F.col("s_suppkey").cast("string")), "0123456789abcdef", "ACGTACGTACGTACGT").alias("seq"))
+    return spread(table(spark, d, "supplier").select("s_suppkey")).select(F.col("s_suppkey").alias("id"), F.translate(F.md5(F.col("s_suppkey").cast("string")), "0123456789abcdef", "ACGTACGTACGTACGT").alias("seq"))
 
 
 def coding(spark: SparkSession, d: str) -> DataFrame:
-    f = table(spark, d, "features").select(F.col("feature_id").alias("id"), "feature_type", letters(F.col("sequence")).alias("sequence"))
+    f = spread(table(spark, d, "features").where("feature_type = 'CDS' and sequence is not null").select("feature_id", "feature_type", "sequence"))
+    f = f.select(F.col("feature_id").alias("id"), "feature_type", letters(F.col("sequence")).alias("sequence"))
     return C.coding_regions(f).select("id", F.col("sequence").alias("seq"))
 
 
@@ -147,18 +148,18 @@ _KMERS = _DNA + ", k as (select id, substr(seq, cast(i as integer), {0}) kmer fr
 
 @query(_KMERS.format(6) + "select kmer, count(*) n from k group by kmer")
 def kmer_counts(spark, d):
-    return dna(spark, d).select(F.explode(S.kmers("seq", 6)).alias("kmer")).groupBy("kmer").agg(F.count(F.lit(1)).alias("n"))
+    return S.kmer_rows(dna(spark, d), "seq", 6).groupBy("kmer").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(_KMERS.format(6) + f"select least(kmer, reverse(translate(kmer, '{S.DNA_CODES}', '{S.DNA_COMPLEMENTS}'))) kmer, count(*) n from k group by 1")
 def canonical_kmer_counts(spark, d):
-    return dna(spark, d).select(F.explode(S.canonical_kmers("seq", 6)).alias("kmer")).groupBy("kmer").agg(F.count(F.lit(1)).alias("n"))
+    return S.kmer_rows(dna(spark, d), "seq", 6, canonical=True).groupBy("kmer").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(_KMERS.format(10) + f", c as (select id, least(kmer, reverse(translate(kmer, '{S.DNA_CODES}', '{S.DNA_COMPLEMENTS}'))) kmer, count(*) n from k group by all) select id, kmer, n from c where n > 1")
 def repeated_kmers(spark, d):
     """Ten-letter words that a sequence holds more than once on either strand."""
-    words = dna(spark, d).select("id", F.explode(S.canonical_kmers("seq", 10)).alias("kmer"))
+    words = S.kmer_rows(dna(spark, d), "seq", 10, ["id"], canonical=True)
     return words.groupBy("id", "kmer").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 

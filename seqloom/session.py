@@ -42,3 +42,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spreads a small scan over all cores before work that is heavy for its size; a scan of many partitions stays as it is, without a shuffle.
+
+    df must be a plain projection or filter of a scan: its plan is looked at, not run.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if 2 * df._jdf.queryExecution().toRdd().getNumPartitions() > cores:
+        return df
+    return df.repartition(cores)
