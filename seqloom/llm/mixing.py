@@ -18,7 +18,7 @@ from seqloom.session import cut_lineage
 
 #: Cells into which the texts of one source and size are spread, so that no size gathers in one task.
 SALT = 16
-MOST_STEPS, TOLERANCE = 60, 1e-7
+MOST_STEPS, TOLERANCE, FULL = 60, 1e-7, 1e9
 
 
 def _case(values: dict[str, float]) -> Column:
@@ -44,10 +44,12 @@ def plan_totals(have: dict[str, float], shares: dict[str, float], caps: dict[str
     return {s: total * x / scale for s, x in able.items()}
 
 
-def balance(hist: DataFrame, goals: dict[str, float], caps: dict[str, int], means: dict[str, float]) -> dict[str, float]:
+def balance(hist: DataFrame, goals: dict[str, float], caps: dict[str, int], means: dict[str, float], have: dict[str, float]) -> dict[str, float]:
     """The tilt of each source in ``hist`` (source, n_tokens, n) for which its expected tokens meet the goal."""
     tilts, low, high = dict.fromkeys(goals, 0.0), dict.fromkeys(goals, -math.inf), dict.fromkeys(goals, math.inf)
-    open_ = set(goals)
+    full = {s for s, goal in goals.items() if goal >= caps[s] * have[s] * (1 - TOLERANCE)}  # every text at its cap: no finite tilt
+    tilts |= dict.fromkeys(full, FULL)
+    open_ = set(goals) - full
     for _ in range(MOST_STEPS):
         if not open_:
             break
@@ -60,7 +62,8 @@ def balance(hist: DataFrame, goals: dict[str, float], caps: dict[str, int], mean
                 open_.discard(s)
                 continue
             (high if off > 0 else low)[s] = tilts[s]
-            step = tilts[s] - off / row.d if row.d > 0 else math.nan
+            # Newton's step on the logarithm of the tokens, which is nearly linear in the tilt.
+            step = tilts[s] - math.log(row.g / goals[s]) * row.g / row.d if row.d > 0 and row.g > 0 else math.nan
             if not low[s] < step < high[s]:  # outside of what is known to hold the root: halve, or widen an open side
                 step = (low[s] + high[s]) / 2 if math.isfinite(low[s] + high[s]) else tilts[s] + (1.0 if off < 0 else -1.0) * max(1.0, abs(tilts[s]))
             if step == tilts[s]:
@@ -88,7 +91,7 @@ def mix(
     if not goals:
         return empty
     means = {s: had[s].t / had[s].n for s in goals}
-    tilts = balance(hist.groupBy("source", "n_tokens").agg(F.sum("n").alias("n")), goals, caps, means)
+    tilts = balance(cut_lineage(hist.groupBy("source", "n_tokens").agg(F.sum("n").alias("n"))), goals, caps, means, {s: had[s].t for s in goals})
 
     order = Window.partitionBy("source").orderBy("n_tokens", "cell")
     r = rate(tilts, means, caps)

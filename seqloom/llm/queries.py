@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,8 +27,13 @@ def _letters(spark: SparkSession, d: str) -> dict[str, DataFrame]:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    found = [expand_copies(near_pairs(x, "id", "letters"), x, "id", "letters").select(F.lit(t).alias("src"), "id_a", "id_b") for t, x in _letters(spark, d).items()]
-    return found[0].unionByName(found[1])
+    def pairs(item: tuple[str, DataFrame]) -> DataFrame:
+        t, x = item
+        return expand_copies(near_pairs(x, "id", "letters"), x, "id", "letters").select(F.lit(t).alias("src"), "id_a", "id_b")
+
+    with ThreadPoolExecutor(2) as both:  # the two tables' jobs fill each other's idle cores
+        fasta, fastq = both.map(pairs, _letters(spark, d).items())
+    return fasta.unionByName(fastq)
 
 
 def p2_groups(spark: SparkSession, d: str) -> DataFrame:

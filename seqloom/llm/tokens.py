@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seqloom.session import spread
+
 #: Byte-level BPE ranks; another file's path may be given instead.
 VOCABULARY = os.path.join(os.environ.get("SEQLOOM_TOKENIZERS", "/opt/tokenizers"), "byte_bpe_50k.tiktoken")
 #: Fixed value: the vocabulary's own split into words.
@@ -38,5 +40,6 @@ def n_tokens(text: Column, vocabulary: str = VOCABULARY) -> Column:
 
 def sized(df: DataFrame, id_col: str, text: str, source: str, vocabulary: str = VOCABULARY) -> DataFrame:
     """``id``, ``source`` (null: ''), ``n_tokens`` of the rows with a text and an id."""
-    rows = df.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{source}`").cast("string"), F.lit("")).alias("source"), F.col(f"`{text}`").alias("text"))
+    rows = spread(df.select(F.col(f"`{id_col}`"), F.col(f"`{source}`"), F.col(f"`{text}`")))
+    rows = rows.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{source}`").cast("string"), F.lit("")).alias("source"), F.col(f"`{text}`").alias("text"))
     return rows.where("id is not null and text is not null").select("id", "source", n_tokens(F.col("text"), vocabulary).alias("n_tokens"))
