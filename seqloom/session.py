@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,16 +30,36 @@ def build_session(master: str = "local[*]", app: str = "seqloom", **conf: str) -
     return spark
 
 
+_written: list[tuple] = []
+
+
+def _forget() -> None:
+    """Removes at the driver's end what cut_lineage() wrote, as far as it can still be reached."""
+    for spark, path in _written:
+        try:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # noqa: BLE001 - the session is gone
+            return
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """``df.checkpoint()`` in the shared folder the cluster names in ``spark.checkpoint.dir``.
+    """df written as a table to the shared folder that the cluster names in ``spark.checkpoint.dir``, and read from there.
 
-    A folder of our own is set only where none is configured (tests, local runs).
+    It outlives lost executors as a checkpoint does, but is computed once where checkpoint() computes twice, and later
+    reads take only the columns they need. A folder of our own is set only where none is configured (tests, local runs).
     """
-    sc = df.sparkSession.sparkContext
+    spark = df.sparkSession
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         named = sc.getConf().get("spark.checkpoint.dir")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="seqloom-checkpoint-"))
-    return df.checkpoint()
+    path = f"{sc._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    if not _written:
+        atexit.register(_forget)
+    _written.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
