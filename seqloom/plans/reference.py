@@ -19,10 +19,13 @@ from seqloom.operators import codons as C
 from seqloom.operators import primers as P
 from seqloom.operators import synthesis as Y
 from seqloom.operators.cloning import ENZYMES, digest_parts, golden_gate
+from seqloom.operators.features import location
 from seqloom.operators.fold import fold
 from seqloom.operators.rejects import parse_lines, valid_rows
 from seqloom.session import spread, table
-from seqloom.sources.writers import fasta_text, fastq_text, pileup_text
+from seqloom.sources.genbank import FEATURE
+from seqloom.sources.readers import read_records
+from seqloom.sources.writers import fasta_text, fastq_text, genbank_text, pileup_text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -404,3 +407,25 @@ def random_sequences(spark, d):
 def genbank_meta(spark, d):
     t = table(spark, d, "genbank")
     return t.select("record_id", F.md5(F.concat_ws("|", "organism", F.array_join("taxonomy", ";"), "locus.locus_name", F.col("locus.circular").cast("string"))).alias("digest"))
+
+
+@query("""select feature_id, segments[1].seg_start first_start, segments[-1].seg_end last_end, len(segments) n_segments, complement turned, five_prime_partial, three_prime_partial
+  from features where gbk_location_string is not null and len(segments) > 0""")
+def parse_locations(spark, d):
+    """Location strings read anew."""
+    f = table(spark, d, "features").where("gbk_location_string is not null and size(segments) > 0").select("feature_id", location(F.col("gbk_location_string")).alias("x"))
+    ends = [F.element_at("x.segments", 1)["seg_start"].alias("first_start"), F.element_at("x.segments", -1)["seg_end"].alias("last_end")]
+    return f.select("feature_id", *ends, F.size("x.segments").alias("n_segments"), F.col("x.complement").alias("turned"), "x.five_prime_partial", "x.three_prime_partial")
+
+
+@query("select record_id, md5(coalesce(regexp_replace(sequence, '[^A-Za-z]', '', 'g'), '')) digest, coalesce(len(taxonomy), 0) n_taxa, locus.circular circular from genbank")
+def genbank_round_trip(spark, d):
+    """Records written as flat files and read again."""
+    t = spread(table(spark, d, "genbank"))
+    refs = "cast(array() as array<struct<authors:string,title:string,journal:string,pub_med:string,remark:string,bases_range:string,consortium:string>>)"
+    whole = t.select(
+        "locus", "definition", "accession", F.col("record_id").alias("version"), "keywords", F.col("organism").alias("source"), "organism", "taxonomy", F.expr(refs).alias("refs"), "base_count", "other",
+        F.coalesce(F.regexp_replace("sequence", "[^A-Za-z]+", ""), F.lit("")).alias("sequence"), F.expr(f"cast(array() as array<{FEATURE}>)").alias("features"), F.lit(None).cast("string").alias("error"),
+    )
+    again = read_records(genbank_text(whole))
+    return again.select(F.col("version").alias("record_id"), F.md5("sequence").alias("digest"), F.size("taxonomy").alias("n_taxa"), F.col("locus.circular").alias("circular"))

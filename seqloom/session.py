@@ -69,8 +69,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """Spreads a small scan over all cores before work that is heavy for its size; a scan of many partitions stays as it is, without a shuffle.
 
-    df must be a plain projection or filter of a scan: its plan is looked at, not run.
+    Anything but a projection or filter of a scan stays as it is too: to learn its partitions would run it.
     """
+    node = df._jdf.queryExecution().optimizedPlan()
+    while node.children().size() == 1 and node.nodeName() in ("Project", "Filter"):
+        node = node.children().head()
+    if node.children().size():
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     if 2 * df._jdf.queryExecution().toRdd().getNumPartitions() > cores:
         return df

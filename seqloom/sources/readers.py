@@ -139,16 +139,20 @@ def read_fastq(spark: SparkSession, path: str, max_records: int | None = None, s
     return out if max_records is None else out.limit(max_records)
 
 
-def read_genbank(spark: SparkSession, path: str, max_records: int | None = None) -> DataFrame:
-    """A row for each record, meta data, sequence and features (array), with an error where something didn't parse."""
+def read_records(chunks: DataFrame) -> DataFrame:
+    """Rows of GenBank records, one text (``value``) each; texts without a record give none."""
 
     def kernel(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            rows = [r for t in f["value"] if (r := parse_record(t)) is not None]
+            rows = [r for t in f["value"] if t and (r := parse_record(t)) is not None]
             yield pd.DataFrame([[r.get(n) for n in RECORD_FIELDS] for r in rows], columns=RECORD_FIELDS)
 
-    chunks = spark.read.option("lineSep", "\n//").text(path).where(F.col("value").contains("LOCUS"))
-    out = chunks.mapInPandas(kernel, RECORD_SCHEMA)
+    return chunks.select("value").mapInPandas(kernel, RECORD_SCHEMA)
+
+
+def read_genbank(spark: SparkSession, path: str, max_records: int | None = None) -> DataFrame:
+    """A row for each record, meta data, sequence and features (array), with an error where something didn't parse."""
+    out = read_records(spark.read.option("lineSep", "\n//").text(path).where(F.col("value").contains("LOCUS")))
     return out if max_records is None else out.limit(max_records)
 
 
