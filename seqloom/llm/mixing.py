@@ -81,7 +81,9 @@ def mix(
     their share falls to the others (see plan_totals). Texts without tokens, and rows of null text, id or source, are not used. Equal texts
     under two ids are two texts. An empty table gives no rows. The result is deterministic.
     """
-    sizes = cut_lineage(sized(df.where(F.col(f"`{source}`").isNotNull()), id_col, text, source, vocabulary).where(F.col("n_tokens") > 0).where(F.col("source").isin(*targets)))
+    # The filter on the sizes comes after they are written: before, it would be pushed below and every text encoded twice.
+    named = df.where(F.col(f"`{source}`").isin(*targets))
+    sizes = cut_lineage(sized(named, id_col, text, source, vocabulary)).where(F.col("n_tokens") > 0)
     sizes = sizes.withColumn("cell", F.pmod(F.xxhash64("id"), F.lit(SALT)))
     hist = cut_lineage(sizes.groupBy("source", "n_tokens", "cell").agg(F.count(F.lit(1)).alias("n")))
     had = {r.source: r for r in hist.groupBy("source").agg(F.sum(F.col("n") * F.col("n_tokens")).alias("t"), F.sum("n").alias("n")).collect()}
