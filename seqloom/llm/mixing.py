@@ -100,7 +100,8 @@ def mix(
     cells = hist.where(F.col("source").isin(*goals)).withColumn("r", r).withColumn("before", F.coalesce(F.sum(F.col("n") * F.col("r")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
     place = F.row_number().over(Window.partitionBy("source", "n_tokens", "cell").orderBy(F.xxhash64("id", F.lit(11)), "id"))
     at = lambda k: F.floor(F.round(F.col("before") + k * F.col("r") + 0.5, 6))
-    chosen = sizes.withColumn("k", place).join(cells.drop("n"), ["source", "n_tokens", "cell"]).withColumn("copies", F.least(_case(caps), at(F.col("k")) - at(F.col("k") - 1)).cast("int"))
+    # The cells grow with the data and are larger in memory than their files let the planner think: merged, never broadcast.
+    chosen = sizes.withColumn("k", place).join(cells.drop("n").hint("merge"), ["source", "n_tokens", "cell"]).withColumn("copies", F.least(_case(caps), at(F.col("k")) - at(F.col("k") - 1)).cast("int"))
     return chosen.where("copies > 0").select(F.col("id").alias(id_col), "source", "n_tokens", "copies")
 
 
