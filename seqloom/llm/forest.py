@@ -3,10 +3,12 @@
 Every distinct text gets TREES signatures of DEPTH minhash values. In each tree the texts are sorted by signature; those
 that share the longest prefixes stand next to each other and are the candidates. Two values must be shared; where a region of
 the order that shares them is crowded (common leaders, runs of one letter), the prefix is lengthened until the region
-is not: the depth adapts region by region. A sketch of two bits of each value thins the candidates where they are found; the rest
-are verified on their whole sets of substrings.
+is not: the depth adapts region by region. The texts of crowded regions are sorted in MORE_TREES further trees, in which all DEPTH values
+must be shared; these regions are compared whole, whatever their size. A sketch of two bits of each value thins the candidates
+where they are found; the rest are verified on their whole sets of substrings.
 
-A pair of similarity 0.70 shares two values in at least one of 12 trees with probability 0.9997, in crowded regions three with 0.993.
+A pair of similarity 0.70 shares two values in at least one of 12 trees with probability 0.9997. If its regions are crowded, it shares
+four values in one of 12 + 30 trees unless it is among 1 in 100,000 pairs, so the probability is 0.9997 there too.
 Equal texts are one node of the forest: copies are expanded from the pairs of their representatives at the very end.
 """
 
@@ -22,6 +24,8 @@ from pyspark.sql import functions as F
 from seqloom.session import cut_lineage
 
 TREES, DEPTH = 12, 4
+#: Further trees for the texts of crowded regions: 1 - (1 - 0.7^4)^30 of the pairs of similarity 0.70 that lengthened prefixes miss.
+MORE_TREES = 30
 #: Values whose sketches may differ: 3.9 standard deviations above the mean at similarity 0.70.
 MOST_DIFFERENT = 22
 #: Rows of a region that are compared at once; beyond it the prefix is lengthened.
@@ -32,6 +36,8 @@ PLAN_SHARE, HOT_ROWS, MOST_HOT = 64, 2_000_000, 100_000
 _rng = np.random.default_rng(20240607)
 _XOR = _rng.integers(0, 2**32, TREES * DEPTH, dtype=np.uint32)
 _MUL = _rng.integers(0, 2**31, TREES * DEPTH, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_MORE_XOR = _rng.integers(0, 2**32, MORE_TREES * DEPTH, dtype=np.uint32)
+_MORE_MUL = _rng.integers(0, 2**31, MORE_TREES * DEPTH, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 
 def concatenated(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -57,21 +63,21 @@ def shingle_codes(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.nda
     return codes[keep[:n]], np.concatenate([[0], np.cumsum(many)])
 
 
-def signatures(texts: pa.Array, k: int) -> np.ndarray:
-    """(number of texts, TREES * DEPTH) minhash values; all texts must have at least k letters."""
+def signatures(texts: pa.Array, k: int, xor: np.ndarray = _XOR, mul: np.ndarray = _MUL) -> np.ndarray:
+    """(number of texts, TREES * DEPTH) minhash values, one for each function; all texts must have at least k letters."""
     data, offsets = concatenated(texts)
     codes, bounds = shingle_codes(data, offsets, k)
     codes ^= codes >> np.uint64(31)
     codes *= np.uint64(0x9E3779B97F4A7C15)
     codes ^= codes >> np.uint64(29)
     x = (codes >> np.uint64(16)).astype(np.uint32)
-    out = np.empty((len(texts), TREES * DEPTH), np.uint32)
+    out = np.empty((len(texts), len(xor)), np.uint32)
     a = 0
     while a < len(texts):  # stretches that fit the cache
         b = max(a + 1, int(np.searchsorted(bounds, bounds[a] + 24_000, "right")) - 1)
         part, starts = x[bounds[a] : bounds[b]], bounds[a:b] - bounds[a]
-        for f in range(TREES * DEPTH):
-            out[a:b, f] = np.minimum.reduceat((part ^ _XOR[f]) * _MUL[f], starts)
+        for f in range(len(xor)):
+            out[a:b, f] = np.minimum.reduceat((part ^ xor[f]) * mul[f], starts)
         a = b
     return out
 
@@ -96,21 +102,39 @@ def _tree_rows(b: pa.RecordBatch, k: int, hot: frozenset) -> pa.RecordBatch:
     if hot:
         for t in range(TREES):
             mine = np.array([h for tree, h in hot if tree == t], np.int64)
-            spread[:, t] = np.where(np.isin(near[:, t], mine), deep[:, t] >> 32, 0)
-    tree = np.tile(np.arange(TREES, dtype=np.int32), (n, 1))
-    rep = np.repeat(b.column(0).to_numpy(), TREES)
-    cols = [tree.ravel(), near.ravel(), spread.ravel(), deep.ravel(), rep, np.repeat(s1, TREES), np.repeat(s2, TREES)]
+            spread[:, t] = np.where(np.isin(near[:, t], mine), deep[:, t] >> 32 | 1 << 32, 0)  # never 0 where it is spread
+    return _batch(b.column(0), near, spread, deep, s1, s2)
+
+
+def _batch(rep: pa.Array, near: np.ndarray, spread: np.ndarray, deep: np.ndarray, s1: np.ndarray, s2: np.ndarray) -> pa.RecordBatch:
+    n, trees = near.shape
+    tree = np.tile(np.arange(trees, dtype=np.int32), (n, 1))
+    cols = [tree.ravel(), near.ravel(), spread.ravel(), deep.ravel(), np.repeat(rep.to_numpy(), trees), np.repeat(s1, trees), np.repeat(s2, trees)]
     return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["tree", "near", "spread", "deep", "rep", "s1", "s2"])
 
 
+def _more_rows(b: pa.RecordBatch, k: int) -> pa.RecordBatch:
+    """Rows of the further trees: all values of a tree make one key, so a region is never split."""
+    values = signatures(b.column(1), k, _MORE_XOR, _MORE_MUL)
+    v = values.reshape(len(values), MORE_TREES, DEPTH).astype(np.uint64)
+    key = np.zeros(v.shape[:2], np.uint64)
+    for j in range(DEPTH):
+        key = (key ^ v[:, :, j]) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(29)
+    none = np.zeros(key.shape, np.int64)
+    return _batch(b.column(0), key.view(np.int64), none, none, *_sketch(values[:, : TREES * DEPTH]))
+
+
 _TREE_SCHEMA = "tree int, near long, spread long, deep long, rep long, s1 long, s2 long"
 
 
-def forest_rows(texts: DataFrame, k: int, hot: frozenset) -> DataFrame:
+def forest_rows(texts: DataFrame, k: int, hot: frozenset, more: bool = False) -> DataFrame:
+    """Rows of the first trees, or of the further ones."""
+
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 2000):
-                yield _tree_rows(b.slice(at, 2000), k, hot)
+                yield _more_rows(b.slice(at, 2000), k) if more else _tree_rows(b.slice(at, 2000), k, hot)
 
     return texts.select("rep", "seq").mapInArrow(kernel, _TREE_SCHEMA)
 
@@ -123,12 +147,17 @@ def _runs(*cols: np.ndarray) -> np.ndarray:
     return new
 
 
-def neighbours(tree, near, deep, rep, s1, s2) -> tuple[np.ndarray, np.ndarray]:
-    """Candidates among rows in signature order: regions of two shared values, of three or four where crowded."""
+def neighbours(tree, near, torn, deep, rep, s1, s2, crowd: int = CROWD) -> tuple[np.ndarray, np.ndarray]:
+    """Candidates among rows in signature order: regions of two shared values, of three or four where crowded.
+
+    torn: not 0 for rows of a region of which others are elsewhere. Rows of regions that are crowded or torn come as pairs with themselves.
+    """
     region = np.cumsum(_runs(tree, near))
     sizes = np.bincount(region)
+    split = (sizes > crowd) | (np.bincount(region, weights=torn != 0) > 0)
+    alone = np.unique(rep[split[region]])
     for values in (deep >> 32, deep):
-        crowded = sizes[region] > CROWD
+        crowded = sizes[region] > crowd
         if not crowded.any():
             break
         finer = np.cumsum(_runs(region, np.where(crowded, values, 0)))
@@ -145,22 +174,22 @@ def neighbours(tree, near, deep, rep, s1, s2) -> tuple[np.ndarray, np.ndarray]:
         hit = alive[off <= MOST_DIFFERENT]
         found.append(np.stack([rep[hit], rep[hit + step]]))
         step += 1
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    found.append(np.stack([alone, alone]))
     both = np.sort(np.concatenate(found, axis=1), axis=0)
     both = np.unique(both, axis=1) if both.size else both
     return both[0], both[1]
 
 
 def candidates(rows: DataFrame) -> DataFrame:
-    """Distinct candidate pairs ``a`` < ``b``."""
+    """Distinct candidate pairs ``a`` < ``b``, and ``a`` = ``b`` for texts of regions that were split."""
+    crowd = CROWD  # as the driver has it
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
         size = 0
 
         def emit(cols):
-            a, b = neighbours(*cols)
+            a, b = neighbours(*cols, crowd)
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
         for b in batches:
@@ -170,7 +199,11 @@ def candidates(rows: DataFrame) -> DataFrame:
                 continue
             cols = [np.concatenate(x) for x in zip(*held)]
             # The last region may go on in the next batch; one that fills the buffer is crowded and is cut at its third value.
-            cut = np.flatnonzero(_runs(cols[0], cols[1]))[-1] or np.flatnonzero(_runs(cols[2] >> 32))[-1]
+            cut = np.flatnonzero(_runs(cols[0], cols[1]))[-1]
+            if not cut:
+                cut = np.flatnonzero(_runs(cols[3] >> 32))[-1]
+                if cut:
+                    cols[2] = np.ones(len(cols[2]), np.int64)
             if cut:
                 yield emit([c[:cut] for c in cols])
             held, size = [[c[cut:] for c in cols]], size - cut
@@ -178,7 +211,7 @@ def candidates(rows: DataFrame) -> DataFrame:
             yield emit([np.concatenate(x) for x in zip(*held)])
 
     order = rows.repartition("tree", "near", "spread").sortWithinPartitions("tree", "near", "deep")
-    return order.select("tree", "near", "deep", "rep", "s1", "s2").mapInArrow(kernel, "a long, b long").distinct()
+    return order.select("tree", "near", "spread", "deep", "rep", "s1", "s2").mapInArrow(kernel, "a long, b long").distinct()
 
 
 def shared_shares(left: pa.Array, right: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -229,7 +262,13 @@ def near_pairs(df: DataFrame, id_col: str, text: str, *, k: int = 9, threshold:
     plan = forest_rows(texts.where(F.pmod(F.xxhash64("rep"), F.lit(PLAN_SHARE)) == 0), k, frozenset())
     crowds = plan.groupBy("tree", "near").count().where(F.col("count") * PLAN_SHARE > HOT_ROWS).orderBy(F.desc("count")).limit(MOST_HOT)
     hot = frozenset((r.tree, r.near) for r in crowds.collect())
-    return cut_lineage(verified(candidates(forest_rows(texts, k, hot)), texts, k, threshold))
+    found = cut_lineage(candidates(forest_rows(texts, k, hot)))
+    pairs = found.where("a < b")
+    crowded = found.where("a = b").select(F.col("a").alias("rep"))
+    if not crowded.isEmpty():
+        more = candidates(forest_rows(texts.join(crowded, "rep"), k, frozenset(), more=True)).where("a < b")
+        pairs = pairs.unionByName(more).distinct()
+    return cut_lineage(verified(pairs, texts, k, threshold))
 
 
 def expand_copies(pairs: DataFrame, df: DataFrame, id_col: str, text: str, *, k: int = 9) -> DataFrame:

@@ -67,6 +67,23 @@ def test_crowded_and_hot_regions(spark, monkeypatch):
     assert got <= want and len(got) >= 0.98 * len(want)
 
 
+def test_crowded_pairs_at_the_threshold(spark, monkeypatch):
+    """Pairs of similarity near 0.70 are found in crowded regions as they are in others."""
+    rnd = random.Random(5)
+    leader = "".join(rnd.choice("ACGT") for _ in range(200))
+    rows = []
+    for _ in range(200):
+        t = leader + "".join(rnd.choice("ACGT") for _ in range(200))
+        rows += [t, t[:-67] + "".join(rnd.choice("ACGT") for _ in range(67))]
+    rows = list(enumerate(rows))
+    want = plain(rows)
+    assert len(want) >= 150
+    monkeypatch.setattr(forest, "CROWD", 1)
+    df = spark.createDataFrame(rows, "id long, letters string")
+    got = {(r.a, r.b) for r in near_pairs(df, "id", "letters").collect()}
+    assert got <= want and len(got) >= 0.995 * len(want)
+
+
 def test_kernels():
     texts = pa.array(["ACGTACGTACG", "ACG", "", "ACGTACGTA", "ACGTACGTAT"])
     codes, bounds = shingle_codes(*concatenated(texts), 9)
