@@ -355,8 +355,8 @@ def next_overhangs(spark, d):
 @query()
 def fragment_sequences(spark, d):
     counts = Y.ideal_fidelity()
-    long = dna(spark, d).where(F.length("seq") >= 200).withColumn("f", Y.fragments(F.col("seq"), 90, 110, counts))
-    return long.select("id", F.size("f.fragments").alias("n_fragments"), F.array_join("f.fragments", "|").alias("fragments"), F.round("f.efficiency", 9).alias("efficiency"), "f.error")
+    cut = dna(spark, d).withColumn("f", Y.fragments(F.col("seq"), 90, 110, counts))
+    return cut.select("id", F.size("f.fragments").alias("n_fragments"), F.array_join("f.fragments", "|").alias("fragments"), F.round("f.efficiency", 9).alias("efficiency"), "f.error")
 
 
 @query()
