@@ -86,6 +86,7 @@ scalar("reverse_complement_rna", lambda s: S.reverse_complement_rna(as_rna(s)),
 scalar("complement_base", lambda s: S.complement_base(F.substring(s, 1, 1)), sql=f"case when regexp_full_match(substr(seq, 1, 1), '{_IUPAC}') then {_COMP.replace('(seq', '(substr(seq, 1, 1)')} else ' ' end")
 scalar("complement_base_rna", lambda s: S.complement_base(F.substring(as_rna(s), 1, 1), rna=True), sql=f"case when regexp_full_match(substr(replace(seq, 'T', 'U'), 1, 1), '[{S.RNA_CODES}]*') then {_RNA.replace('replace(seq', 'replace(substr(seq, 1, 1)')} else ' ' end")
 scalar("is_palindromic", lambda s: S.is_palindromic(F.substring(s, 1, 4)), sql=f"case when regexp_full_match(substr(seq, 1, 4), '{_IUPAC}') then substr(seq, 1, 4) = reverse({_COMP.replace('(seq', '(substr(seq, 1, 4)')}) else false end")
+scalar("is_palindromic_whole", S.is_palindromic, sql=f"case when {_OK} then seq = reverse({_COMP}) else false end")
 scalar("gc_content", lambda s: F.round(S.gc_content(s), 9), sql="round(len(regexp_extract_all(seq, '[GC]')) / length(seq)::double, 9)")
 scalar("is_dna", S.is_dna, sql="regexp_full_match(seq, '[ACGT]*')")
 scalar("is_rna", lambda s: S.is_rna(as_rna(s)), sql="regexp_full_match(replace(seq, 'T', 'U'), '[ACGU]*')")

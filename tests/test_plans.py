@@ -9,3 +9,13 @@ def test_fragments_of_all_lengths(spark, sf):
     short = {r.id for r in R.dna(spark, sf).where(F.length("seq") < 200).collect()}
     got = {r.id for r in R.QUERIES["fragment_sequences"](spark, sf).select("id").collect()}
     assert short and short <= got and got == {r.id for r in R.dna(spark, sf).collect()}
+
+
+def test_palindromes_are_whole(spark):
+    """A palindromic start doesn't make a palindrome."""
+    from unittest import mock
+
+    rows = spark.createDataFrame([(1, "ACGTAA"), (2, "ACGTACGT"), (3, "ACGT"), (4, "GAATTC!")], "fasta_id long, sequence string")
+    with mock.patch.object(R, "table", lambda *_: rows):
+        got = {r.id: r.value for r in R.QUERIES["is_palindromic_whole"](spark, "").collect()}
+    assert got == {1: False, 2: True, 3: True, 4: True}
