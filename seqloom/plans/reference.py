@@ -119,6 +119,10 @@ scalar("extract", lambda s: S.extract(s, 100, 130), sql="case when length(seq) >
 scalar("sequence_length", F.length, sql="cast(length(seq) as integer)")
 scalar("burrows_wheeler", K.bwt, oligos, "array_to_string(list_transform(list_sort(list_transform(range(1, length(seq) + 2), lambda i: substr(seq || '$', i) || substr(seq, 1, i - 1))), lambda r: right(r, 1)), '')", _OLIGO)
 scalar("suffix_array_locate", lambda s: F.array_join(F.array_sort(K.locate_in(s, K.suffix_array(s), "GT")).cast("array<string>"), ","), oligos, "array_to_string(list_transform(list_filter(range(1, 32), lambda i: substr(seq, i, 2) = 'GT'), lambda i: i - 1), ',')", _OLIGO)
+scalar("burrows_wheeler_whole", K.bwt)
+scalar("suffix_array_locate_whole", lambda s: F.array_join(F.array_sort(K.locate_in(s, K.suffix_array(s), "GT")).cast("array<string>"), ","))
+scalar("canonical_rotation_whole", K.canonical_rotation)
+scalar("canonical_circular_whole", lambda s: F.md5(K.canonical_rotation(s, double=True)), dna)
 _ROT = "list_min(list_transform(range(1, length({0}) + 1), lambda i: substr({0} || {0}, i, length({0}))))"
 scalar("canonical_rotation", K.canonical_rotation, oligos, _ROT.format("seq"), _OLIGO)
 scalar("canonical_circular", lambda s: F.md5(K.canonical_rotation(s, double=True)), oligos, f"md5(least({_ROT.format('seq')}, {_ROT.format(f'reverse({_COMP})')}))", _OLIGO)
@@ -132,7 +136,7 @@ for _n in (1, 11, 2):
 assert "".join(genetic_code(1).values()) == STANDARD
 scalar("gc_fix_suggestion", lambda s: F.to_json(S.gc_fix_suggestion(s, 0.52, 0.48)), dna)
 ORACLE["gc_fix_suggestion"] = _DNA + ", g as (select *, len(regexp_extract_all(seq, '[GC]')) / length(seq)::double gc from s) select id, case when gc > 0.52 then '{\"bias\":\"AT\",\"quantity\":' || cast(floor((gc - 0.52) * length(seq)) + 1 as integer) || '}' when gc < 0.48 then '{\"bias\":\"GC\",\"quantity\":' || cast(floor((0.48 - gc) * length(seq)) + 1 as integer) || '}' end as value from g"
-scalar("fold_dna", lambda s: F.to_json(fold(s, 37.0)), lambda spark, d: table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.translate(F.md5(F.col("n_nationkey").cast("string")), "0123456789abcdef", "ACGTACGTACGTACGT").alias("seq")))
+scalar("fold_dna", lambda s: F.to_json(fold(s, 37.0)), dna)
 
 
 @query(_OLIGO.replace("'ACGTACGTACGTACGT') seq", "'ACGTRYMKSWHBVDNA') whole") + ", c(code, bases) as (values " + ", ".join(f"('{k}', '{v}')" for k, v in S.IUPAC.items()) + """),
@@ -321,8 +325,10 @@ def smith_waterman(spark, d):
 
 @query()
 def mash_distance(spark, d):
+    s = sequences(spark, d)
+    near = s.join(s.select((F.col("id") - 1).alias("id"), F.col("seq").alias("other")), "id")
     sim = K.mash_similarity(K.mash_sketch(F.col("seq"), 5, 10), K.mash_sketch(F.col("other"), 5, 10))
-    return _neighbours(spark, d).select("id", (1 - sim).alias("distance"))
+    return near.select("id", (1 - sim).alias("distance"))
 
 
 @query()

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from seqloom.functions.kernels import turned
 from seqloom.plans import reference as R
 
 
@@ -19,3 +20,26 @@ def test_palindromes_are_whole(spark):
     with mock.patch.object(R, "table", lambda *_: rows):
         got = {r.id: r.value for r in R.QUERIES["is_palindromic_whole"](spark, "").collect()}
     assert got == {1: False, 2: True, 3: True, 4: True}
+
+
+def test_index_queries_on_whole_sequences(spark):
+    """Against brute force, and every sequence is there."""
+    import hashlib
+    import random
+    from unittest import mock
+
+    rnd = random.Random(3)
+    seqs = {i: "".join(rnd.choice("ACGT") for _ in range(n)) for i, n in enumerate([1, 2, 33, 200, 300])}
+    rows = spark.createDataFrame(list(seqs.items()), "fasta_id long, sequence string")
+    ring = lambda s: min(s[i:] + s[:i] for i in range(len(s)))
+    bwt = lambda s: "".join(x[-1] for x in sorted((s + "$")[i:] + (s + "$")[:i] for i in range(len(s) + 1)))
+    want = {
+        "burrows_wheeler_whole": bwt, "canonical_rotation_whole": ring, "canonical_circular_whole": lambda s: hashlib.md5(min(ring(s), ring(turned(s))).encode()).hexdigest(),
+        "suffix_array_locate_whole": lambda s: ",".join(str(i) for i in range(len(s)) if s[i : i + 2] == "GT"),
+    }
+    with mock.patch.object(R, "table", lambda *_: rows):
+        for name, f in want.items():
+            assert {r.id: r.value for r in R.QUERIES[name](spark, "").collect()} == {i: f(s) for i, s in seqs.items()}, name
+        assert {r.id for r in R.QUERIES["mash_distance"](spark, "").collect()} == {0, 1, 2, 3}
+        folded = {r.id: r.value for r in R.QUERIES["fold_dna"](spark, "").collect()}
+    assert set(folded) == set(seqs) and "too long" in folded[3] and "dot_bracket" in folded[2]
