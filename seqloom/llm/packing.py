@@ -21,6 +21,8 @@ from seqloom.session import cut_lineage
 WINDOW_CONTAINERS, OPEN_CONTAINERS = 64, 512
 #: Tokens of a shard (plus one for each text), which one task packs at a time.
 SHARD_TOKENS = 8_000_000
+#: Sources whose shares and deficits are kept, largest first; the texts of any others are packed with the least share and no deficit.
+MOST_SOURCES, LEAST_SHARE = 100_000, 1e-9
 
 
 def round_robin(queues: dict[str, list[int]], shares: dict[str, float], deficits: dict[str, float], window: int):
@@ -29,10 +31,10 @@ def round_robin(queues: dict[str, list[int]], shares: dict[str, float], deficits
     left = {s for s, q in queues.items() if q}
     deficit = {s: deficits.get(s, 0.0) for s in queues}
     while left:
-        total = sum(shares[s] for s in left)
+        total = sum(shares.get(s, LEAST_SHARE) for s in left)
         took: list[tuple[str, int]] = []
         for s in sorted(left):
-            deficit[s] += window * shares[s] / total
+            deficit[s] += window * shares.get(s, LEAST_SHARE) / total
         for s in sorted(left):
             q = queues[s]
             while at[s] < len(q) and q[at[s]] <= deficit[s]:
@@ -78,10 +80,11 @@ def pack(
     """
     sizes = cut_lineage(sized(df, id_col, text, source, vocabulary))
     totals = sizes.groupBy("source").agg(F.sum("n_tokens").alias("t"), F.count(F.lit(1)).alias("n"))
-    seen = {r.source: (r.t, r.n) for r in totals.orderBy(F.desc("t")).limit(100_000).collect()}  # one row a source
-    whole = sum(t for t, _ in seen.values()) or 1
-    shards = max(1, -(-(whole + sum(n for _, n in seen.values())) // shard_tokens))
-    shares = {s: max((targets or {}).get(s, t / whole), 1e-9) for s, (t, _) in seen.items()}
+    seen = {r.source: (r.t, r.n) for r in totals.orderBy(F.desc("t")).limit(MOST_SOURCES).collect()}  # one row a source
+    tokens, texts = totals.agg(F.coalesce(F.sum("t"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    whole = tokens or 1
+    shards = max(1, -(-(whole + texts) // shard_tokens))
+    shares = {s: max((targets or {}).get(s, t / whole), LEAST_SHARE) for s, (t, _) in seen.items()}
     scale = sum(shares.values()) or 1.0
     shares = {s: x / scale for s, x in shares.items()}
 
@@ -120,7 +123,7 @@ def pack(
         had = F.coalesce(F.sum("t").over(Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         share = F.create_map(*(x for s, v in shares.items() for x in (F.lit(s), F.lit(v))))
         deficits = long.select("shard", "source", (share[F.col("source")] * F.col("before") - had).alias("deficit"))
-        items = items.join(deficits, ["shard", "source"])
+        items = items.join(deficits, ["shard", "source"], "left").fillna(0.0, ["deficit"])
     return items.groupBy("shard").applyInPandas(fill, schema).withColumnRenamed("id", id_col)
 
 

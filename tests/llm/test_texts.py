@@ -128,3 +128,14 @@ def test_truncated(spark):
 def test_blocks():
     assert last_blocks("a\n\nb\nc\n\nX Court - Page 3\n\n") == ("b\nc", "a") and last_blocks("") == ("", "") and last_blocks("a") == ("a", "")
     assert closing_form("0rder accordingly!") == closing_form("Order accordingly!") and closing_form("(3) Moreover, the") is None and closing_form("x" * 200) is None
+
+
+def test_packing_many_sources(spark, monkeypatch):
+    """Texts of sources beyond those whose shares are kept are packed too."""
+    from seqloom.llm import packing
+
+    monkeypatch.setattr(packing, "MOST_SOURCES", 2)
+    df = spark.createDataFrame([(i, f"some words {i} " * (1 + i % 5), f"s{i % 7}") for i in range(70)], "doc_id long, text string, source string")
+    for shard_tokens in (8_000_000, 300):
+        got = [(r.doc_id, r.source) for r in packing.pack(df, capacity=64, shard_tokens=shard_tokens).collect()]
+        assert sorted(got) == [(i, f"s{i % 7}") for i in range(70)]
