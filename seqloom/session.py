@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -30,36 +31,65 @@ def build_session(master: str = "local[*]", app: str = "seqloom", **conf: str) -
     return spark
 
 
-_written: list[tuple] = []
+_written: dict[str, SparkSession] = {}
+_folders: dict[int, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate tables: what ``spark.checkpoint.dir`` names, or what the context's checkpoint folder is set to.
+
+    Only a local master, whose executors are the driver, may do without: it gets a temporary folder. Elsewhere the executors would
+    each write to a disk of their own, so there it is an error.
+    """
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named
+    there = sc._jsc.sc().getCheckpointDir()
+    if not there.isEmpty():
+        return there.get()
+    if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+        raise RuntimeError("intermediate tables need a folder that all executors share: set spark.checkpoint.dir")
+    return _folders.setdefault(id(sc), tempfile.mkdtemp(prefix="seqloom-checkpoint-"))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # noqa: BLE001 - the session is gone
+        return
 
 
 def _forget() -> None:
-    """Removes at the driver's end what cut_lineage() wrote, as far as it can still be reached."""
-    for spark, path in _written:
-        try:
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # noqa: BLE001 - the session is gone
-            return
+    """Removes at the driver's end what cut_lineage() wrote and nothing released, as far as it can still be reached."""
+    for path, spark in _written.items():
+        _delete(spark, path)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """df written as a table to the shared folder that the cluster names in ``spark.checkpoint.dir``, and read from there.
+    """df written as a table to the shared folder (see shared_folder), and read from there.
 
     It outlives lost executors as a checkpoint does, but is computed once where checkpoint() computes twice, and later
-    reads take only the columns they need. A folder of our own is set only where none is configured (tests, local runs).
+    reads take only the columns they need.
     """
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="seqloom-checkpoint-"))
-    path = f"{sc._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/seqloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
     if not _written:
         atexit.register(_forget)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    _written[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out._seqloom_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes tables of cut_lineage() from which nothing will be computed any more: what came of them has been written itself."""
+    for t in tables:
+        path = getattr(t, "_seqloom_path", None)
+        if path and path in _written:
+            _delete(_written.pop(path), path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
