@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.operators.intervals import merge_intervals
-from seqloom.operators.nested import dewey_nodes
+from seqloom.operators.nested import dewey_nodes, unparsed
 from seqloom.operators.rejects import parse_lines, rejects, valid_rows
 from seqloom.session import table
 
@@ -28,40 +28,52 @@ def p1_coverage(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+#: The tables of the three places that p3_found asks for.
+_NESTED = ("meta.references[]", "meta.references[].citation.dbReference[]", "features[].location.sub_locations[]")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    nodes = dewey_nodes(table(spark, d, "entry_json"), "entry_id", "body")
-    return nodes.where(F.col("table").isin("reference", "db_reference", "sub_location")).select("entry_id", "parent_path", "node_path")
+    return dewey_nodes(table(spark, d, "entry_json"), "entry_id", "body", tables=_NESTED, payload=False).select("entry_id", "parent_path", "node_path")
 
 
 def p3_table_sizes(spark: SparkSession, d: str) -> DataFrame:
-    nodes = dewey_nodes(table(spark, d, "entry_json"), "entry_id", "body")
+    nodes = dewey_nodes(table(spark, d, "entry_json"), "entry_id", "body", payload=False)
     return nodes.groupBy("table").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("entry_id").alias("n_entries"), F.max(F.size("dewey")).alias("deepest"))
 
 
-def _line_tables(spark: SparkSession, d: str) -> dict[str, DataFrame]:
-    return {"pileup": parse_lines(table(spark, d, "pileup_lines"), "pileup"), "gff": parse_lines(table(spark, d, "gff_lines"), "gff")}
+def p3_rejects(spark: SparkSession, d: str) -> DataFrame:
+    """Documents without rows, by the kind of reason."""
+    return unparsed(table(spark, d, "entry_json"), "entry_id", "body").select("entry_id", F.split("reason", ":")[0].alias("reason"))
+
+
+def _lines(spark: SparkSession, d: str, fmt: str, typed: bool) -> DataFrame:
+    return parse_lines(table(spark, d, f"{fmt}_lines"), fmt, typed=typed)
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    a, b = (rejects(x).select(F.lit(n).alias("src"), "line_id") for n, x in _line_tables(spark, d).items())
+    a, b = (rejects(_lines(spark, d, n, False)).select(F.lit(n).alias("src"), "line_id") for n in ("pileup", "gff"))
     return a.unionByName(b)
 
 
 def p5_reasons(spark: SparkSession, d: str) -> DataFrame:
-    a, b = (rejects(x).groupBy(F.lit(n).alias("src"), "reason").agg(F.count(F.lit(1)).alias("n")) for n, x in _line_tables(spark, d).items())
+    a, b = (rejects(_lines(spark, d, n, False)).groupBy(F.lit(n).alias("src"), "reason").agg(F.count(F.lit(1)).alias("n")) for n in ("pileup", "gff"))
     return a.unionByName(b)
 
 
 def p5_gff_rows(spark: SparkSession, d: str) -> DataFrame:
-    return valid_rows(_line_tables(spark, d)["gff"]).drop("attributes")
+    """The typed lines, attributes as sorted text."""
+    rows = valid_rows(_lines(spark, d, "gff", True)).drop("wide")
+    return rows.withColumn("attributes", F.array_join(F.transform(F.array_sort(F.map_entries("attributes")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";"))
 
 
 def p5_pileup_rows(spark: SparkSession, d: str) -> DataFrame:
-    return valid_rows(_line_tables(spark, d)["pileup"]).withColumn("read_results", F.array_join("read_results", ""))
+    """The typed lines, with the number of read results and their text."""
+    rows = valid_rows(_lines(spark, d, "pileup", True)).drop("wide")
+    return rows.withColumn("n_results", F.size("read_results")).withColumn("read_results", F.array_join("read_results", ""))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_coverage, p3_found, p3_table_sizes, p5_found, p5_reasons, p5_gff_rows, p5_pileup_rows)
+    f.__name__: f for f in (p1_found, p1_coverage, p3_found, p3_table_sizes, p3_rejects, p5_found, p5_reasons, p5_gff_rows, p5_pileup_rows)
 }
 
 _PERIODS = """with v as (select distinct record_id, feature_name, start_pos s, end_pos e from features

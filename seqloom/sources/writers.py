@@ -27,7 +27,7 @@ def fastq_text(identifier: Column, optionals: Column, seq: Column, quality: Colu
 
 def pileup_text(row: str = "") -> Column:
     c = lambda n: F.col(f"{row}{n}")
-    return F.concat_ws("\t", c("sequence_name"), c("position").cast("string"), c("reference_base"), c("read_count").cast("string"), F.array_join(c("read_results"), ""), c("quality"))
+    return F.concat_ws("\t", c("sequence_name"), F.coalesce(c("position").cast("string"), c("wide")["position"]), c("reference_base"), c("read_count").cast("string"), F.array_join(c("read_results"), ""), c("quality"))
 
 
 def gff_text() -> Column:
@@ -36,7 +36,7 @@ def gff_text() -> Column:
     attributes = F.array_join(F.transform(F.array_sort(F.map_entries("attributes")), lambda e: F.concat(e["key"], F.lit("="), F.when(e["value"].contains(";"), F.concat(F.lit('"'), e["value"], F.lit('"'))).otherwise(e["value"]))), ";")
     return F.concat_ws(
         "\t", F.coalesce("seqid", F.lit("unknown")), F.coalesce(F.nullif("origin", F.lit("")), F.lit("feature")), F.coalesce(F.nullif("feature_type", F.lit("")), F.lit("unknown")),
-        (F.col("start_pos") + 1).cast("string"), F.col("end_pos").cast("string"), or_dot(F.col("score")), or_dot(F.col("strand")), or_dot(F.col("phase")), F.coalesce(F.nullif(attributes, F.lit("")), F.lit(".")),
+        F.coalesce((F.col("start_pos") + 1).cast("string"), F.col("wide")["start_pos"]), F.coalesce(F.col("end_pos").cast("string"), F.col("wide")["end_pos"]), or_dot(F.col("score")), or_dot(F.col("strand")), or_dot(F.col("phase")), F.coalesce(F.nullif(attributes, F.lit("")), F.lit(".")),
     )
 
 

@@ -73,6 +73,8 @@ PILEUP = [
     ("s\t1\tA\t2\t.+2ac,\tII", True), ("s\t1\tA\t2\t.+3ac,\tII", False), ("s\t1\tA\t2\t+1a.,\tII", False), ("s\t1\tA\t2\t.+0,\tII", False), ("s\t1\tA\t1\t.+12ACGTACGTACGT\tI", True),
     ("s\t1\tA\t2\t.+1aa\tII", True), ("s\t1\tA\t1\t^^.$\tI", True), ("s\t1\tA\t1\t^.\tI", False), ("s\t1\tA\t1\t.$$\tI", False), ("s\t1\tA\t1\t.\t ", False), ("s\t1\tA\t0\t\t", True),
     ("", False), (None, False), ('s\t1\tA\t1\t.\t"', True), ("s s\t1\tA\t1\t.\tI", False), ("s\t1\tA\t1\t.\tI\t", False), ("s\t+1\tA\t1\t.\tI", False), ("s\t1\tA\t1\té\tI", False), ("s\t1\tA\t2\t.-1A-2CC,\tII", True),
+    ("s\t0000000000000000007\tA\t2\t.,\tII", True), ("s\t9223372036854775807\tA\t1\t.\tI", True), ("s\t123456789012345678901234567890\tA\t1\t.\tI", True), ("s\t00000000000000000000\tA\t1\t.\tI", False),
+    ("s\t1\tA\t0000000000000000000001\t.\tI", True), ("s\t1\tA\t99999999999999999999\t.\tI", False), ("s\t1\tA\t1\t.+0000000000000000000002AC\tI", True),
 ]
 GFF = [
     ("s\t.\tgene\t1\t2\t.\t+\t.\tID=a", True), ("s\t.\tCDS\t1\t2\t.\t+\t.\tID=a", False), ("s\t.\tCDS\t1\t2\t.\t+\t0\tID=a;", True), ("s\t.\tgene\t1\t2\t.\t+\t.\tID=a;;b=c", False),
@@ -81,17 +83,20 @@ GFF = [
     ("s\t.\tgene\t1\t2\t.\t+\t.\t.", True), ("s\t.\tgene\t3\t2\t.\t+\t.\t.", False), ("s\t.\tgene\t0\t2\t.\t+\t.\t.", False), ("s\t.\tgene\t1\t2\t-1.5\t+\t3\t.", False), ("s\t.\tgene\t1\t2\t1.2.3\t+\t.\t.", False),
     ("s\t.\tgene\t1\t2\t.\t\t.\t.", False), ("#x", None), ("  \r", None), ("", None), ("\t.\tgene\t1\t2\t.\t+\t.\t.", False), ("s\t.\t\t1\t2\t.\t+\t.\t.", False), ("s\t.\tgene\t1\t2\t.\t+\t.\t =x", False), ("s\t.\tgene\t1\t2\t.\t+\t.\ta=b=c", True),
     ('s\t.\tgene\t1\t2\t.\t+\t.\ta="', False), ('s\t.\tgene\t1\t2\t.\t+\t.\ta=""', True), ("s\t.\tgene\t1\t2\t.\t+\t.\tab", False), (None, False), ("s\t.\tgene\t1\t2\t.\t+\t.\té=ü", True),
+    ("s\t.\tgene\t0000000000000000000003\t4\t.\t+\t.\t.", True), ("s\t.\tgene\t5\t0000000000000000000003\t.\t+\t.\t.", False), ("s\t.\tgene\t9223372036854775807\t9223372036854775808\t.\t+\t.\t.", True),
+    ("s\t.\tgene\t9223372036854775809\t9223372036854775808\t.\t+\t.\t.", False), ("s\t.\tgene\t9223372036854775808\t7\t.\t+\t.\t.", False), ("s\t.\tgene\t1\t2\t.\t+\t.\ta=1;b=2;a=3;", True), ("s\t.\tgene\t1\t2\t.\t+\t.\ta=1;\r", True),
 ]
 
 
 @pytest.mark.parametrize("parse,plain,cases", [(parse_pileup, plain_pileup, PILEUP), (parse_gff, plain_gff, GFF)])
 def test_cases(parse, plain, cases):
     lines = [x for x, _ in cases]
-    rows, why, skip = parse(pa.array(lines, pa.string()))
-    for (line, want), row, reason, out in zip(cases, rows, why, skip):
+    verdicts, skip, rows = parse(pa.array(lines, pa.string()))
+    for (line, want), code, out in zip(cases, verdicts.code, skip):
         assert plain(line) is want, line
-        assert (None if out else reason is None) is want, (line, reason)
-        assert (row is not None) is (want is True)
+        assert (None if out else bool(code == 0)) is want, (line, verdicts.reasons[code])
+    assert len(rows) == sum(want is True for _, want in cases)
+    assert list(parse(pa.array(lines, pa.string()), False)[0].code) == list(verdicts.code)
 
 
 @pytest.mark.parametrize("fmt,plain", [("pileup", plain_pileup), ("gff", plain_gff)])
@@ -109,7 +114,8 @@ def test_tables_against_plain_reading(spark, fmt, plain):
 def test_offsets_of_sliced_batches():
     lines = pa.array([x for x, _ in PILEUP], pa.string())
     for at in range(len(lines)):
-        assert list(parse_pileup(lines.slice(at))[1]) == list(parse_pileup(lines)[1][at:])
+        assert list(parse_pileup(lines.slice(at))[0].code) == list(parse_pileup(lines)[0].code[at:])
+        assert parse_pileup(lines.slice(at))[2].to_pylist() == parse_pileup(lines)[2].to_pylist()[-len(parse_pileup(lines.slice(at))[2]) or len(lines) :]
 
 
 def test_values_and_odd_tables(spark):
@@ -124,3 +130,14 @@ def test_values_and_odd_tables(spark):
 
 def test_reads():
     assert tokenize_reads(b"^I.$+12ACGTACGTACGT,")[0] == [b"^I.$", b"+12ACGTACGTACGT", b","]
+
+
+def test_numbers_of_any_size(spark):
+    lines = ["s\t0000000000000000007\tA\t1\t.\tI", "s\t9223372036854775807\tA\t1\t.\tI", "s\t09223372036854775808\tA\t1\t.\tI"]
+    df = spark.createDataFrame(list(enumerate(lines)), "line_id long, line string")
+    got = valid_rows(parse_lines(df, "pileup")).orderBy("line_id").collect()
+    assert [(r.position, r.wide) for r in got] == [(7, None), (2**63 - 1, None), (None, {"position": "9223372036854775808"})]
+    gff = spark.createDataFrame([(1, "s\t.\tgene\t4\t99999999999999999999\t.\t+\t.\tb=2;a=1;b=3")], "line_id long, line string")
+    (r,) = valid_rows(parse_lines(gff, "gff")).collect()
+    assert (r.start_pos, r.end_pos, r.wide, r.attributes) == (4, None, {"end_pos": "99999999999999999999"}, {"a": "1", "b": "3"})
+    assert rejects(parse_lines(gff, "gff", typed=False)).count() == 0 and "row" not in parse_lines(gff, "gff", typed=False).columns
