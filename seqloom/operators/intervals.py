@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seqloom.session import cut_lineage
+
 #: Most entities that are cut into blocks, and most blocks of one. Both bound what is broadcast (a few MB); an entity
 #: beyond the first bound holds less than 1/HOT_ENTITIES of the rows.
 HOT_ENTITIES = 512
@@ -50,9 +52,14 @@ def merge_intervals(
         iv = iv.where(F.col(k).isNotNull())
     iv = iv.where(F.col("__s") < F.col("__e"))
 
+    # The driver learns which entities are hot, at most HOT_ENTITIES of them. Without any, nothing is cut and nothing stitched.
     counts = iv.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > hot_rows)
     hot_keys = counts.orderBy(F.desc("__n"), *keys).limit(HOT_ENTITIES)
-    # One quantile list of MAX_BLOCKS steps serves every hot entity; a smaller one takes every q-th of them.
+    known = hot_keys.collect()
+    if not known:
+        return _named(_opened(_sessions(iv.withColumn("__b", F.lit(-1)), keys), keys), keys, entity)
+    hot_keys = df.sparkSession.createDataFrame(known, hot_keys.schema)
+    # Quantiles of MAX_BLOCKS steps serve every hot entity; a smaller one takes every q-th of them.
     steps = F.array(*(F.lit(i / MAX_BLOCKS) for i in range(1, MAX_BLOCKS)))
     hot = (
         iv.join(F.broadcast(hot_keys), keys)
@@ -70,43 +77,50 @@ def merge_intervals(
         F.when(F.col("__cuts").isNull(), F.lit(-1)).otherwise(F.size(F.filter("__cuts", lambda c: c <= F.col("__s")))).alias("__b"),
     )
 
-    sessions = (
-        blocked.groupBy(*keys, "__b", F.session_window(F.timestamp_micros("__s"), _micros(F.col("__e") - F.col("__s"))).alias("__w"))
-        .agg(F.count(F.lit(1)).alias("__n"))
-        .select(*keys, "__b", F.unix_micros("__w.start").alias("__s"), F.unix_micros("__w.end").alias("__e"))
-    )
-
-    block = Window.partitionBy(*keys, "__b")
-    before = block.orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
-    sessions = sessions.select("*", F.max("__e").over(before).alias("__prev"), F.max("__e").over(block).alias("__block_end"))
-    normal = sessions.where(F.col("__b") == -1).withColumns({"__reach": F.lit(None).cast("long"), "__all_end": F.col("__block_end")})
+    # One pass of the merge serves both kinds; what follows reads its result twice.
+    sessions = cut_lineage(_sessions(blocked, keys))
+    one = _opened(sessions.where(F.col("__b") == -1), keys)
 
     # Stitching: what earlier blocks of the entity reach. One row per block of a hot entity.
-    ends = sessions.where(F.col("__b") >= 0).groupBy(*keys, "__b").agg(F.max("__e").alias("__end"))
-    whole = Window.partitionBy(*keys)
+    split = sessions.where(F.col("__b") >= 0)
+    ends = split.groupBy(*keys, "__b").agg(F.max("__e").alias("__end"))
+    whole, block = Window.partitionBy(*keys), Window.partitionBy(*keys, "__b")
     carried = ends.select(
         *keys, "__b",
         F.max("__end").over(whole.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)).alias("__reach"),
         F.max("__end").over(whole).alias("__all_end"),
     )
-    split = sessions.where(F.col("__b") >= 0).join(carried, [*keys, "__b"])
-
-    def opened(s: DataFrame) -> DataFrame:
-        """Rows at which a period starts, with the end of the period before it."""
-        return s.withColumn("__prev", F.greatest("__prev", "__reach")).where(F.col("__prev").isNull() | (F.col("__s") > F.col("__prev"))).withColumn(
-            "__next_prev", F.lead("__prev").over(block.orderBy("__s"))
-        )
-
-    one = opened(normal).withColumn("__to", F.coalesce("__next_prev", "__all_end")).select(*keys, "__s", "__prev", "__to")
-    many = opened(split)
+    split = split.join(carried, [*keys, "__b"]).withColumn("__prev", F.greatest("__prev", "__reach"))
+    many = split.where(F.col("__prev").isNull() | (F.col("__s") > F.col("__prev"))).withColumn("__next_prev", F.lead("__prev").over(block.orderBy("__s")))
     firsts = many.groupBy(*keys, "__b").agg(F.min("__s").alias("__s"), F.min("__prev").alias("__first_prev"))
     later = firsts.select(*keys, "__b", F.lead("__first_prev").over(whole.orderBy("__b")).alias("__later"))
     many = many.join(later, [*keys, "__b"]).withColumn("__to", F.coalesce("__next_prev", "__later", "__all_end")).select(*keys, "__s", "__prev", "__to")
+    return _named(one.unionByName(many), keys, entity)
+
+
+def _sessions(blocked: DataFrame, keys: list[str]) -> DataFrame:
+    """Merged intervals of each entity and block, with the furthest end before each and the block's own end."""
+    merged = (
+        blocked.groupBy(*keys, "__b", F.session_window(F.timestamp_micros("__s"), _micros(F.col("__e") - F.col("__s"))).alias("__w"))
+        .agg(F.count(F.lit(1)).alias("__n"))
+        .select(*keys, "__b", F.unix_micros("__w.start").alias("__s"), F.unix_micros("__w.end").alias("__e"))
+    )
+    block = Window.partitionBy(*keys, "__b")
+    before = block.orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
+    return merged.select("*", F.max("__e").over(before).alias("__prev"), F.max("__e").over(block).alias("__block_end"))
+
+
+def _opened(sessions: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows at which a period starts, with the end of the period before it and its own, in entities of one block."""
+    block = Window.partitionBy(*keys, "__b")
+    opened = sessions.where(F.col("__prev").isNull() | (F.col("__s") > F.col("__prev"))).withColumn("__next_prev", F.lead("__prev").over(block.orderBy("__s")))
+    return opened.withColumn("__to", F.coalesce("__next_prev", "__block_end")).select(*keys, "__s", "__prev", "__to")
+
 
+def _named(periods: DataFrame, keys: list[str], entity: list[str]) -> DataFrame:
     piece = lambda kind, a, b: F.struct(F.lit(kind).alias("kind"), F.col(a).alias("from_pos"), F.col(b).alias("to_pos"))
     return (
-        one.unionByName(many)
-        .select(*keys, F.explode(F.array(piece("period", "__s", "__to"), piece("gap", "__prev", "__s"))).alias("__x"))
+        periods.select(*keys, F.explode(F.array(piece("period", "__s", "__to"), piece("gap", "__prev", "__s"))).alias("__x"))
         .where(F.col("__x.from_pos").isNotNull())
         .select(*(F.col(k).alias(c) for c, k in zip(entity, keys)), "__x.kind", "__x.from_pos", "__x.to_pos")
     )
