@@ -16,9 +16,10 @@ from pyspark.sql import functions as F
 from seqloom.llm.tokens import VOCABULARY, sized
 from seqloom.session import cut_lineage
 
-#: Cells into which the texts of one source and size are spread, so that no size gathers in one task.
-SALT = 16
-MOST_STEPS, TOLERANCE, FULL = 60, 1e-7, 1e9
+#: Cells into which the texts of one source and size are spread, so that no size gathers in one task: so many at least, and one more for so many texts.
+LEAST_CELLS, CELL_TEXTS = 16, 4_000_000
+#: Newton's steps end when every source is as near to its goal; one that is still further off than ENOUGH after MOST_STEPS is an error.
+MOST_STEPS, TOLERANCE, ENOUGH, FULL = 60, 1e-7, 1e-4, 1e9
 
 
 def _case(values: dict[str, float]) -> Column:
@@ -50,6 +51,7 @@ def balance(hist: DataFrame, goals: dict[str, float], caps: dict[str, int], mean
     full = {s for s, goal in goals.items() if goal >= caps[s] * have[s] * (1 - TOLERANCE)}  # every text at its cap: no finite tilt
     tilts |= dict.fromkeys(full, FULL)
     open_ = set(goals) - full
+    off_by: dict[str, float] = {}
     for _ in range(MOST_STEPS):
         if not open_:
             break
@@ -58,6 +60,7 @@ def balance(hist: DataFrame, goals: dict[str, float], caps: dict[str, int], mean
         slope = F.when(r < _case(caps), gives * F.col("n_tokens") / _case(means)).otherwise(0.0)
         for row in hist.where(F.col("source").isin(*open_)).groupBy("source").agg(F.sum(gives).alias("g"), F.sum(slope).alias("d")).collect():
             s, off = row.source, row.g - goals[row.source]
+            off_by[s] = abs(off) / goals[s]
             if abs(off) <= TOLERANCE * goals[s]:
                 open_.discard(s)
                 continue
@@ -69,6 +72,8 @@ def balance(hist: DataFrame, goals: dict[str, float], caps: dict[str, int], mean
             if step == tilts[s]:
                 open_.discard(s)
             tilts[s] = step
+    if late := {s: x for s, x in off_by.items() if x > ENOUGH}:
+        raise ArithmeticError(f"tilts didn't converge: {late}")
     return tilts
 
 
@@ -84,7 +89,8 @@ def mix(
     # The filter on the sizes comes after they are written: before, it would be pushed below and every text encoded twice.
     named = df.where(F.col(f"`{source}`").isin(*targets))
     sizes = cut_lineage(sized(named, id_col, text, source, vocabulary)).where(F.col("n_tokens") > 0)
-    sizes = sizes.withColumn("cell", F.pmod(F.xxhash64("id"), F.lit(SALT)))
+    cells = max(LEAST_CELLS, sizes.count() // CELL_TEXTS)
+    sizes = sizes.withColumn("cell", F.pmod(F.xxhash64("id"), F.lit(cells)))
     hist = cut_lineage(sizes.groupBy("source", "n_tokens", "cell").agg(F.count(F.lit(1)).alias("n")))
     had = {r.source: r for r in hist.groupBy("source").agg(F.sum(F.col("n") * F.col("n_tokens")).alias("t"), F.sum("n").alias("n")).collect()}
     caps = {s: max(0, m) for s, (_, m) in targets.items()}

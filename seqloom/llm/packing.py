@@ -4,7 +4,8 @@ Texts are spread over shards by the hash of their id, so each shard holds every
 skewed the sources are. Within a shard a deficit round-robin over one queue for each source fills window after window: a source
 may add texts as long as its deficit, its share of all windows so far less what it has added, covers them. What a
 window took is put into containers by best fit, largest first; containers with room stay open for the windows to come.
-Deficits are carried from window to window and, by prefix sums over the shards' totals, from shard to shard.
+Deficits are carried from window to window and, by prefix sums over the shards' totals, from shard to shard. Shares and
+deficits are a table joined to the texts, so there may be any number of sources.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 from bisect import bisect_left, insort
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqloom.llm.tokens import VOCABULARY, sized
@@ -21,8 +22,10 @@ from seqloom.session import cut_lineage
 WINDOW_CONTAINERS, OPEN_CONTAINERS = 64, 512
 #: Tokens of a shard (plus one for each text), which one task packs at a time.
 SHARD_TOKENS = 8_000_000
-#: Sources whose shares and deficits are kept, largest first; the texts of any others are packed with the least share and no deficit.
-MOST_SOURCES, LEAST_SHARE = 100_000, 1e-9
+#: The share of a source that has none of all tokens, such as one of empty texts only.
+LEAST_SHARE = 1e-9
+#: Shards whose totals are summed up before the sums of sums are.
+SUM_BLOCK = 1024
 
 
 def round_robin(queues: dict[str, list[int]], shares: dict[str, float], deficits: dict[str, float], window: int):
@@ -67,64 +70,77 @@ class Packer:
         return self.used - 1
 
 
+def sums_before(df: DataFrame, by: list[str], at: str, value: str, name: str) -> DataFrame:
+    """df with ``name``: the sum of ``value`` over the rows of equal ``by`` whose ``at`` is less. Two levels, so no task sees more than
+    SUM_BLOCK of the numbers or one number for each SUM_BLOCK of them.
+    """
+    block = F.floor(F.col(at) / SUM_BLOCK).alias("__block")
+    totals = df.groupBy(*by, block).agg(F.sum(value).alias("__sum"))
+    earlier = Window.partitionBy(*by).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(*by, "__block", F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__earlier"))
+    within = Window.partitionBy(*by, "__block").orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    rows = df.withColumn("__block", block).withColumn("__within", F.coalesce(F.sum(value).over(within), F.lit(0)))
+    return rows.join(totals, [*by, "__block"]).withColumn(name, F.col("__earlier") + F.col("__within")).drop("__block", "__earlier", "__within")
+
+
+def _shares(totals: DataFrame, targets: dict[str, float]) -> DataFrame:
+    """``source``, ``share`` of every source that has texts: its target, or its part of all tokens; they sum to one."""
+    whole = totals.agg(F.sum("t")).first()[0] or 1  # one row
+    given = totals.sparkSession.createDataFrame(list(targets.items()), "source string, target double")
+    raw = totals.join(F.broadcast(given), "source", "left").select("source", F.greatest(F.coalesce("target", F.col("t") / whole), F.lit(LEAST_SHARE)).alias("share"))
+    scale = raw.agg(F.sum("share")).first()[0] or 1.0
+    return raw.withColumn("share", F.col("share") / scale)
+
+
 def pack(
     df: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", *, capacity: int, targets: dict[str, float] | None = None,
     vocabulary: str = VOCABULARY, shard_tokens: int = SHARD_TOKENS,
 ) -> DataFrame:
-    """``container_id``, ``start_token`` (place in the container), ``id_col``, ``piece_no``, ``from_token`` (place in the text), ``n_tokens``, ``source``.
+    """``container_id``, ``window_id``, ``start_token`` (place in the container), ``id_col``, ``piece_no``, ``from_token`` (place in the text), ``n_tokens``, ``source``.
 
     Every text is packed once and whole unless it has more than ``capacity`` tokens: then into full pieces and a rest. An empty text is an
     item of no tokens. Rows of null text or id are left out; a null source is a source named ''. Rows repeated under
     one id are packed each. An empty table gives no rows. targets: shares of the sources in every window (default, and for sources
-    without one: their share of all tokens); a source that runs out leaves its share to the others. The result is deterministic.
+    without one: their share of all tokens); a source that runs out leaves its share to the others. window_id tells which window
+    took an item; its container may have been opened by an earlier one. The result is deterministic.
     """
     sizes = cut_lineage(sized(df, id_col, text, source, vocabulary))
-    totals = sizes.groupBy("source").agg(F.sum("n_tokens").alias("t"), F.count(F.lit(1)).alias("n"))
-    seen = {r.source: (r.t, r.n) for r in totals.orderBy(F.desc("t")).limit(MOST_SOURCES).collect()}  # one row a source
-    tokens, texts = totals.agg(F.coalesce(F.sum("t"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    whole = tokens or 1
-    shards = max(1, -(-(whole + texts) // shard_tokens))
-    shares = {s: max((targets or {}).get(s, t / whole), LEAST_SHARE) for s, (t, _) in seen.items()}
-    scale = sum(shares.values()) or 1.0
-    shares = {s: x / scale for s, x in shares.items()}
+    totals = cut_lineage(sizes.groupBy("source").agg(F.sum("n_tokens").alias("t"), F.count(F.lit(1)).alias("n")))
+    whole = totals.agg(F.coalesce(F.sum(F.col("t") + F.col("n")), F.lit(0))).first()[0]
+    shards = max(1, -(-whole // shard_tokens))
+    shares = cut_lineage(_shares(totals, targets or {}))
 
     pieces = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.col("n_tokens") - 1) / capacity)).cast("int")), lambda i: F.struct(i.alias("piece_no"), F.least(F.lit(capacity), F.col("n_tokens") - i * capacity).alias("n")))
     items = sizes.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")).select("shard", "id", "source", F.explode(pieces).alias("p")).select("shard", "id", "source", "p.piece_no", F.col("p.n").cast("long").alias("n"))
 
-    # What earlier shards gave each source beyond or below its share: a prefix sum over one row for each shard and source.
-    made = items.groupBy("shard", "source").agg(F.sum("n").alias("t")).groupBy("shard").agg(F.map_from_entries(F.collect_list(F.struct("source", "t"))).alias("by"), F.sum("t").alias("t"))
-    carried = F.sum("t").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)).alias("before")
-    known = made.select("shard", "by", "t", carried)
-    long = known.select("shard", F.coalesce("before", F.lit(0)).alias("before"), F.explode(F.create_map(*(x for s in shares for x in (F.lit(s), F.coalesce(F.col("by").getItem(F.lit(s)), F.lit(0)))))).alias("source", "t")) if shares else None
+    # What earlier shards gave each source beyond or below its share: prefix sums over one row for each shard and source.
+    made = cut_lineage(items.groupBy("shard", "source").agg(F.sum("n").alias("t")))
+    before = sums_before(made.groupBy("shard").agg(F.sum("t").alias("t")), [], "shard", "t", "before").select("shard", "before")
+    had = sums_before(made, ["source"], "shard", "t", "had")
+    deficit: Column = F.col("share") * F.col("before") - F.col("had")
+    owed = had.join(before, "shard").join(shares, "source").select("shard", "source", "share", deficit.alias("deficit"))
     kind = sizes.schema["id"].dataType.simpleString()
-    schema = f"container_id long, start_token long, id {kind}, piece_no int, from_token long, n_tokens long, source string"
+    schema = f"container_id long, window_id long, start_token long, id {kind}, piece_no int, from_token long, n_tokens long, source string"
 
     def fill(key, f: pd.DataFrame) -> pd.DataFrame:
-        shard = key[0]
+        shard = int(key[0])
         f = f.sort_values(["h", "id", "piece_no"], kind="stable").reset_index(drop=True)
         rows = {s: g.index.to_numpy() for s, g in f.groupby("source")}
         n = f["n"].to_numpy()
         queues = {s: n[i].tolist() for s, i in rows.items()}
-        deficits = dict(zip(f["source"], f["deficit"]))
+        deficits, shares = dict(zip(f["source"], f["deficit"])), dict(zip(f["source"], f["share"]))
         packer, where = Packer(capacity), {}
-        for took in round_robin(queues, shares, deficits, capacity * WINDOW_CONTAINERS):
+        for window, took in enumerate(round_robin(queues, shares, deficits, capacity * WINDOW_CONTAINERS)):
             for size, i in sorted(((int(n[rows[s][k]]), int(rows[s][k])) for s, k in took), key=lambda x: (-x[0], x[1])):
-                where[i] = packer.put(size)
+                where[i] = (*packer.put(size), window)
         spots = [where[i] for i in range(len(f))]
         return pd.DataFrame({
-            "container_id": [(int(shard) << 32) + b for b, _ in spots], "start_token": [a for _, a in spots], "id": f["id"], "piece_no": f["piece_no"],
-            "from_token": f["piece_no"].astype("int64") * capacity, "n_tokens": f["n"], "source": f["source"],
+            "container_id": [(shard << 32) + b for b, _, _ in spots], "window_id": [(shard << 32) + w for _, _, w in spots], "start_token": [a for _, a, _ in spots], "id": f["id"],
+            "piece_no": f["piece_no"], "from_token": f["piece_no"].astype("int64") * capacity, "n_tokens": f["n"], "source": f["source"],
         })
 
-    items = items.withColumn("h", F.xxhash64("id", F.lit(7)))
-    if long is None:
-        items = items.withColumn("deficit", F.lit(0.0))
-    else:
-        had = F.coalesce(F.sum("t").over(Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        share = F.create_map(*(x for s, v in shares.items() for x in (F.lit(s), F.lit(v))))
-        deficits = long.select("shard", "source", (share[F.col("source")] * F.col("before") - had).alias("deficit"))
-        items = items.join(deficits, ["shard", "source"], "left").fillna(0.0, ["deficit"])
-    return items.groupBy("shard").applyInPandas(fill, schema).withColumnRenamed("id", id_col)
+    ready = items.withColumn("h", F.xxhash64("id", F.lit(7))).join(owed, ["shard", "source"])
+    return ready.groupBy("shard").applyInPandas(fill, schema).withColumnRenamed("id", id_col)
 
 
 def fill_report(packed: DataFrame, capacity: int) -> DataFrame:
@@ -134,3 +150,29 @@ def fill_report(packed: DataFrame, capacity: int) -> DataFrame:
         F.count(F.lit(1)).alias("n_containers"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_items"), F.coalesce(F.sum("t"), F.lit(0)).alias("n_tokens"),
         F.round(F.sum("t") / (F.count(F.lit(1)) * capacity), 6).alias("fill"), F.count_if(F.col("t") == capacity).alias("n_full"), F.max("t").alias("most"),
     )
+
+
+def window_report(packed: DataFrame, targets: dict[str, float]) -> DataFrame:
+    """How near every window keeps to the targets: ``source``, ``target_share``, ``actual_share`` (of all tokens), ``n_windows``, ``mean_off``.
+
+    mean_off is the mean distance of the source's share of a window from what is due to it, over the windows in which it still had texts (up to
+    the last of its shard that took one): its target among the targets of the sources that still had some. Sources without a target have
+    their share of all tokens for one.
+    """
+    spark = packed.sparkSession
+    by = packed.groupBy("window_id", "source").agg(F.sum("n_tokens").alias("t"))
+    whole = by.groupBy("window_id").agg(F.sum("t").alias("all"))
+    shard = F.shiftright("window_id", 32)
+    last = by.groupBy(shard.alias("shard"), "source").agg(F.max("window_id").alias("last"))
+    open_ = whole.where("all > 0").withColumn("shard", shard).join(last, "shard").where("window_id <= last")
+    total = by.groupBy("source").agg(F.sum("t").alias("t"))
+    sums = total.agg(F.sum("t").alias("all"))
+    given = spark.createDataFrame(list(targets.items()), "source string, target double")
+    goal = total.join(F.broadcast(given), "source", "left").crossJoin(F.broadcast(sums))  # one row
+    goal = goal.select("source", F.coalesce("target", F.col("t") / F.col("all")).alias("target"), (F.col("t") / F.col("all")).alias("actual"))
+    per = open_.join(by, ["window_id", "source"], "left").join(goal, "source")
+    due = F.col("target") / F.sum("target").over(Window.partitionBy("window_id"))
+    per = per.withColumn("off", F.abs(F.coalesce("t", F.lit(0)) / F.col("all") - due))
+    return per.groupBy("source").agg(
+        F.round(F.first("target"), 6).alias("target_share"), F.round(F.first("actual"), 6).alias("actual_share"), F.count(F.lit(1)).alias("n_windows"), F.round(F.avg("off"), 6).alias("mean_off"),
+    )

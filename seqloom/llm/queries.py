@@ -14,7 +14,7 @@ from seqloom.llm.copies import collapse, copies
 from seqloom.llm.forest import expand_copies, near_pairs
 from seqloom.llm.mixing import mix, share_report
 from seqloom.llm.names import link_mentions, mention_pairs
-from seqloom.llm.packing import fill_report, pack
+from seqloom.llm.packing import fill_report, pack, window_report
 from seqloom.llm.pieces import split_items
 from seqloom.llm.truncation import find_truncated, truncation_rates
 from seqloom.session import table
@@ -110,6 +110,11 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     return fill_report(p8_pack(spark, d), _limits(spark, d)["container_tokens"])
 
 
+def p8_windows(spark: SparkSession, d: str) -> DataFrame:
+    """How near every window keeps to the targets."""
+    return window_report(p8_pack(spark, d), {s: x for s, (x, _) in _targets(spark, d).items()})
+
+
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
     return mix(table(spark, d, "documents"), _targets(spark, d))
 
@@ -126,7 +131,7 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
     return truncation_rates(find_truncated(table(spark, d, "documents")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_groups, p4_found, p4_pieces, p6_found, p6_records, p7_found, p7_entities, p8_pack, p8_fill, p9_mix, p9_shares, p10_found, p10_rates)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_groups, p4_found, p4_pieces, p6_found, p6_records, p7_found, p7_entities, p8_pack, p8_fill, p8_windows, p9_mix, p9_shares, p10_found, p10_rates)}
 
 _CANON = """with t as (
   select 'fasta' src, fasta_id id, upper(regexp_replace(sequence, '[^A-Za-z]', '', 'g')) seq,

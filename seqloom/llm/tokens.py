@@ -1,4 +1,7 @@
-"""Sizes of texts in tokens of a public tokenizer, whose vocabulary is read from a file and never copied."""
+"""Sizes of texts in tokens of a public tokenizer, whose vocabulary is read from a file and never copied into the library.
+
+The driver alone must see the file; it is shipped to the executors with the job.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +10,8 @@ import os
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.session import spread
@@ -27,12 +31,19 @@ def encoding(path: str):
     return tiktoken.Encoding(os.path.basename(path), pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def ship(spark: SparkSession, vocabulary: str) -> str:
+    """Sends the file along to every executor; its name there."""
+    spark.sparkContext.addFile(vocabulary)
+    return os.path.basename(vocabulary)
+
+
 def n_tokens(text: Column, vocabulary: str = VOCABULARY) -> Column:
     """Tokens of a text; 0 for an empty one, null for null. Whole texts are encoded."""
+    name = ship(SparkSession.active(), vocabulary)
 
     @F.pandas_udf("long")
     def count(texts: pd.Series) -> pd.Series:
-        e = encoding(vocabulary)
+        e = encoding(SparkFiles.get(name))
         return pd.Series([None if t is None else len(e.encode_ordinary(t)) for t in texts], dtype="Int64")
 
     return count(text)

@@ -5,9 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from seqloom.llm.mixing import mix, plan_totals, share_report
-from seqloom.llm.packing import Packer, fill_report, pack, round_robin
+from seqloom.llm.packing import Packer, fill_report, pack, round_robin, sums_before, window_report
 from seqloom.llm.tokens import encoding, n_tokens, VOCABULARY
-from seqloom.llm.truncation import closing_form, find_truncated, last_blocks, truncation_rates
+from seqloom.llm.truncation import find_truncated, is_near, last_block, line_form, near, running_forms, tail, truncation_rates
 
 COLUMNS = "doc_id long, text string, source string, n_tokens string, cell int, shard int, form string, key string"
 
@@ -104,38 +104,73 @@ BODY = "COURT\n\nHeadnote: The lease was void.\n\n1. The appellant relied on the
 ENDS = ["Appeal dismissed. No order as to costs.", "It is so ordered.", "(13 pages)", "Registrar: L. Doe", "Delivered at Velmora on 3 May 1999", "La présidente, Doe\nLe greffier, Roe"]
 
 
+PAGES = "\nVelmora Court - Page 2\n3. The deed was not produced.\nVelmora Court - Page 3\n4. The claim fails."
+
+
 def test_truncated(spark):
     rows, cut = [], set()
     for i in range(120):
-        rows.append((i, BODY + "\n\n" + ENDS[i % 6].replace("Doe", f"Q{i}oe") + ("\n\nVelmora Court - Page 4\n" if i % 4 == 0 else ""), ["a", None][i % 2]))
+        rows.append((i, BODY.replace("deed.", "deed" + " of trust" * (7 * i % 61) + ".", 1) + (PAGES if i % 3 == 0 else "") + "\n\n" + ENDS[i % 6].replace("Doe", f"Q{i}oe") + ("\n\nVelmora Court - Page 4\n" if i % 4 == 0 else ""), ["a", None][i % 2]))
     for k, stop in enumerate(["1. The appellant relied on the de", "1. The appellant relied on the deed. The deed was lost.", "The lease was", "the claim fails, see Doe v. Roe [1990] 1 KAE 5."]):
         text = BODY[: BODY.index(stop) + len(stop)] if k < 3 else BODY
-        for j, tail in enumerate(["", "…", "\n\nVelmora Court - Page 2", " [...]"]):
+        for j, end in enumerate(["", "…", "\n\nVelmora Court - Page 2", " [...]"]):
             cut.add(1000 + 10 * k + j)
-            rows.append((1000 + 10 * k + j, text + tail, "b"))
+            rows.append((1000 + 10 * k + j, text.replace("claim fails", ["claim fails", "claim fell", "claim lies", "claim is bad"][j]) + end, "b"))
     for i in range(12):  # a field limit of 100 characters
         cut.add(2000 + i)
         rows.append((2000 + i, ("x" * i + BODY)[:100], "limit"))
     rows += [(3000, "", "a"), (3001, None, "a"), (3002, "y" * 3_000_000, "a")]
+    # Whole texts: misread letters in the closing, and one that has just a limit's length but closes.
+    rows += [(4000, BODY + "\n\nAppeal disrnissed. No order as to c0sts.", "a"), (4001, BODY[:1] * (100 - len("\n\nIt is so ordered.") - 1) + "." + "\n\nIt is so ordered.", "limit")]
+    # The same text over and over makes no spike.
+    rows += [(5000 + i, BODY + "\n\nIt is so ordered.", "again") for i in range(30)]
     got = {r.doc_id: r for r in find_truncated(frame(spark, rows)).collect()}
     assert {i for i, r in got.items() if r.cut} == cut | {3002} and 3000 not in got and 3001 not in got
-    assert all(got[i].reason == "chars" and got[i].limit_chars for i in range(2000, 2012)) and got[1000].reason == "transfer" and got[0].reason is None
+    # One that a limit cut just after a full stop is told by its end.
+    stops = {2000 + i for i in range(12) if ("x" * i + BODY)[:100].rstrip().endswith(".")}
+    assert all(got[i].limit_chars and got[i].reason == ("transfer" if i in stops else "chars") for i in range(2000, 2012)) and got[1000].reason == "transfer" and got[0].reason is None
+    assert got[4001].limit_chars and not got[4001].cut and not any(r.limit_chars for i, r in got.items() if i >= 5000)
     rate = {r.source: r for r in truncation_rates(find_truncated(frame(spark, rows))).collect()}
-    assert rate["limit"].rate == 1.0 and rate["b"].n_cut == 16 and rate[None].n_cut == 0 and rate["limit"].n_at_limit == 12
+    assert rate["limit"].n_cut == 12 and rate["b"].n_cut == rate["b"].n_transfer == 16 and rate[None].n_cut == 0 and rate["limit"].n_at_limit == 12 - len(stops)
     assert find_truncated(frame(spark, [])).count() == 0
+    both = find_truncated(spark.createDataFrame([(i, "s", "z" * 50 + str(i % 7) * (i % 9), "q" * 20 + chr(97 + i)) for i in range(20)], "doc_id long, source string, one string, two string"), text=["one", "two"])
+    assert {(r.column, r.limit_chars) for r in both.collect() if r.limit_chars} == {("two", True)} and both.count() == 40
+
 
+def test_ends_of_texts():
+    assert line_form("Delivered at New Velmora on 3 May 1999") == "N on 9" and line_form("For the 2 parties: X & Co") == "N the 9 parties: N & N" and line_form("") == ""
+    assert line_form("0rder accordingly!") == line_form("Order accordingly!") and line_form("rendu le 3 mai 1999.") == line_form("rendu le 14 décembre 2001.") == "rendu le 9"
+    assert running_forms(["A B - Page 2", "x", "A B - Page 3", "7", "8", "clause 4", "clause 9"]) == {"N - N 9"}
+    assert near("abcd", "abd") == 1 and near("", "ab") == 2 and is_near("N dismlssed. N order", {"N dismissed. N order"}) and not is_near("N dismissed. N ord", {"N dismissed. N order"}) and not is_near("x", {"N"})
+    page = frozenset({"N - N 9"})
+    assert last_block(tail("a\n\nb.\nc\n\nX Court - Page 3\n\n"), page) == ("b. | c", False) and last_block(tail(""), page) == ("", True) and last_block(tail("a."), page) == ("a.", True)
+    assert last_block(tail("a\n" * 50), page)[0] is None and last_block(tail("a.\nX Y - Page 2\n\nb"), page) == ("b", True)
 
-def test_blocks():
-    assert last_blocks("a\n\nb\nc\n\nX Court - Page 3\n\n") == ("b\nc", "a") and last_blocks("") == ("", "") and last_blocks("a") == ("a", "")
-    assert closing_form("0rder accordingly!") == closing_form("Order accordingly!") and closing_form("(3) Moreover, the") is None and closing_form("x" * 200) is None
 
+def test_sums_before(spark):
+    rows = [(k, i, (7 * i + k) % 11) for k in range(3) for i in range(0, 5000, 1 + k)]
+    got = sums_before(spark.createDataFrame(rows, "k int, i int, v long"), ["k"], "i", "v", "b").collect()
+    want, at = {}, defaultdict(int)
+    for k, i, v in rows:
+        want[k, i] = at[k]
+        at[k] += v
+    assert {(r.k, r.i): r.b for r in got} == want
 
-def test_packing_many_sources(spark, monkeypatch):
-    """Texts of sources beyond those whose shares are kept are packed too."""
-    from seqloom.llm import packing
 
-    monkeypatch.setattr(packing, "MOST_SOURCES", 2)
+def test_packing_many_sources(spark):
+    """Any number of sources, and every text is there."""
     df = spark.createDataFrame([(i, f"some words {i} " * (1 + i % 5), f"s{i % 7}") for i in range(70)], "doc_id long, text string, source string")
     for shard_tokens in (8_000_000, 300):
-        got = [(r.doc_id, r.source) for r in packing.pack(df, capacity=64, shard_tokens=shard_tokens).collect()]
+        got = [(r.doc_id, r.source) for r in pack(df, capacity=64, shard_tokens=shard_tokens).collect()]
         assert sorted(got) == [(i, f"s{i % 7}") for i in range(70)]
+    many = spark.range(200_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("a b "), F.col("id").cast("string")).alias("text"), F.concat(F.lit("s"), F.col("id").cast("string")).alias("source"))
+    row = pack(many, capacity=512).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("d"), F.countDistinct("source").alias("s")).first()
+    assert tuple(row) == (200_000, 200_000, 200_000)
+
+
+def test_windows_keep_to_the_targets(spark):
+    rnd = random.Random(4)
+    df = spark.createDataFrame([(i, "w " * rnd.randint(20, 200), "abbccc"[i % 6]) for i in range(6000)], "doc_id long, text string, source string")
+    targets = {"a": 0.5, "b": 0.3, "c": 0.2}
+    report = {r.source: r for r in window_report(pack(df, capacity=64, targets=targets), targets).collect()}
+    assert all(report[s].mean_off < 0.05 and report[s].target_share == x for s, x in targets.items()) and sum(r.actual_share for r in report.values()) == pytest.approx(1, abs=1e-5)
