@@ -1,52 +1,44 @@
-"""Variant spellings of people and organisations, linked by a prefix-filtered join on token q-grams.
-
-1. Every distinct spelling is parsed once: a person into surname, first and middle initial (nicknames lead to the initial of
-   the formal name), an organisation into its telling words. Equal results are one node.
-2. The spellings of single words are joined where they differ by one typing error. Two words that do share all but four of
-   their 3-grams, so they share one of the PREFIX rarest of each: only those are joined on, rarest first over the whole corpus.
-3. Nodes whose rarest word is the same or such a neighbour are candidates, verified by a soft similarity of their words:
-   each counts by its rarity; it may match by spelling, as an abbreviation or as a letter of an acronym. All words of the shorter name must find a
-   partner but for a small rest, so that two subjects or two given names under one rare word stay apart.
-4. Connected nodes are one entity. People of one surname and first initial are told apart by the middle initial; those
-   that give none go with the most frequent one.
+"""Variant spellings of people and organisations, linked by a prefix-filtered set-similarity join on token q-grams.
+
+1. Every distinct spelling is parsed once, into the part that names (a surname, or the words of an organisation) and, for people, a
+   given name and initials. Titles, particles and short forms of given names are not listed anywhere: they are learned from how
+   words stand in the spellings and which initials go with which given names under one surname.
+2. The distinct naming parts are sets of the 3-grams of their words, each gram weighing by its rarity over all of them. Two parts whose weighted
+   similarity reaches LEAST_SHARED share a gram among the rarest of either, namely of those without which the rest would not weigh
+   enough; only those prefixes are joined.
+3. What the join finds is verified: a surname may differ by one typing error; organisations by a soft similarity of their words, in which each counts by
+   its rarity and may match by spelling, as an abbreviation, as letters of an acronym or with one typing error.
+4. People of similar surnames are linked if the initials of their formal given names agree and their middle initials don't differ. Connected ones are one entity.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqloom.llm.components import components
-from seqloom.session import cut_lineage
+from seqloom.session import cut_lineage, release
 
-Q, PREFIX = 3, 5
+Q = 3
+#: Naming parts are compared if so much of their weighted 3-grams is common.
+LEAST_SHARED = 0.25
+#: Grams in fewer naming parts than this all weigh the same: a typing error makes grams that are rare for no good reason.
+RAREST = 8
 #: Words of one typing error must be at least this long.
 SHORTEST = 5
-#: A word that is so many times rarer than its neighbour is that one mistyped.
-MISTYPED = 10
 SCORE, TYPO_SCORE, MOST_WEIGHT = 0.85, 0.9, 6.0
-
-# Words that tell nothing about who is meant, and short forms of given names.
-PARTICLES = {"van", "von", "de", "del", "der", "den", "di", "da", "dos", "la", "le", "zu", "ter", "ten"}
-FILLERS = {"the", "for", "of", "and", "in", "on", "international", "intl", "sequencing"}
-SUFFIXES = re.compile(r"(?<![A-Za-z])(?:jr|sr|phd|ph\.d|md|m\.d|dr|prof|ii|iii|iv)(?![A-Za-z])\.?", re.I)
-NICKNAMES = {
-    "al": "a", "alex": "a", "sasha": "a", "sandy": "a", "xander": "a", "alec": "a", "sascha": "a", "tony": "a", "toni": "a", "andy": "a", "drew": "a",
-    "bart": "b", "ben": "b", "charlie": "c", "chuck": "c", "chris": "c", "kit": "c", "cathy": "c", "dan": "d", "danny": "d", "dave": "d", "dima": "d", "mitya": "d", "mitja": "d",
-    "dmitri": "d", "dimitry": "d", "beth": "e", "betty": "e", "betsy": "e", "eliza": "e", "liz": "e", "lizzie": "e", "libby": "e", "lisa": "e", "elsie": "e", "ella": "e", "ed": "e", "ned": "e", "ted": "t",
-    "ellie": "e", "fred": "f", "freddy": "f", "fritz": "f", "rick": "f", "frank": "f", "gabi": "g", "gaby": "g", "gabby": "g", "gabe": "g", "greg": "g", "georgie": "g",
-    "hal": "h", "harry": "h", "hank": "h", "rik": "h", "heinz": "h", "heini": "h", "hendrik": "h", "henk": "h", "bella": "i", "isa": "i", "izzy": "i", "ibby": "i", "jack": "j", "jim": "j", "jimmy": "j", "jo": "j",
-    "joe": "j", "josie": "j", "jon": "j", "fina": "j", "kate": "k", "kathy": "k", "katie": "k", "kat": "k", "kitty": "k", "kay": "k", "len": "l", "lenny": "l", "leo": "l", "leon": "l", "larry": "l",
-    "maggie": "m", "meg": "m", "peggy": "m", "peg": "m", "madge": "m", "greta": "m", "rita": "m", "daisy": "m", "matt": "m", "mike": "m", "mick": "m", "nick": "n", "nico": "n", "niko": "n", "klaus": "n", "claus": "n", "nicky": "n",
-    "liv": "o", "livia": "o", "livvy": "o", "ollie": "o", "pat": "p", "patty": "p", "patsy": "p", "trish": "p", "tricia": "p", "trisha": "p", "pete": "p", "bob": "r", "bobby": "r", "rob": "r", "robbie": "r", "bert": "r", "ron": "r", "dick": "r",
-    "sam": "s", "sammy": "s", "steve": "s", "sue": "s", "susie": "s", "theo": "t", "teddy": "t", "tom": "t", "tommy": "t", "tim": "t", "vicky": "v", "vicki": "v", "vika": "v", "viki": "v", "tori": "v", "vic": "v",
-    "bill": "w", "billy": "w", "will": "w", "willy": "w", "liam": "w", "zuza": "z", "zuzka": "z", "suzana": "z", "zuzi": "z", "zuzu": "z",
-}
+#: A role is learned for a word that plays it in this share of all spellings, and so many.
+ROLE_SHARE, ROLE_LEAST = 0.0002, 3
+#: Mentions of a pair of blocks that one task joins.
+PAIR_BLOCK = 4096
 
 
 def fold(text: str) -> str:
@@ -59,47 +51,78 @@ def plain_vowels(word: str) -> str:
     return re.sub("([aou])e", r"\1", word)
 
 
-def parse_person(raw: str) -> tuple[list[str], str, str] | None:
-    """Surname words, first and middle initial; None if nothing is left."""
-    s = SUFFIXES.sub(" ", fold(raw).replace("*", " "))
-    loud = s.isupper()
+class Roles:
+    """What the spellings taught about words: titles after a name, particles before a surname, short given names."""
+
+    def __init__(self, titles: frozenset[str] = frozenset(), particles: frozenset[str] = frozenset(), short: frozenset[str] = frozenset()):
+        self.titles, self.particles, self.short = titles, particles, short
+
+
+def _bare(word: str) -> str:
+    return re.sub("[^A-Za-z]", "", word)
+
 
-    def initials(t: str) -> bool:
-        """Letters that stand for given names: 'F.', 'FM', 'F.M.'."""
-        bare = t.replace(".", "")
-        return len(bare) == 1 or "." in t and len(bare) <= 3 or bare.isupper() and len(bare) <= 3 and not (loud and bare.lower() in NICKNAMES)
+def _is_initials(word: str, loud: bool, roles: Roles) -> bool:
+    """Letters that stand for given names: 'F.', 'FM', 'F.M.'. Where all is in capitals, a known short given name is none."""
+    bare = _bare(word)
+    return len(bare) == 1 or "." in word and len(bare) <= 3 or bare.isupper() and len(bare) <= 3 and not (loud and bare.lower() in roles.short)
 
+
+def _split_person(raw: str, roles: Roles) -> tuple[list[str], list[str], bool]:
+    """Words of the surname, words of the given names, and whether all is in capitals."""
+    s = fold(raw)
+    loud = s.isupper()
+    words = lambda t: [w for w in re.findall(r"[A-Za-z'\-.]+", t) if _bare(w)]
+    untitled = lambda ws: [w for i, w in enumerate(ws) if not (i and _bare(w).lower() in roles.titles)]
     if "," in s:
         last, first = s.split(",", 1)
-        last, first = re.findall(r"[A-Za-z'\-]+", last), re.findall(r"[A-Za-z'\-.]+", first)
-    else:
-        words = [w for w in re.findall(r"[A-Za-z'\-.]+", s) if w.strip(".'-")]
-        if len(words) > 1 and initials(words[-1]):
-            last, first = words[:-1], words[-1:]
-        else:
-            at = len(words) - 1
-            while at > 1 and words[at - 1].lower() in PARTICLES:
-                at -= 1
-            last, first = words[at:], words[:at]
-    surname = [plain_vowels(w) for w in (re.sub("[^a-z]", "", w.lower()) for w in last) if w and w not in PARTICLES]
+        return words(last), untitled(words(first)), loud
+    ws = untitled(words(s))
+    if len(ws) > 1 and _is_initials(ws[-1], loud, roles):
+        return ws[:-1], ws[-1:], loud
+    at = len(ws) - 1
+    while at > 1 and (ws[at - 1][0].islower() or ws[at - 1].lower() in roles.particles):
+        at -= 1
+    return ws[max(at, 0) :], ws[: max(at, 0)], loud
+
+
+def role_counts(raw: str) -> Iterator[tuple[str, str]]:
+    """(role, word) that one spelling of a person is a sign for."""
+    last, first, loud = _split_person(raw, Roles())
+    if loud:
+        return
+    for w in last[:-1]:
+        if w[0].islower():
+            yield "particle", w.lower()
+    for i, w in enumerate(first):
+        if len(_bare(w)) > 1 and any(c.islower() for c in w):
+            yield ("later" if i else "given"), _bare(w).lower()
+
+
+def parse_person(raw: str, roles: Roles = Roles()) -> tuple[list[str], str, str, str] | None:
+    """Surname words, the given name if it is written out, first and middle initial; None if no surname is left."""
+    last, first, loud = _split_person(raw, roles)
+    named = [w for w in last if not (w[0].islower() and not loud and len(last) > 1) and w.lower() not in roles.particles] or last
+    surname = sorted(_bare(w).lower() for w in named)
+    if not surname:
+        return None
     given: list[str] = []
+    full = ""
     for w in first:
-        bare = re.sub("[^A-Za-z]", "", w)
-        if bare.lower() in PARTICLES or not bare:
+        if w.lower() in roles.particles or (w[0].islower() and not loud):
             continue
-        given += list(bare.lower()) if initials(w) else [NICKNAMES.get(bare.lower(), bare[0].lower())]
-    if not surname:
-        return None
-    return surname, given[0] if given else "", given[1] if len(given) > 1 else ""
+        bare = _bare(w).lower()
+        if _is_initials(w, loud, roles):
+            given += list(bare)
+        else:
+            full = full or ("" if given else bare)
+            given.append(bare[0])
+    return surname, full, given[0] if given else "", given[1] if len(given) > 1 else ""
 
 
 def parse_organisation(raw: str) -> list[str]:
-    """The telling words, sorted; 'WG' is spelled out, a hyphen separates."""
-    words = re.findall("[a-z]+", fold(raw).lower().replace("'", "").replace("’", ""))
-    out: set[str] = set()
-    for w in words:
-        out |= {"working", "group"} if w == "wg" else set() if w in FILLERS else {plain_vowels(w)}
-    return sorted(out)
+    """The words, sorted; a hyphen separates, an apostrophe doesn't."""
+    return sorted({plain_vowels(w) for w in re.findall("[a-z]+", fold(raw).lower().replace("'", "").replace("’", ""))})
 
 
 def one_error(a: str, b: str) -> bool:
@@ -116,71 +139,176 @@ def one_error(a: str, b: str) -> bool:
     return a[i + 1 :] == b[i + 1 :] or (a[i : i + 2] == b[i : i + 2][::-1] and a[i + 2 :] == b[i + 2 :])
 
 
-def soft_similarity(a: dict[str, float], b: dict[str, float]) -> float:
-    """Matched weight of two weighted word sets, as a share of the lighter one's whole weight."""
+def soft_match(a: dict[str, float], b: dict[str, float]) -> tuple[float, list[str], list[str]]:
+    """Similarity of two weighted word sets, and the words of each that found no partner.
+
+    The similarity is the matched weight as a share of what is matched and the lighter rest; it is 0 if the heaviest word of either, which
+    tells most about who is meant, is among the rest.
+    """
     left, right = dict(a), dict(b)
+    top = [max(x, key=lambda w: (x[w], w)) for x in (a, b) if x]
     matched = 0.0
 
     def take(x: str, y: str, sim: float) -> None:
         nonlocal matched
-        matched += sim * min(left.pop(x), right.pop(y))
+        matched += sim * max(left.pop(x), right.pop(y))
 
     for x in list(left):
         if x in right:
             take(x, x, 1.0)
     for x in list(left):  # abbreviations: all of a word's beginning
-        for y in list(right):
-            s, t = sorted((x, y), key=len)
-            if len(s) >= 3 and t.startswith(s):
-                w = max(left[x], right[y])
-                left[x] = right[y] = w
-                take(x, y, 1.0)
-                break
+        y = next((y for y in right if min(len(x), len(y)) >= 3 and (x.startswith(y) or y.startswith(x))), None)
+        if y is not None:
+            take(x, y, 1.0)
     for x in list(left):
-        for y in list(right):
-            if min(len(x), len(y)) >= SHORTEST and one_error(x, y):
-                w = max(left[x], right[y])
-                left[x] = right[y] = w
-                take(x, y, TYPO_SCORE)
-                break
-    for one, other in ((left, right), (right, left)):  # acronyms: a letter for each of several words of the other
+        y = next((y for y in right if min(len(x), len(y)) >= SHORTEST and one_error(x, y)), None)
+        if y is not None:
+            take(x, y, TYPO_SCORE)
+    for one, other in ((left, right), (right, left)):  # acronyms: a letter for each of several words of the other, but not for its heaviest
         for x in [w for w in one if len(w) <= 4]:
-            pool = sorted(other)
-            used = []
-            for c in x:
-                y = next((p for p in pool if p[0] == c and p not in used), None)
+            used: list[str] = []
+            for i, c in enumerate(x):
+                if used and x[i:] in other:  # the rest stands there as an acronym itself
+                    used.append(x[i:])
+                    break
+                y = next((p for p in sorted(other) if p[0] == c and len(p) >= 3 and p not in used and p not in top), None)
                 if y is None:
+                    used.clear()
                     break
                 used.append(y)
-            else:
-                if len(used) > 1:
-                    matched += one.pop(x)
-                    for y in used:
-                        other.pop(y)
-    rest = min(sum(left.values()), sum(right.values()))
-    return matched / (matched + rest) if matched else 0.0
+            if len(used) > 1:
+                one.pop(x)
+                matched += sum(other.pop(y) for y in used)
+    if any(t in left or t in right for t in top) or not matched:
+        return 0.0, list(left), list(right)
+    return matched / (matched + min(sum(left.values()), sum(right.values()))), list(left), list(right)
+
+
+def soft_similarity(a: dict[str, float], b: dict[str, float]) -> float:
+    return soft_match(a, b)[0]
 
 
-def _grams(word):
-    """The distinct 3-grams of a padded word."""
-    padded = F.concat(F.lit("##"), word, F.lit("##"))
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(padded) - Q + 1), lambda i: F.substring(padded, i, F.lit(Q))))
+def grams(name: str) -> list[str]:
+    """The distinct 3-grams of a name's words with plain vowels, each padded at its front only, so that an abbreviation shares all of its own."""
+    return sorted({padded[i : i + Q] for w in name.split() for padded in ["#" * (Q - 1) + plain_vowels(w)] for i in range(len(padded) - Q + 1)})
 
 
-def similar_words(words: DataFrame) -> DataFrame:
-    """Pairs ``x``, ``y`` (both orders) of the distinct words (``word``) that differ by one error."""
-    grams = words.where(F.length("word") >= SHORTEST).select("word", F.explode(_grams(F.col("word"))).alias("gram"))
-    df = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
-    rank = F.row_number().over(Window.partitionBy("word").orderBy("df", "gram"))
-    prefix = cut_lineage(grams.join(df, "gram").withColumn("r", rank).where(F.col("r") <= PREFIX).select("word", "gram"))
-    pairs = prefix.alias("p").join(prefix.alias("q"), F.expr("p.gram = q.gram and p.word < q.word and abs(length(p.word) - length(q.word)) <= 1"))
+class Rarity:
+    """Weights of grams and words by the number of naming parts of their kind that have them."""
 
-    @F.pandas_udf("boolean")
-    def close(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([one_error(a, b) for a, b in zip(x, y)], dtype=bool)
+    def __init__(self, n: dict[str, int], df: dict[tuple[str, str], int]):
+        self.n, self.df = n, df
 
-    found = pairs.select(F.col("p.word").alias("x"), F.col("q.word").alias("y")).distinct().where(close("x", "y"))
-    return found.select(F.explode(F.array(F.struct("x", "y"), F.struct(F.col("y").alias("x"), F.col("x").alias("y")))).alias("s")).select("s.x", "s.y")
+    def gram(self, kind: str, g: str) -> float:
+        return math.log(1 + self.n.get(kind, 1) / max(RAREST, self.df.get((kind, g), 0))) ** 2
+
+    def words(self, kind: str, name: str, optional: dict[str, float] | None = None) -> dict[str, float]:
+        """Each word weighs by its rarest gram, as no word is in more names than that, and the less the more optional it is."""
+        rarest = lambda w: min(self.df.get((kind, g), 1) for g in grams(w))
+        return {w: min(MOST_WEIGHT, max(1.0, math.log(self.n.get(kind, 1) / rarest(w)))) * (1 - (optional or {}).get(w, 0.0)) for w in name.split()}
+
+    def prefix(self, kind: str, name: str) -> tuple[list[str], float]:
+        """The rarest grams of a name, one of which is shared with every name that is similar enough, and the weight of all its grams."""
+        ranked = sorted(((self.gram(kind, g), self.df.get((kind, g), 0), g) for g in grams(name)), key=lambda x: (-x[0], x[1], x[2]))
+        whole = rest = sum(w for w, _, _ in ranked)
+        out = []
+        for w, _, g in ranked:
+            if rest < LEAST_SHARED * whole:
+                break
+            out.append(g)
+            rest -= w
+        return out, whole
+
+
+def _rarity(mains: DataFrame) -> Rarity:
+    """Counts of all grams. The driver is told at most 27 ** 3 of them a kind, whatever the number of names: their letters are a to z and the pad."""
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = Counter((k, g) for k, name in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for g in grams(name))
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.string()), pa.array([g for _, g in found], pa.string()), pa.array(list(found.values()), pa.int64())], names=["kind", "gram", "n"])
+
+    df = mains.select("kind", "main").mapInArrow(kernel, "kind string, gram string, n long").groupBy("kind", "gram").agg(F.sum("n").alias("n")).collect()
+    n = {r.kind: r["count"] for r in mains.groupBy("kind").count().collect()}
+    return Rarity(n, {(r.kind, r.gram): r.n for r in df})
+
+
+def _one_error(x: Column, y: Column) -> Column:
+    """As one_error(), within compiled code."""
+    swapped = F.exists(F.sequence(F.lit(1), F.length(x) - 1), lambda i: F.concat(F.substring(x, F.lit(1), i - 1), F.substring(x, i + 1, F.lit(1)), F.substring(x, i, F.lit(1)), F.substring(x, i + 2, F.length(x))) == y)
+    far = F.levenshtein(x, y)
+    return (far == 1) | ((far == 2) & (F.length(x) == F.length(y)) & (F.length(x) > 1) & swapped)
+
+
+def similar_names(mains: DataFrame) -> DataFrame:
+    """Pairs ``kind``, ``x`` < ``y`` of the distinct naming parts (``kind``, ``main``) that may be spellings of one, verified."""
+    rarity = _rarity(mains)
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            kinds, names, out, weights = [], [], [], []
+            for kind, name in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                some, whole = rarity.prefix(kind, name)
+                kinds += [kind] * len(some)
+                names += [name] * len(some)
+                out += some
+                weights += [whole] * len(some)
+            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(out, pa.string()), pa.array(names, pa.string()), pa.array(weights, pa.float64())], names=["kind", "gram", "main", "w"])
+
+    prefix = mains.select("kind", "main").mapInArrow(kernel, "kind string, gram string, main string, w double")
+    x, y = (prefix.select("kind", "gram", F.col("main").alias(c), F.col("w").alias(f"w{c}")) for c in "xy")
+    met = x.join(y, ["kind", "gram"]).where(f"x < y and least(wx, wy) >= {LEAST_SHARED} * greatest(wx, wy)")
+    # A surname's verdict costs no more than telling its pairs apart, so it comes first.
+    plain = lambda c: F.regexp_replace(c, "([aou])e", "$1")
+    px, py = plain("x"), plain("y")
+    long = (F.length("x") >= SHORTEST) & (F.length("y") >= SHORTEST) & (F.abs(F.length(px) - F.length(py)) <= 2)
+    people = met.where((F.col("kind") == "p") & ((px == py) | (long & (_one_error(px, py) | _one_error(F.col("x"), F.col("y"))))))
+    return people.select("kind", "x", "y").distinct().unionByName(_similar_bodies(met.where("kind = 'o'").select("x", "y").distinct(), rarity))
+
+
+def _similar_bodies(met: DataFrame, rarity: Rarity) -> DataFrame:
+    """Verified pairs of organisations.
+
+    Words such as articles are there in one spelling and left out in another. How optional a word is is learned from the pairs that are
+    similar enough at first: the share of them in which it finds no partner. Then all are compared again, without its optional part.
+    """
+    met = cut_lineage(met)
+
+    @F.pandas_udf("array<struct<word:string,alone:boolean>>")
+    def partners(a: pd.Series, b: pd.Series) -> pd.Series:
+        out = []
+        for p, q in zip(a, b):
+            x, y = rarity.words("o", p), rarity.words("o", q)
+            score, left, right = soft_match(x, y)
+            out.append([{"word": w, "alone": w in own} for ws, own in ((x, left), (y, right)) for w in ws] if score >= SCORE else [])
+        return pd.Series(out, dtype=object)
+
+    seen = met.select(F.explode(partners("x", "y")).alias("s")).select("s.*").groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.count_if("alone").alias("alone"))
+    pairs = met.count()
+    # Few words are in that share of all pairs.
+    told = seen.where((F.col("n") >= max(ROLE_LEAST, ROLE_SHARE * pairs)) & (F.col("alone") > 0)).collect()
+    optional = {r.word: r.alone / r.n for r in told}
+
+    @F.pandas_udf("double")
+    def score(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([soft_similarity(rarity.words("o", p, optional), rarity.words("o", q, optional)) for p, q in zip(a, b)], dtype=float)
+
+    return met.where(score("x", "y") >= SCORE).select(F.lit("o").alias("kind"), "x", "y")
+
+
+def given_initials(spelled: DataFrame) -> DataFrame:
+    """``full``, ``formal``: written-out given names that go with the initial of another one, such as a short form with that of its formal name.
+
+    Learned from the surnames under which a name occurs written out and someone with initials only: the formal initial is the one met under most
+    of them, if that is more often than the name's own by far.
+    """
+    people = spelled.where("kind = 'p' and g != ''")
+    written = people.where("full != ''").select("main", "full").distinct()
+    initials = people.where("full = ''").select("main", F.col("g").alias("formal")).distinct()  # at most 26 for a surname
+    met = written.join(initials, "main").groupBy("full", "formal").agg(F.count(F.lit(1)).alias("n"))
+    own = F.sum(F.when(F.col("formal") == F.substring("full", 1, 1), F.col("n")).otherwise(0))
+    best = met.groupBy("full").agg(F.max_by("formal", F.struct("n", "formal")).alias("formal"), F.max("n").alias("most"), own.alias("own"), F.sum("n").alias("all"))
+    return best.where(f"formal != left(full, 1) and most >= {ROLE_LEAST} and most > 2 * own and 2 * most >= all").select("full", "formal")
 
 
 def mentions(df: DataFrame, ref: str = "ref_id", authors: str = "authors", consortium: str = "consortium") -> DataFrame:
@@ -191,64 +319,60 @@ def mentions(df: DataFrame, ref: str = "ref_id", authors: str = "authors", conso
     return people.unionByName(bodies).where(F.trim("raw") != "")
 
 
+def _roles(raw: DataFrame) -> Roles:
+    """Titles, particles and short given names, from counts over all distinct spellings of people."""
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = Counter(x for t in b.column(0).to_pylist() for x in role_counts(t))
+            yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in found], pa.string()), pa.array([w for _, w in found], pa.string()), pa.array(list(found.values()), pa.int64())], names=["role", "word", "n"])
+
+    people = raw.where("kind = 'p'").select("raw")
+    least = max(ROLE_LEAST, ROLE_SHARE * people.count())
+    # Few words play a role in that share of all spellings.
+    counted = people.mapInArrow(kernel, "role string, word string, n long").groupBy("role", "word").agg(F.sum("n").alias("n")).where(F.col("n") >= least).collect()
+    by = {(r.role, r.word): r.n for r in counted}
+    titles = frozenset(w for (r, w), n in by.items() if r == "later" and by.get(("given", w), 0) * 10 <= n)
+    return Roles(titles, frozenset(w for r, w in by if r == "particle"), frozenset(w for r, w in by if r == "given" and len(w) <= 3))
+
+
 def resolve(named: DataFrame) -> DataFrame:
     """``kind``, ``raw``, ``entity`` for every distinct spelling in a table of mentions (``kind``, ``raw``).
 
-    A spelling that holds no name is an entity of its own. Spellings, words and pairs of nodes are each counted or
-    joined as distinct values, so neither a spelling nor an entity that makes up a third of all mentions gathers in one task.
-    An empty table gives no rows. Names of any length are parsed whole.
+    A spelling that holds no name is an entity of its own. People without any given name are apart from those with one. Under a
+    surname and first initial with several middle initials, those who give none are an entity apart: nobody can tell whose
+    they are. Spellings, naming parts and pairs of them are each joined as distinct values, so neither a spelling nor an entity
+    that makes up a third of all mentions gathers in one task. An empty table gives no rows. Names of any length are parsed whole.
     """
-    raw = named.groupBy("kind", "raw").agg(F.count(F.lit(1)).alias("n"))
+    raw = cut_lineage(named.select("kind", "raw").distinct())
+    roles = _roles(raw)
 
-    def parsed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
+    def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
             rows = []
-            for kind, text, n in zip(f["kind"], f["raw"], f["n"]):
-                if kind == "p":
-                    words, g, m = parse_person(text) or ([], "", "")
-                else:
-                    words, g, m = parse_organisation(text), "", ""
-                rows.append((kind, text, n, words or ["=" + text], g, m))
-            yield pd.DataFrame(rows, columns=["kind", "raw", "n", "words", "g", "m"])
-
-    spelled = cut_lineage(raw.mapInPandas(parsed, "kind string, raw string, n long, words array<string>, g string, m string"))
-    nodes = spelled.groupBy("kind", "words", "g").agg(F.sum("n").alias("n"))
-    counted = nodes.select("kind", "n", F.explode("words").alias("word")).groupBy("kind", "word").agg(F.sum("n").alias("df"))
-    counted = cut_lineage(counted)
-    close = cut_lineage(similar_words(counted.select("word").distinct()))
-
-    # A word far rarer than its neighbour is that word mistyped; people's names are too rare to tell.
-    of = lambda c: counted.select("kind", F.col("word").alias(c), F.col("df").alias(f"df_{c}"))
-    typed = close.join(of("x"), "x").join(of("y"), ["kind", "y"]).where(f"kind = 'o' and df_y >= {MISTYPED} * df_x and df_y >= {2 * MISTYPED}")
-    better = typed.groupBy("kind", F.col("x").alias("word")).agg(F.max_by("y", F.struct("df_y", "y")).alias("better"))
-    # Two rows: one for each kind.
-    totals = counted.groupBy("kind").agg(F.sum("df").alias("total"))
-    weighted = (
-        nodes.select("kind", "words", "g", F.explode("words").alias("word"))
-        .join(better, ["kind", "word"], "left").withColumn("word", F.coalesce("better", "word"))
-        .join(counted, ["kind", "word"]).join(F.broadcast(totals), "kind")
-        .withColumn("w", F.least(F.lit(MOST_WEIGHT), F.greatest(F.lit(1.0), F.log(F.col("total") / F.col("df")))))
-    )
-    entry = F.struct((F.length("word") >= 4).alias("long"), (-F.col("df")).alias("rare"), "word")
-    keyed = weighted.groupBy("kind", "words", "g").agg(F.map_from_entries(F.collect_set(F.struct("word", "w"))).alias("weights"), F.max(entry).alias("top"))
-    keyed = keyed.select(F.concat_ws("\x01", "kind", F.array_join("words", " "), "g").alias("node"), "kind", "g", F.col("top.word").alias("word"), "weights")
-    keyed = cut_lineage(keyed)
-
-    side = lambda s: keyed.select(F.col("node").alias(f"node_{s}"), "kind", "g", F.col("word").alias(f"word_{s}"), F.col("weights").alias(f"weights_{s}"))
-    # People's nodes are one for each surname and initial: those of one surname differ in the initial and are no candidates.
-    same = side("a").join(side("b").withColumnRenamed("word_b", "word_a"), ["kind", "g", "word_a"]).where("node_a < node_b")
-    near = side("a").join(close.select(F.col("x").alias("word_a"), F.col("y").alias("word_b")), "word_a").join(side("b"), ["kind", "g", "word_b"]).where("node_a < node_b")
-    cols = ["node_a", "node_b", "weights_a", "weights_b"]
-
-    @F.pandas_udf("double")
-    def score(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([soft_similarity(dict(x), dict(y)) for x, y in zip(a, b)], dtype=float)
-
-    edges = same.select(*cols).unionByName(near.select(*cols)).where(score("weights_a", "weights_b") >= SCORE).select("node_a", "node_b")
-    roots = components(edges, "node_a", "node_b")
-    placed = spelled.withColumn("node", F.concat_ws("\x01", "kind", F.array_join("words", " "), "g")).join(roots, "node", "left").withColumn("root", F.coalesce("component", "node"))
-    middles = placed.where("m != ''").groupBy("root", "m").agg(F.sum("n").alias("n")).groupBy("root").agg(F.max_by("m", F.struct("n", "m")).alias("usual"))
-    return placed.join(middles, "root", "left").select("kind", "raw", F.concat_ws("\x01", "root", F.coalesce(F.nullif("m", F.lit("")), "usual", F.lit(""))).alias("entity"))
+            for kind, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                got = parse_person(text, roles) if kind == "p" else (parse_organisation(text), "", "", "")
+                words, full, g, m = got or ([], "", "", "")
+                rows.append((kind, text, " ".join(words) or "=" + text, full, g, m))
+            names = ["kind", "raw", "main", "full", "g", "m"]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(6)], names=names)
+
+    first = cut_lineage(raw.mapInArrow(parsed, "kind string, raw string, main string, full string, g string, m string"))
+    formal = given_initials(first)
+    spelled = first.join(formal, "full", "left").withColumn("g", F.coalesce("formal", "g"))
+    under = Window.partitionBy("kind", "main", "g")  # the spellings of one name, few after the first
+    told = F.nullif("m", F.lit(""))
+    middle = F.when(F.min(told).over(under) == F.max(told).over(under), F.min(told).over(under)).otherwise(F.col("m"))
+    spelled = spelled.withColumn("m", F.coalesce(middle, F.lit("")))
+    spelled = cut_lineage(spelled.select("kind", "raw", "main", "g", "m", F.concat_ws("\x01", "kind", "main", "g", "m").alias("unit")))
+    release(raw, first)
+
+    close = similar_names(spelled.where("left(main, 1) != '='").select("kind", "main").distinct())
+    units = spelled.select("kind", "main", "g", "m", "unit").distinct()
+    x, y = (units.select("kind", F.col("main").alias(c), "g", F.col("m").alias(f"m{c}"), F.col("unit").alias(f"unit_{c}")) for c in "xy")
+    edges = close.join(x, ["kind", "x"]).join(y, ["kind", "y", "g"]).where("mx = my or mx = '' or my = ''").select("unit_x", "unit_y")
+    roots = components(edges, "unit_x", "unit_y")
+    return spelled.join(roots, spelled["unit"] == roots["node"], "left").select("kind", "raw", F.coalesce("component", "unit").alias("entity"))
 
 
 def link_mentions(df: DataFrame, ref: str = "ref_id", authors: str = "authors", consortium: str = "consortium") -> DataFrame:
@@ -261,6 +385,13 @@ def link_mentions(df: DataFrame, ref: str = "ref_id", authors: str = "authors",
 
 
 def mention_pairs(linked: DataFrame) -> DataFrame:
-    """All pairs of mentions of one entity in two different references, the smaller (ref_id, author_no) first."""
-    side = lambda s: linked.where("ref_id is not null").select("entity", F.col("ref_id").alias(f"ref_id_{s}"), F.col("author_no").alias(f"author_no_{s}"))
-    return side("a").join(side("b"), "entity").where("ref_id_a < ref_id_b").select("ref_id_a", "author_no_a", "ref_id_b", "author_no_b")
+    """All pairs of mentions of one entity in two different references, the smaller (ref_id, author_no) first.
+
+    The mentions of a frequent entity are cut into blocks by hash, and each pair of blocks is joined by itself.
+    """
+    rows = linked.where("ref_id is not null").select("entity", "ref_id", "author_no")
+    many = rows.groupBy("entity").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("entity", F.ceil(F.col("n") / PAIR_BLOCK).cast("int").alias("blocks"))
+    rows = rows.join(many, "entity").withColumn("own", F.pmod(F.xxhash64("ref_id", "author_no"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    side = lambda s, i, j: rows.select("entity", F.col("own").alias(i), F.col("other").alias(j), F.col("ref_id").alias(f"ref_id_{s}"), F.col("author_no").alias(f"author_no_{s}"))
+    met = side("a", "i", "j").join(side("b", "j", "i"), ["entity", "i", "j"])
+    return met.where("ref_id_a < ref_id_b").select("ref_id_a", "author_no_a", "ref_id_b", "author_no_b")
