@@ -10,6 +10,9 @@ where they are found; the rest are verified on their whole sets of substrings.
 A pair of similarity 0.70 shares two values in at least one of 12 trees with probability 0.9997. If its regions are crowded, it shares
 four values in one of 12 + 30 trees unless it is among 1 in 100,000 pairs, so the probability is 0.9997 there too.
 Equal texts are one node of the forest: copies are expanded from the pairs of their representatives at the very end.
+
+No task compares an unbounded region: one that shares all values and is larger than BLOCK rows is handed on in blocks, and each pair of
+blocks is compared by itself. Which pairs come out doesn't depend on where the batches of rows end.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.session import cut_lineage
+from seqloom.session import cut_lineage, release
 
 TREES, DEPTH = 12, 4
 #: Further trees for the texts of crowded regions: 1 - (1 - 0.7^4)^30 of the pairs of similarity 0.70 that lengthened prefixes miss.
@@ -30,6 +33,8 @@ MORE_TREES = 30
 MOST_DIFFERENT = 22
 #: Rows of a region that are compared at once; beyond it the prefix is lengthened.
 CROWD = 512
+#: Rows that are looked at together, and rows of a block of a region that can't be split by further values.
+HELD, BLOCK = 100_000, 4096  # HELD must be more than twice BLOCK
 #: For planning only: the share of texts whose signatures show which regions are too large for a task, and how large that is.
 PLAN_SHARE, HOT_ROWS, MOST_HOT = 64, 2_000_000, 100_000
 
@@ -90,7 +95,12 @@ def _sketch(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return pack(bits[:, :half]).view(np.int64), pack(bits[:, half:]).view(np.int64)
 
 
-def _tree_rows(b: pa.RecordBatch, k: int, hot: frozenset) -> pa.RecordBatch:
+def hot_prefixes(hot: list[tuple[int, int]]) -> list[np.ndarray]:
+    """The sorted prefixes of each tree whose regions are too large for one task."""
+    return [np.sort(np.array([h for tree, h in hot if tree == t], np.int64)) for t in range(TREES)]
+
+
+def _tree_rows(b: pa.RecordBatch, k: int, hot: list[np.ndarray]) -> pa.RecordBatch:
     values = signatures(b.column(1), k)
     n = len(values)
     s1, s2 = _sketch(values)
@@ -99,10 +109,10 @@ def _tree_rows(b: pa.RecordBatch, k: int, hot: frozenset) -> pa.RecordBatch:
     deep = ((v[:, :, 2] << np.uint64(32)) | v[:, :, 3]).view(np.int64)
     # Rows of a region too large for one task are spread by their deeper values, the others by the prefix alone.
     spread = np.zeros((n, TREES), np.int64)
-    if hot:
-        for t in range(TREES):
-            mine = np.array([h for tree, h in hot if tree == t], np.int64)
-            spread[:, t] = np.where(np.isin(near[:, t], mine), deep[:, t] >> 32 | 1 << 32, 0)  # never 0 where it is spread
+    for t, mine in enumerate(hot):
+        if len(mine):
+            at = np.minimum(np.searchsorted(mine, near[:, t]), len(mine) - 1)
+            spread[:, t] = np.where(mine[at] == near[:, t], deep[:, t] >> 32 | 1 << 32, 0)  # never 0 where it is spread
     return _batch(b.column(0), near, spread, deep, s1, s2)
 
 
@@ -128,7 +138,7 @@ def _more_rows(b: pa.RecordBatch, k: int) -> pa.RecordBatch:
 _TREE_SCHEMA = "tree int, near long, spread long, deep long, rep long, s1 long, s2 long"
 
 
-def forest_rows(texts: DataFrame, k: int, hot: frozenset, more: bool = False) -> DataFrame:
+def forest_rows(texts: DataFrame, k: int, hot: list[np.ndarray], more: bool = False) -> DataFrame:
     """Rows of the first trees, or of the further ones."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,71 +157,130 @@ def _runs(*cols: np.ndarray) -> np.ndarray:
     return new
 
 
-def neighbours(tree, near, torn, deep, rep, s1, s2, crowd: int = CROWD) -> tuple[np.ndarray, np.ndarray]:
-    """Candidates among rows in signature order: regions of two shared values, of three or four where crowded.
+def _compared(at: np.ndarray, step: int, s1: np.ndarray, s2: np.ndarray, other: np.ndarray | None = None) -> np.ndarray:
+    """Those places whose sketch is near that of the place ``step`` further on (or of ``other``)."""
+    to = at + step if other is None else other
+    fives = np.int64(0x5555555555555555)
+    off = np.zeros(len(at), np.int64)
+    for s in (s1, s2):
+        x = s[at] ^ s[to]
+        off += np.bitwise_count((x | (x >> 1)) & fives)
+    return off <= MOST_DIFFERENT
+
+
+def neighbours(tree, near, torn, deep, rep, s1, s2, crowd: int = CROWD, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Candidates among rows in signature order (regions of two shared values, of three or four where crowded), and the rows of
+    regions that share all values and have more than ``block`` rows, which are not compared here.
 
-    torn: not 0 for rows of a region of which others are elsewhere. Rows of regions that are crowded or torn come as pairs with themselves.
+    torn: not 0 for rows of a region of which others are elsewhere, 2 if even some that share the third value are; it counts as crowded.
+    Rows of regions that are crowded come as pairs with themselves.
     """
     region = np.cumsum(_runs(tree, near))
     sizes = np.bincount(region)
     split = (sizes > crowd) | (np.bincount(region, weights=torn != 0) > 0)
     alone = np.unique(rep[split[region]])
-    for values in (deep >> 32, deep):
-        crowded = sizes[region] > crowd
+    crowded = split[region]
+    for values, level in ((deep >> 32, 2), (deep, 3)):
         if not crowded.any():
             break
         finer = np.cumsum(_runs(region, np.where(crowded, values, 0)))
         region, sizes = finer, np.bincount(finer)
+        crowded &= ((sizes > crowd) | (np.bincount(region, weights=torn >= level) > 0))[region]
+    big = crowded & (sizes[region] > block)
     found = []
-    alive = np.flatnonzero(sizes[region] > 1)
+    alive = np.flatnonzero((sizes[region] > 1) & ~big)
     step = 1
     while len(alive):
         alive = alive[alive + step < len(region)]
         alive = alive[region[alive] == region[alive + step]]
-        x, y = (s[alive] ^ s[alive + step] for s in (s1, s2))
-        fives = np.int64(0x5555555555555555)
-        off = np.bitwise_count((x | (x >> 1)) & fives) + np.bitwise_count((y | (y >> 1)) & fives)
-        hit = alive[off <= MOST_DIFFERENT]
+        hit = alive[_compared(alive, step, s1, s2)]
         found.append(np.stack([rep[hit], rep[hit + step]]))
         step += 1
     found.append(np.stack([alone, alone]))
     both = np.sort(np.concatenate(found, axis=1), axis=0)
     both = np.unique(both, axis=1) if both.size else both
-    return both[0], both[1]
+    return both[0], both[1], np.flatnonzero(big)
 
 
-def candidates(rows: DataFrame) -> DataFrame:
-    """Distinct candidate pairs ``a`` < ``b``, and ``a`` = ``b`` for texts of regions that were split."""
-    crowd = CROWD  # as the driver has it
+_PAIR_SCHEMA = "a long, b long, tree int, near long, deep long, block int, s1 long, s2 long"
+_PAIR_NAMES = ["a", "b", "tree", "near", "deep", "block", "s1", "s2"]
+
+
+def candidates(rows: DataFrame, whole: bool = False) -> DataFrame:
+    """Distinct candidate pairs ``a`` < ``b``, and ``a`` = ``b`` for texts of regions that were split. The result is written.
+
+    whole: rows of the further trees, whose regions are never split: a crowded one is compared whole, in blocks if it is large.
+    """
+    held_rows, block = HELD, BLOCK  # as the driver has them
+    crowd = BLOCK if whole else CROWD
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
-        size = 0
+        held: list[np.ndarray] | None = None
+        count: dict[tuple, int] = {}  # rows handed on of each region that is in sight
 
         def emit(cols):
-            a, b = neighbours(*cols, crowd)
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            a, b, big = neighbours(*cols, crowd, block)
+            tree, near, _, deep, rep, s1, s2 = (c[big] for c in cols)
+            none = np.zeros(len(a), np.int64)
+            keys = list(zip(tree.tolist(), near.tolist(), deep.tolist()))
+            place = np.zeros(len(big), np.int64)
+            for i, key in enumerate(keys):
+                place[i] = count.get(key, 0) // block
+                count[key] = count.get(key, 0) + 1
+            for key in list(count)[:-1]:  # rows come in order: a region that was left doesn't come back
+                del count[key]
+            cols = [np.r_[a, rep], np.r_[b, rep], np.r_[none, tree].astype(np.int32), np.r_[none, near], np.r_[none, deep], np.r_[none - 1, place].astype(np.int32), np.r_[none, s1], np.r_[none, s2]]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=_PAIR_NAMES)
 
-        for b in batches:
-            held.append([c.to_numpy() for c in b.columns])
-            size += b.num_rows
-            if size < 100_000:
-                continue
-            cols = [np.concatenate(x) for x in zip(*held)]
-            # The last region may go on in the next batch; one that fills the buffer is crowded and is cut at its third value.
-            cut = np.flatnonzero(_runs(cols[0], cols[1]))[-1]
-            if not cut:
-                cut = np.flatnonzero(_runs(cols[3] >> 32))[-1]
-                if cut:
-                    cols[2] = np.ones(len(cols[2]), np.int64)
-            if cut:
-                yield emit([c[:cut] for c in cols])
-            held, size = [[c[cut:] for c in cols]], size - cut
-        if size:
-            yield emit([np.concatenate(x) for x in zip(*held)])
+        for batch in batches:
+            new = [c.to_numpy() for c in batch.columns]
+            held = new if held is None else [np.concatenate(x) for x in zip(held, new)]
+            while held is not None and len(held[0]) >= held_rows:
+                cut = int(np.flatnonzero(_runs(held[0], held[1]))[-1])  # the last region may go on in the next batch
+                if not cut:  # it fills the buffer: it is crowded and cut between its third values, or its fourth
+                    for level, values in ((1, held[3] >> 32), (2, held[3])):
+                        if not cut:
+                            held[2] = np.full(len(held[2]), level, np.int64)
+                            cut = int(np.flatnonzero(_runs(values))[-1])
+                # If it has one only, it is handed on in blocks; so many rows stay that the rest is known for such a region too.
+                cut = cut or len(held[0]) - block - 1
+                yield emit([c[:cut] for c in held])
+                held = [c[cut:] for c in held]
+        if held is not None and len(held[0]):
+            yield emit(held)
 
     order = rows.repartition("tree", "near", "spread").sortWithinPartitions("tree", "near", "deep")
-    return order.select("tree", "near", "spread", "deep", "rep", "s1", "s2").mapInArrow(kernel, "a long, b long").distinct()
+    found = cut_lineage(order.select("tree", "near", "spread", "deep", "rep", "s1", "s2").mapInArrow(kernel, _PAIR_SCHEMA))
+    pairs = found.where("block < 0").select("a", "b")
+    blocks = found.where("block >= 0")
+    if not blocks.isEmpty():
+        pairs = pairs.unionByName(_block_pairs(blocks.withColumnRenamed("a", "rep").drop("b")))
+    out = cut_lineage(pairs.distinct())
+    release(found)
+    return out
+
+
+def _block_pairs(rows: DataFrame) -> DataFrame:
+    """Candidates of regions too large to be compared at once: every pair of their blocks is compared by itself."""
+    region = ["tree", "near", "deep"]
+    last = rows.groupBy(*region).agg(F.max("block").alias("last"))
+    met = rows.join(last, region).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last"))))
+    met = met.select(*region, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "s1", "s2")
+
+    def kernel(key, t):
+        i = key[3].as_py()
+        block, rep, s1, s2 = (t.column(c).to_numpy() for c in ("block", "rep", "s1", "s2"))
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == key[4].as_py())
+        same = i == key[4].as_py()
+        out = []
+        for n, x in enumerate(left):
+            others = right[n + 1 :] if same else right
+            hit = others[_compared(np.full(len(others), x), 0, s1, s2, others)]
+            out.append(np.stack([np.full(len(hit), rep[x]), rep[hit]]))
+        both = np.sort(np.concatenate(out, axis=1), axis=0) if out else np.zeros((2, 0), np.int64)
+        return pa.table({"a": both[0], "b": both[1]})
+
+    return met.groupBy(*region, "i", "j").applyInArrow(kernel, "a long, b long").where("a < b")
 
 
 def shared_shares(left: pa.Array, right: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -246,36 +315,41 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, threshold: float) -> Da
 
 
 def distinct_texts(df: DataFrame, id_col: str, text: str, k: int) -> DataFrame:
-    """``seq``, ``rep`` (smallest id), ``n``: the distinct texts of at least k letters. Counted within partitions before the shuffle."""
+    """``seq``, ``rep`` (smallest id), ``n``, ``digest``: the distinct texts of at least k letters, written once. Counted within partitions before the shuffle."""
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text}`").alias("seq")).where((F.length("seq") >= k) & F.col("id").isNotNull())
-    return rows.groupBy("seq").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"))
+    return cut_lineage(rows.groupBy("seq").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).withColumn("digest", F.md5("seq")))
 
 
-def near_pairs(df: DataFrame, id_col: str, text: str, *, k: int = 9, threshold: float = 0.70) -> DataFrame:
+def near_pairs(df: DataFrame, id_col: str, text: str, *, k: int = 9, threshold: float = 0.70, texts: DataFrame | None = None) -> DataFrame:
     """Pairs of representatives of distinct texts: ``a`` < ``b``, ``n_a``, ``n_b`` (copies of each), ``similarity``.
 
     text: a column of letters A-Z only. Similarity is the share of the union of two texts' sets of distinct k-letter
     substrings that both have. The smallest id represents equal texts. Null texts, texts of fewer than k letters and rows of null
-    id are left out; ids must be unique. An empty table gives no rows. Texts are compared whole. The result is checkpointed.
+    id are left out; ids must be unique. An empty table gives no rows. Texts are compared whole. The result is written.
+    texts: what distinct_texts() gave for the same columns, if it is there already.
     """
-    texts = distinct_texts(df, id_col, text, k)
-    plan = forest_rows(texts.where(F.pmod(F.xxhash64("rep"), F.lit(PLAN_SHARE)) == 0), k, frozenset())
+    own = texts is None
+    texts = distinct_texts(df, id_col, text, k) if texts is None else texts
+    plan = forest_rows(texts.where(F.pmod(F.xxhash64("rep"), F.lit(PLAN_SHARE)) == 0), k, hot_prefixes([]))
     crowds = plan.groupBy("tree", "near").count().where(F.col("count") * PLAN_SHARE > HOT_ROWS).orderBy(F.desc("count")).limit(MOST_HOT)
-    hot = frozenset((r.tree, r.near) for r in crowds.collect())
-    found = cut_lineage(candidates(forest_rows(texts, k, hot)))
+    hot = hot_prefixes([(r.tree, r.near) for r in crowds.collect()])
+    found = candidates(forest_rows(texts, k, hot))
     pairs = found.where("a < b")
     crowded = found.where("a = b").select(F.col("a").alias("rep"))
     if not crowded.isEmpty():
-        more = candidates(forest_rows(texts.join(crowded, "rep"), k, frozenset(), more=True)).where("a < b")
+        more = candidates(forest_rows(texts.join(crowded, "rep"), k, hot, more=True), whole=True).where("a < b")
         pairs = pairs.unionByName(more).distinct()
-    return cut_lineage(verified(pairs, texts, k, threshold))
+    out = cut_lineage(verified(pairs, texts, k, threshold))
+    release(found, *([texts] if own else []))
+    return out
 
 
-def expand_copies(pairs: DataFrame, df: DataFrame, id_col: str, text: str, *, k: int = 9) -> DataFrame:
+def expand_copies(pairs: DataFrame, df: DataFrame, id_col: str, text: str, *, k: int = 9, texts: DataFrame | None = None) -> DataFrame:
     """All pairs of ids (``id_a`` < ``id_b``) behind the pairs of representatives; copies of one text are not paired with each other."""
+    texts = distinct_texts(df, id_col, text, k) if texts is None else texts
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.md5(f"`{text}`").alias("digest")).where("id is not null")
-    many = distinct_texts(df, id_col, text, k).where("n > 1").select(F.md5("seq").alias("digest"), "rep")
-    members = cut_lineage(rows.join(many, "digest").select("rep", "id"))
+    members = cut_lineage(rows.join(texts.where("n > 1").select("digest", "rep"), "digest").select("rep", "id"))
+    release(texts)
     for side in "ab":
         alone = pairs.where(f"n_{side} = 1").withColumn(f"id_{side}", F.col(side))
         shared = pairs.where(f"n_{side} > 1").join(members.select(F.col("rep").alias(side), F.col("id").alias(f"id_{side}")), side)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from seqloom.functions.letters import letters, name_fields
 from seqloom.llm.components import components
 from seqloom.llm.copies import collapse, copies
-from seqloom.llm.forest import expand_copies, near_pairs
+from seqloom.llm.forest import distinct_texts, expand_copies, near_pairs
 from seqloom.llm.mixing import mix, share_report
 from seqloom.llm.names import link_mentions, mention_pairs
 from seqloom.llm.packing import fill_report, pack, window_report
@@ -29,7 +29,8 @@ def _letters(spark: SparkSession, d: str) -> dict[str, DataFrame]:
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     def pairs(item: tuple[str, DataFrame]) -> DataFrame:
         t, x = item
-        return expand_copies(near_pairs(x, "id", "letters"), x, "id", "letters").select(F.lit(t).alias("src"), "id_a", "id_b")
+        texts = distinct_texts(x, "id", "letters", 9)
+        return expand_copies(near_pairs(x, "id", "letters", texts=texts), x, "id", "letters", texts=texts).select(F.lit(t).alias("src"), "id_a", "id_b")
 
     with ThreadPoolExecutor(2) as both:  # the two tables' jobs fill each other's idle cores
         fasta, fastq = both.map(pairs, _letters(spark, d).items())

@@ -84,6 +84,34 @@ def test_crowded_pairs_at_the_threshold(spark, monkeypatch):
     assert got <= want and len(got) >= 0.995 * len(want)
 
 
+def family_rows():
+    """A third of all texts are of one family whose signatures are mostly equal; the rest share a leader."""
+    rnd = random.Random(9)
+    base = "".join(rnd.choice("ACGT") for _ in range(2000))
+    leader = "".join(rnd.choice("ACGT") for _ in range(60))
+    rows = [base[:i] + "T" + base[i + 1 :] for i in range(5, 1900, 13)] + [base]
+    for _ in range(100):
+        t = leader + "".join(rnd.choice("ACGT") for _ in range(120))
+        rows += [t, mutated(rnd, t, 2)]
+    return list(enumerate(sorted(set(rows))))
+
+
+def test_large_regions_in_blocks_whatever_the_batches(spark, monkeypatch):
+    rows = family_rows()
+    want = plain(rows)
+    df = spark.createDataFrame(rows, "id long, letters string").repartition(3)
+    monkeypatch.setattr(forest, "CROWD", 6)
+    monkeypatch.setattr(forest, "BLOCK", 10)
+    got = []
+    for held in (100_000, 97, 25):
+        monkeypatch.setattr(forest, "HELD", held)
+        for arrow in ("10000", "17"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", arrow)
+            got.append({(r.a, r.b) for r in near_pairs(df, "id", "letters").collect()})
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert all(x == got[0] for x in got) and got[0] <= want and len(got[0]) >= 0.995 * len(want)
+
+
 def test_kernels():
     texts = pa.array(["ACGTACGTACG", "ACG", "", "ACGTACGTA", "ACGTACGTAT"])
     codes, bounds = shingle_codes(*concatenated(texts), 9)
