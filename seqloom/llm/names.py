@@ -29,7 +29,9 @@ from seqloom.session import cut_lineage, release
 
 Q = 3
 #: Naming parts are compared if so much of their weighted 3-grams is common.
-LEAST_SHARED = 0.25
+LEAST_SHARED = 0.2
+#: How steeply a gram's weight rises with its rarity. Organisations share most of their words with others.
+STEEPNESS = {"p": 1, "o": 4}
 #: Grams in fewer naming parts than this all weigh the same: a typing error makes grams that are rare for no good reason.
 RAREST = 8
 #: Words of one typing error must be at least this long.
@@ -200,7 +202,7 @@ class Rarity:
         self.n, self.df = n, df
 
     def gram(self, kind: str, g: str) -> float:
-        return math.log(1 + self.n.get(kind, 1) / max(RAREST, self.df.get((kind, g), 0))) ** 2
+        return math.log(1 + self.n.get(kind, 1) / max(RAREST, self.df.get((kind, g), 0))) ** STEEPNESS[kind]
 
     def words(self, kind: str, name: str, optional: dict[str, float] | None = None) -> dict[str, float]:
         """Each word weighs by its rarest gram, as no word is in more names than that, and the less the more optional it is."""
@@ -236,7 +238,7 @@ def _rarity(mains: DataFrame) -> Rarity:
 def _one_error(x: Column, y: Column) -> Column:
     """As one_error(), within compiled code."""
     swapped = F.exists(F.sequence(F.lit(1), F.length(x) - 1), lambda i: F.concat(F.substring(x, F.lit(1), i - 1), F.substring(x, i + 1, F.lit(1)), F.substring(x, i, F.lit(1)), F.substring(x, i + 2, F.length(x))) == y)
-    far = F.levenshtein(x, y)
+    far = F.levenshtein(x, y, 2)
     return (far == 1) | ((far == 2) & (F.length(x) == F.length(y)) & (F.length(x) > 1) & swapped)
 
 
@@ -246,21 +248,24 @@ def similar_names(mains: DataFrame) -> DataFrame:
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            kinds, names, out, weights = [], [], [], []
+            kinds, names, plain, out, weights = [], [], [], [], []
             for kind, name in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 some, whole = rarity.prefix(kind, name)
                 kinds += [kind] * len(some)
                 names += [name] * len(some)
+                plain += [plain_vowels(name)] * len(some)
                 out += some
                 weights += [whole] * len(some)
-            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(out, pa.string()), pa.array(names, pa.string()), pa.array(weights, pa.float64())], names=["kind", "gram", "main", "w"])
+            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(out, pa.string()), pa.array(names, pa.string()), pa.array(plain, pa.string()), pa.array(weights, pa.float64())], names=["kind", "gram", "main", "plain", "w"])
 
-    prefix = mains.select("kind", "main").mapInArrow(kernel, "kind string, gram string, main string, w double")
-    x, y = (prefix.select("kind", "gram", F.col("main").alias(c), F.col("w").alias(f"w{c}")) for c in "xy")
+    spark = mains.sparkSession
+    # Few bytes make many pairs: as many tasks as there are partitions, not as few as the bytes would ask for.
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    prefix = mains.select("kind", "main").mapInArrow(kernel, "kind string, gram string, main string, plain string, w double").repartition(tasks, "kind", "gram")
+    x, y = (prefix.select("kind", "gram", F.col("main").alias(c), F.col("plain").alias(f"p{c}"), F.col("w").alias(f"w{c}")) for c in "xy")
     met = x.join(y, ["kind", "gram"]).where(f"x < y and least(wx, wy) >= {LEAST_SHARED} * greatest(wx, wy)")
     # A surname's verdict costs no more than telling its pairs apart, so it comes first.
-    plain = lambda c: F.regexp_replace(c, "([aou])e", "$1")
-    px, py = plain("x"), plain("y")
+    px, py = F.col("px"), F.col("py")
     long = (F.length("x") >= SHORTEST) & (F.length("y") >= SHORTEST) & (F.abs(F.length(px) - F.length(py)) <= 2)
     people = met.where((F.col("kind") == "p") & ((px == py) | (long & (_one_error(px, py) | _one_error(F.col("x"), F.col("y"))))))
     return people.select("kind", "x", "y").distinct().unionByName(_similar_bodies(met.where("kind = 'o'").select("x", "y").distinct(), rarity))
