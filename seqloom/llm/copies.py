@@ -1,10 +1,10 @@
 """Copies that differ only in layout, collapsed by recursive radix partitioning of their canonical bytes.
 
-1. A histogram of the canonical texts' first bytes finds buckets of more bytes than fit a task; those alone are split by
-   further bytes, twice as deep each time, until each fits or holds one text only. What the driver learns are the
-   prefixes of oversized buckets, at most MAX_SPLIT a level.
-2. Each input partition counts its copies in a trie before anything is shuffled, so a text that makes up a third of all
-   rows reaches its bucket as one row per partition and not as so many rows.
+1. Each input partition counts its copies in a trie before anything is shuffled, so a text that makes up a third of all
+   rows reaches its bucket as one row per partition and not as so many rows. The partial counts are written; what follows reads them.
+2. A histogram of the canonical texts' first bytes finds buckets of more bytes than fit a task; those alone are split by
+   further bytes, twice as deep each time, until each fits or holds one text only. The prefixes to be split are tables, joined
+   to the texts; the driver learns of none.
 3. Each bucket's rows meet in one task, sorted by bucket, and are counted in a trie of their own with a terminal counter
    and the smallest id at each end.
 4. The ids of copies never travel with the texts: the partial lists are joined to their class by digest.
@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-#: Most prefixes that the driver is told of, largest first; a few MB. 65,536 buckets of 64 MB hold 4 TB a level.
-MAX_SPLIT = 65_536
+from seqloom.session import cut_lineage, release
+
 FIRST_DEPTH = 8
 #: Canonical bytes after which a partition's trie is handed on and begun anew.
 FLUSH_BYTES = 48 << 20
@@ -100,29 +100,29 @@ def _partials(rows: DataFrame, ids: bool) -> DataFrame:
     return rows.select("g", "canon", "id").mapInArrow(kernel, schema)
 
 
-def _split_points(rows: DataFrame, fit_bytes: int) -> dict[int, list[tuple[str, str]]]:
-    """By depth, the (group, prefix) of buckets that must be split by further bytes."""
-    out: dict[int, list[tuple[str, str]]] = {}
+def _split_points(partial: DataFrame, fit_bytes: int) -> dict[int, DataFrame]:
+    """By depth, a table of the (g, p) whose buckets must be split by further bytes."""
+    out: dict[int, DataFrame] = {}
     depth = FIRST_DEPTH
-    left = rows
+    left = partial.select("g", "canon")
     while True:
         h = F.xxhash64("canon")
         hist = left.groupBy("g", F.substring("canon", 1, depth).alias("p")).agg(F.sum(F.length("canon") + 32).alias("bytes"), F.min(h).alias("a"), F.max(h).alias("b"))
-        over = hist.where((F.col("bytes") > fit_bytes) & (F.col("a") != F.col("b"))).orderBy(F.desc("bytes")).limit(MAX_SPLIT).select("g", "p").collect()
-        if not over:
+        over = cut_lineage(hist.where((F.col("bytes") > fit_bytes) & (F.col("a") != F.col("b"))).select("g", "p"))
+        if over.isEmpty():
+            release(over)
             return out
-        out[depth] = [(r.g, r.p) for r in over]
-        known = rows.sparkSession.createDataFrame(out[depth], "g string, p string")
-        left = left.withColumn("p", F.substring("canon", 1, depth)).join(F.broadcast(known), ["g", "p"], "left_semi").drop("p")
+        out[depth] = over
+        left = left.withColumn("p", F.substring("canon", 1, depth)).join(over, ["g", "p"], "left_semi").drop("p")
         depth *= 2
 
 
-def _bucketed(rows: DataFrame, points: dict[int, list[tuple[str, str]]]) -> DataFrame:
+def _bucketed(rows: DataFrame, points: dict[int, DataFrame]) -> DataFrame:
     """Adds the bucket: the shortest prefix that needs no split."""
     bucket: Column = F.substring("canon", 1, FIRST_DEPTH)
     for depth, known in sorted(points.items()):
-        over = rows.sparkSession.createDataFrame(known, "g string, p string").withColumn("over", F.lit(True))
-        rows = rows.withColumn("p", F.substring("canon", 1, depth)).join(F.broadcast(over), ["g", "p"], "left").drop("p").withColumnRenamed("over", f"over{depth}")
+        over = known.withColumn("over", F.lit(True))
+        rows = rows.withColumn("p", F.substring("canon", 1, depth)).join(over, ["g", "p"], "left").drop("p").withColumnRenamed("over", f"over{depth}")
         bucket = F.when(F.col(f"over{depth}"), F.substring("canon", 1, depth * 2)).otherwise(bucket)
     return rows.withColumn("bucket", bucket).drop(*(f"over{d}" for d in points))
 
@@ -135,9 +135,12 @@ def collapse(df: DataFrame, id_col: str, canonical: Column, group: Column | None
     type is; n_copies counts all rows of the class, the first among them. Rows repeated under one id count each.
     Very long texts are compared whole. An empty table gives no rows. fit_bytes: canonical bytes that one task counts at a time.
     """
-    rows = _rows(df, id_col, canonical, group)
-    points = _split_points(rows, fit_bytes)
-    kind = df.schema[id_col].dataType
+    return _collapsed(cut_lineage(_partials(_rows(df, id_col, canonical, group), ids=False)), fit_bytes)
+
+
+def _collapsed(partial: DataFrame, fit_bytes: int) -> DataFrame:
+    points = _split_points(partial, fit_bytes)
+    kind = partial.schema["first"].dataType
     schema = T.StructType([T.StructField("g", T.StringType()), T.StructField("first_id", kind), T.StructField("n_copies", T.LongType()), T.StructField("canon", T.StringType())])
     arrow = to_arrow_schema(schema)
 
@@ -161,8 +164,7 @@ def collapse(df: DataFrame, id_col: str, canonical: Column, group: Column | None
         if now is not None:
             yield from emit()
 
-    partial = _bucketed(_partials(rows, ids=False), points).select("g", "bucket", "canon", "n", "first")
-    met = partial.repartition("g", "bucket").sortWithinPartitions("g", "bucket")
+    met = _bucketed(partial.select("g", "canon", "n", "first"), points).select("g", "bucket", "canon", "n", "first").repartition("g", "bucket").sortWithinPartitions("g", "bucket")
     return met.mapInArrow(kernel, schema).select("g", "first_id", "n_copies", F.md5("canon").alias("digest"))
 
 
@@ -171,8 +173,9 @@ def copies(df: DataFrame, id_col: str, canonical: Column, group: Column | None =
 
     An id that occurs on several equal rows is listed once for each further row unless it is the first id itself.
     """
-    classes = collapse(df, id_col, canonical, group, fit_bytes=fit_bytes).where("n_copies > 1")
-    lists = _partials(_rows(df, id_col, canonical, group), ids=True).select("g", F.md5("canon").alias("digest"), "ids")
+    partial = cut_lineage(_partials(_rows(df, id_col, canonical, group), ids=True).withColumn("digest", F.md5("canon")))
+    classes = _collapsed(partial, fit_bytes).where("n_copies > 1")
+    lists = partial.select("g", "digest", "ids")
     return (
         lists.join(classes, ["g", "digest"])
         .select("g", "first_id", F.explode("ids").alias("copy_id"))
