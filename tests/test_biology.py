@@ -7,14 +7,14 @@ from seqloom.functions.sequence import translate_dna
 from seqloom.operators import codons as C
 from seqloom.operators import primers as P
 from seqloom.operators import synthesis as Y
-from seqloom.operators.cloning import ENZYMES, Enzyme, digest, digest_parts, enzyme, golden_gate, ligate
+from seqloom.operators.cloning import ENZYMES, Enzyme, digest_parts, enzyme, fragments_of, golden_gate, ligate
 from seqloom.operators.fold import Folder, fold, fold_one
 
 GENE = "aataattacaccgagataacacatcatggataaaccgatactcaaagattctatgaagctatttgaggcacttggtacgatcaagtcgcgctcaatgtttggtggcttcggacttttcgctgatgaaacgatgtttgcactggttgtgaatgatcaacttcacatacgagcagaccagcaaacttcatctaacttcgagaagcaagggctaaaaccgtacgtttataaaaagcgtggttttccagtcgttactaagtactacgcgatttccgacgacttgtgggaatccagtgaacgcttgatagaagtagcgaagaagtcgttagaacaagccaatttggaaaaaaagcaacaggcaagtagtaagcccgacaggttgaaagacctgcctaacttacgactagcgactgaacgaatgcttaagaaagctggtataaaatcagttgaacaacttgaagagaaaggtgcattgaatgcttacaaagcgatacgtgactctcactccgcaaaagtaagtattgagctactctgggctttagaaggagcgataaacggcacgcactggagcgtcgttcctcaatctcgcagagaagagctggaaaatgcgctttcttaa"
 
 
 def test_primer_design(spark):
-    df = spark.createDataFrame([(GENE,), ("ACGT",), (None,), ("A" * 300,)], "s string")
+    df = spark.createDataFrame([(GENE,), ("ACGT",), (None,), ("A" * 3000,)], "s string")
     got = df.select(P.design_primers(F.col("s"), 55.0).alias("p")).select("p.*").collect()
     assert tuple(got[0]) == ("AATAATTACACCGAGATAACACATCATGG", "TTAAGAAAGCGCATTTTCCAGC") and tuple(got[1]) == tuple(got[2]) == (None, None)
     over = df.limit(1).select(P.design_primers(F.col("s"), 55.0, "TTATAGGTCTCATACT", "ATGAAGAGACCATATA").alias("p")).first().p
@@ -24,16 +24,52 @@ def test_primer_design(spark):
 def test_pcr(spark):
     ends = ["TATATGGTCTCTTCATTTAAGAAAGCGCATTTTCCAGC", "TTATAGGTCTCATACTAATAATTACACCGAGATAACACATCATGG", "CTGCAGGTCGACTCTAG"]
     whole = "TTATAGGTCTCATACT" + GENE.upper() + "ATGAAGAGACCATATA"
-    assert P.simulate([GENE], 55.0, False, ends) == ([whole], None)
+    ring = ["actctgggctttagaaggagcgataaacggc", "aagtgcctcaaatagcttcatagaatctttgagtatcgg"]
     inner = ["gatactcaaagattctatgaagctatttgaggcacttggtacg", "tatcgctttgtaagcattcaatgcacctttctcttcaagttg", "gtcgttcctcaatctcgcagagaagagctggaaaatg"]
-    assert len(P.simulate([GENE], 55.0, False, inner)[0]) == 1
-    ring = P.simulate([GENE], 55.0, True, ["actctgggctttagaaggagcgataaacggc", "aagtgcctcaaatagcttcatagaatctttgagtatcgg"])[0]
-    assert ring[0].startswith("ACTCTGGGCTTTAGAAGGAGC") and ring[0].endswith("GAAGCTATTTGAGGCACTT")
-    assert P.simulate([GENE], 55.0, False, ["AATAATTACACCGAGATAACACATCATGG", "CCATGATGTGTTATCTCGGTGTAATTATTTTAAGAAAGCGCATTTTCCAGC"])[1] == "concatemerization"
-    assert P.simulate([GENE], 55.0, False, ["ACGT"])[1]
-    df = spark.createDataFrame([(1, GENE), (2, None)], "r int, t string")
-    got = {r.r: r for r in P.pcr(df, "r", "t", ends, 55.0).collect()}
-    assert got[1].products == [whole] and got[1].error is None and got[2].error == "no input"
+    again = ["AATAATTACACCGAGATAACACATCATGG", "CCATGATGTGTTATCTCGGTGTAATTATTTTAAGAAAGCGCATTTTCCAGC"]
+    df = spark.createDataFrame([(1, GENE, ends), (2, None, ends), (3, GENE, None), (4, GENE, inner), (5, GENE, again), (6, GENE, ["ACGT"]), (7, "", ends), (8, GENE, [])], "r int, t string, p array<string>")
+    got = {r.r: r for r in P.pcr(df, "r", "t", "p", 55.0).collect()}
+    assert got[1].products == [whole] and got[1].error is None and got[2].error == got[3].error == "no input" and got[2].products == []
+    assert len(got[4].products) == 1 and got[5].error == "concatemers" and got[6].error == "short primer" and got[7].products == got[8].products == [] and got[7].error is None
+    (one,) = P.pcr(df.limit(1), "r", "t", ring, 55.0, circular=True).collect()
+    assert one.products[0].startswith("ACTCTGGGCTTTAGAAGGAGC") and one.products[0].endswith("GAAGCTATTTGAGGCACTT")
+    assert [r.error for r in P.pcr(df.where("r = 5"), "r", "t", again, 55.0, check=False).collect()] == [None]
+
+
+def brute_products(t, primers, target, circular):
+    """Pairs of sites by their definition."""
+    f, r = {}, {}
+    for p in primers:
+        b = P.binding_part(p, target)
+        for i in range(len(t)) if b else ():
+            if t.startswith(b, i):
+                f.setdefault(i, []).append((p, b))
+            if t.startswith(turned(b), i):
+                r.setdefault(i, []).append(p)
+    out, places = [], sorted(f)
+    for i in places:
+        later = [x for x in places if x > i]
+        after = sorted(x for x in r if x > i and (not later or x < later[0]))
+        for x in after if not later else after[:1]:
+            out += [(i, x, t[i:x])]
+        if not later and not after and circular:
+            out += [(i, x, t[i:] + t[:x]) for x in sorted(r) if x < places[0]]
+    return [p[: len(p) - len(b)] + body + turned(q) for i, x, body in out for p, b in f[i] for q in r[x]]
+
+
+def test_pcr_against_all_pairs(spark):
+    import random
+
+    rnd = random.Random(6)
+    rows = []
+    for i in range(60):
+        unit = ["".join(rnd.choice("ACGT") for _ in range(24)) for _ in range(3)]
+        t = "".join(rnd.choice([*unit, *map(turned, unit), "".join(rnd.choice("ACGT") for _ in range(9))]) for _ in range(rnd.randint(2, 9)))
+        rows.append((i, t, unit))
+    df = spark.createDataFrame(rows, "r int, t string, p array<string>")
+    for circular in (False, True):
+        got = {r.r: r.products for r in P.pcr(df, "r", "t", "p", 50.0, circular, check=False).collect()}
+        assert got == {i: brute_products(t, p, 50.0, circular) for i, t, p in rows} and any(got.values())
 
 
 def test_barcodes():
@@ -46,6 +82,10 @@ BSAI, OTHER = "GGTCTCAATGC", "ATGCAGAGACC"
 
 
 def test_digest(spark):
+    def digest(s, ring, directional, e):
+        x = spark.createDataFrame([(s,)], "s string").select(fragments_of(F.col("s"), F.lit(ring), e, directional).alias("x")).first().x
+        return [tuple(r) for r in x]
+
     part = "ATATATA" + OTHER + BSAI + "ATGCATCGATCGACTAGCATG" + OTHER + BSAI[:8]
     e = enzyme("BsaI")
     assert digest(part, False, True, e) == [("ATGCATCGATCGACTAGCATG", "ATGC", "ATGC")]
@@ -58,13 +98,20 @@ def test_digest(spark):
     assert digest("", False, True, e) == [] and digest("GAATTCAAAA" * 3, False, True, Enzyme("EcoRI", "GAATTC", 0, 0)) == [("AAAAGAATTC", "", "")] * 2
     with pytest.raises(KeyError):
         enzyme("EcoRFake")
-    df = spark.createDataFrame([(1, part), (2, None), (3, "ACGT")], "id int, s string")
-    assert [tuple(r) for r in digest_parts(df, "id", "s", e).collect()] == [(1, 1, "ATGCATCGATCGACTAGCATG", "ATGC", "ATGC")]
+    df = spark.createDataFrame([(1, part, None), (2, None, True), (3, "ACGT", False), (4, part.lower(), True)], "id int, s string, ring boolean")
+    assert [tuple(r) for r in digest_parts(df.limit(3), "id", "s", e).collect()] == [(1, 1, "ATGCATCGATCGACTAGCATG", "ATGC", "ATGC")]
+    assert [(r.id, r.fragment_no) for r in digest_parts(df, "id", "s", e, circular="ring").orderBy("id", "fragment_no").collect()] == [(1, 1), (4, 1), (4, 2)]
 
 
 def test_ligation(spark):
     made, loops = ligate([("AAAAAA", "GTTG", "CTAT"), ("AAAAAA", "CAAC", "ATAG")])
     assert len(made) == 1 and not loops and ligate([]) == ([], [])
+    # One piece that fits itself, two that make a ring of two, whichever way they lie, and one that only comes back turned round.
+    assert ligate([("ACGTT", "AATG", "AATG")])[0] == ["AATGACGTT"]
+    ring = [("CCCCA", "AATG", "CGAG"), ("TTTGA", "CGAG", "AATG")]
+    flipped = [ring[0], (turned("TTTGA"), turned("AATG"), turned("CGAG"))]
+    assert ligate(ring)[0] == ligate(flipped)[0] == ["AATGCCCCACGAGTTTGA"]
+    assert ligate([("CCCCA", "AATG", "CGAG"), ("GGGTA", "CGAG", turned("CGAG"))])[1] == ["AATGCCCCACGAG"]
     ends, bodies = ["AATG", "CGAG", "TACT", "AATG"], ["ACGTTGCAAC", "TTGACCATGC", "CATTGACGGA"]
     rows = [(1, i, "TTGGTCTCA" + ends[i] + bodies[i] + ends[i + 1] + "TGAGACCAA", False) for i in range(3)] + [(None, 0, "A", False), (2, 0, None, None)]
     got = {r.r: r for r in golden_gate(spark.createDataFrame(rows, "r int, o int, s string, ring boolean"), "r", "s", "ring", ENZYMES["BsaI"], "o").collect()}
@@ -80,17 +127,36 @@ def test_fidelity():
     pieces, share, error = Y.fragment(s, 90, 110, counts)
     assert error is None and 0 < share <= 1 and all(len(p) <= 110 for p in pieces) and pieces[0] + "".join(p[4:] for p in pieces[1:]) == s
     assert Y.fragment("A" * 300, 40, 80, counts)[2] and Y.fragment(s, 105, 95, counts)[2] and Y.fragment(s, 7, 95, counts)[2]
+    # Against the definition, word by word.
+    words = ["AATG", "AATC", "CGAG", "TACT", "GGGA"]
+    n = lambda x, y: counts.counts[Y.CODE[x], Y.CODE[y]]
+    share = 1.0
+    for x in words:
+        total = sum(n(x, y) + n(x, turned(y)) for y in words)
+        share *= n(x, x) / total if total != n(x, x) else 1.0
+    assert Y.set_efficiency(words, counts) == pytest.approx(share) and Y.set_efficiency([], counts) == 1.0
+    for w, x in Y.next_overhangs(words, counts):
+        assert x == pytest.approx((Y.set_efficiency([*words, w], counts) + Y.set_efficiency([*words, turned(w)], counts)) / 2)
+    assert Y.fragment("", 90, 110, counts)[0] == [""] and Y.fragment("ACGTN" * 100, 90, 110, counts)[2] == "no place to cut"
     only = Y.fragment(s, 60, 110, counts, include=[s[i : i + 4] for i in range(0, len(s), 9)])
     assert only[2] is None
 
 
+def test_measured_fidelity(tmp_path):
+    """A published table, and the same as a list: the partner of a row is what it is ligated with."""
+    (tmp_path / "t.csv").write_text("Overhang,TTTT,GTTT,CATT\nAAAA,600,3,0\nAAAC,2,500,0\nAATG,0,0,400\n")
+    (tmp_path / "t.json").write_text('[["AAAA","AAAA",600],["AAAA","AAAC",3],["AAAC","AAAA",2],["AAAC","AAAC",500],["AATG","AATG",400]]')
+    a, b = (Y.read_fidelity(str(tmp_path / f"t.{x}")) for x in ("csv", "json"))
+    assert (a.counts == b.counts).all() and Y.set_efficiency(["AAAA", "AAAC", "AATG"], a) == pytest.approx(600 / 603 * 500 / 502)
+
+
 def rows(weights=None):
     return [(a, t, (weights or {}).get(t, 10)) for t, a in genetic_code(1).items()]
 
 
 def test_fixing(spark):
     fixed, changes, error = Y.fix_cds("ATGTATTGA", rows({"TAT": 40, "TAC": 30}), Y.usual_finders(["TAT"]))
-    assert fixed == "ATGTACTGA" and error is None and changes == [(1, 0, "TAT", "TAC", "Removal requested by user")]
+    assert fixed == "ATGTACTGA" and error is None and changes == [(1, 0, "TAT", "TAC", "unwanted word")]
     assert Y.fix_cds("AT", rows(), [])[2] and Y.fix_cds("ATG", rows()[:60], [])[2] and Y.fix_cds("ATG", rows(), [lambda s: [Y.Suggestion(0, 1, "XY", 1, "")]])[2]
     assert Y.fix_cds("GGG", rows(), [Y.bound_gc(0.1, 0.05)])[2] and Y.fix_cds("ATG", rows(), [lambda s: [Y.Suggestion(10**18, 10, "GC", 1, "")]])[2]
     gene = "ATGGGTCTCGAAGACAAAAAAAAAAAACTGACTGGATCACCGTTAGGTCTCCATGACTAA"
