@@ -240,11 +240,13 @@ def feature_sequences(spark, d):
     return f.join(g, "record_id").select("feature_id", F.md5(S.feature_sequence("p", "segments", F.coalesce("turned", F.lit(False)))).alias("digest"))
 
 
-_K = "k between 15 and least(length(seq), 200)"
-_DESIGN = _DNA + f""", ends as (select id, 'forward' side, substr(seq, 1, 200) seq from s union all select id, 'reverse', substr(reverse({_COMP}), 1, 200) from s),
-  p as (select id, side, k, substr(seq, 1, cast(k as integer)) x from ends, unnest(range(15, 201)) u(k) where {_K}),
-  t as (select id, side, k, x from p where {_thermo('x', 500e-9, 50e-3)[0]} >= 55.0),
-  m as (select id, side, min_by(x, k) x from t group by id, side)
+# Nearly all primers are short: longer ones are looked for where none of 200 letters or less was found.
+_TEMP = _thermo("x", 500e-9, 50e-3)[0]
+_DESIGN = _DNA + f""", ends as (select id, 'forward' side, seq from s union all select id, 'reverse', reverse({_COMP}) from s),
+  m1 as (select id, side, min_by(x, k) x from (select id, side, k, substr(seq, 1, cast(k as integer)) x from ends, unnest(range(15, 201)) u(k) where k <= length(seq)) where {_TEMP} >= 55.0 group by id, side),
+  rest as (select * from ends anti join m1 using (id, side) where length(seq) > 200),
+  m2 as (select id, side, min_by(x, k) x from (select id, side, k, substr(seq, 1, cast(k as integer)) x from rest, unnest(range(201, length(seq) + 1)) u(k)) where {_TEMP} >= 55.0 group by id, side),
+  m as (select * from m1 union all select * from m2)
   select s.id, a.x forward, b.x reverse from s left join m a on a.id = s.id and a.side = 'forward' left join m b on b.id = s.id and b.side = 'reverse'"""
 
 

@@ -8,7 +8,7 @@ from seqloom.operators import codons as C
 from seqloom.operators import primers as P
 from seqloom.operators import synthesis as Y
 from seqloom.operators.cloning import ENZYMES, Enzyme, digest_parts, enzyme, fragments_of, golden_gate, ligate
-from seqloom.operators.fold import Folder, fold, fold_one
+from seqloom.operators.fold import Fold, fold, fold_one
 
 GENE = "aataattacaccgagataacacatcatggataaaccgatactcaaagattctatgaagctatttgaggcacttggtacgatcaagtcgcgctcaatgtttggtggcttcggacttttcgctgatgaaacgatgtttgcactggttgtgaatgatcaacttcacatacgagcagaccagcaaacttcatctaacttcgagaagcaagggctaaaaccgtacgtttataaaaagcgtggttttccagtcgttactaagtactacgcgatttccgacgacttgtgggaatccagtgaacgcttgatagaagtagcgaagaagtcgttagaacaagccaatttggaaaaaaagcaacaggcaagtagtaagcccgacaggttgaaagacctgcctaacttacgactagcgactgaacgaatgcttaagaaagctggtataaaatcagttgaacaacttgaagagaaaggtgcattgaatgcttacaaagcgatacgtgactctcactccgcaaaagtaagtattgagctactctgggctttagaaggagcgataaacggcacgcactggagcgtcgttcctcaatctcgcagagaagagctggaaaatgcgctttcttaa"
 
@@ -192,11 +192,45 @@ def test_optimize(spark):
     assert again == got[0].d and other != got[0].d
 
 
+# Published estimates of free energies at 37 degrees.
+ESTIMATES = {
+    "GGGAGGTCGTTACATCTGGGTAACACCGGTACTGATCCGGTGACCTCCC": -10.94, "GGGAGGTCGCTCCAGCTGGGAGGAGCGTTGGGGGTATATACCCCCAACACCGGTACTGATCCGGTGACCTCCC": -23.4, "TAGCTCAGCTGGGAGAGCGCCTGCTTTGCACGCAGGAGGT": -6.85,
+    "GGGGGCATAGCTCAGCTGGGAGAGCGCCTGCTTTGCACGCAGGAGGTCTGCGGTTCGATCCCGCGCGCTCCCACCA": -15.5, "TGAGACGGAAGGGGATGATTGTCCCCTTCCGTCTCA": -18.1, "ACCCCCTCCTTCCTTGGATCAAGGGGCTCAA": -3.65, "ACCCCCUCCUUCCUUGGAUCAAGGGGCUCAA": -9.5,
+    "AAGGGGUUGGUCGCCUCGACUAAGCGGCUUGGAAUUCC": -10.1, "UUGGAGUACACAACCUGUACACUCUUUC": -4.3, "AGGGAAAAUCCC": -3.3, "GCUUACGAGCAAGUUAAGCAAC": -4.6, "UGGGAGGUCGUCUAACGGUAGGACGGCGGACUCUGGAUCCGCUGGUGGAGGUUCGAGUCCUCCCCUCCCAGCCA": -32.8,
+    "GGGCGAUGAGGCCCGCCCAAACUGCCCUGAAAAGGGCUGAUGGCCUCUACUG": -20.7, "GGGGGCAUAGCUCAGCUGGGAGAGCGCCUGCUUUGCACGCAGGAGGUCUGCGGUUCGAUCCCGCGCGCUCCCACCA": -31.4,
+}
+
+
 def test_fold(spark):
+    for s, want in ESTIMATES.items():
+        assert abs(fold_one(s)[0] - want) <= max(2.7, 0.1 * abs(want)), s
     assert fold_one("ACCCCCUCCUUCCUUGGAUCAAGGGGCUCAA")[1] == ".((((.(((......)))....))))"
-    mfe, text, _ = fold_one("GGGAGGTCGTTACATCTGGGTAACACCGGTACTGATCCGGTGACCTCCC")
-    assert text == "((((((((.((((......))))..((((.......)))).))))))))" and abs(mfe + 13.4924) < 1e-3
-    f = Folder("GGGAGGTCGTTACATCTGGGTAACACCGGTACTGATCCGGTGACCTCCC", 37.0)
-    assert f.hairpin(0, 3) == float("inf")
-    got = spark.createDataFrame([("ACGUT",), ("",), (None,), ("ACGT" * 50,), ("GGGGAAAACCCC",)], "s string").select(fold(F.col("s")).alias("f")).select("f.*").collect()
-    assert got[0].error and got[1].mfe is None and got[2].dot_bracket is None and got[3].error == "too long" and got[4].dot_bracket == "((((....))))"
+    _, text, parts = fold_one("GGGAGGTCGTTACATCTGGGTAACACCGGTACTGATCCGGTGACCTCCC")
+    assert text == "(((((((((((((......))))).((((.......)))).))))))))" and [(a, p) for _, kind, p, a in parts if kind == "branching loop"] == [([(8, 23), (25, 39)], (7, 41))]
+    f = Fold("GCUCAGCUGGGAGAGC")
+    c = f.c
+    assert f.m.stack[c[1], c[2], c[14], c[13]] == pytest.approx(-2.1, abs=0.1) and f.v[0, 15] == pytest.approx(-3.8, abs=0.2)
+    assert Fold("CCUGCUUUGCACGCAGG").v[0, 16] == pytest.approx(-6.4, abs=0.2) and Fold("GCGGUUCGAUCCCGC").v[0, 14] == pytest.approx(-4.2, abs=0.2)
+    assert Fold("ACCCCCATCCTTCCTTGAGTCAAGGGGCTCAA").bulge(5, 7, 18, 17) == pytest.approx(3.22, abs=0.4) and Fold("ACCCCCTCCTTCCTTGGATCAAGGGGCTCAA").interior(6, 10, 21, 17) == pytest.approx(3.5, abs=0.1)
+    assert [Fold(s).hairpin(i, j) for s, i, j in (("ACCCCCTCCTTCCTTGGATCAAGGGGCTCAA", 11, 16), ("ACCCGCAAGCCCTCCTTCCTTGGATCAAGGGGCTCAA", 3, 8), ("CUUUGCACG", 0, 8))] == [pytest.approx(x, abs=y) for x, y in ((4.3, 1.0), (0.67, 0.1), (4.5, 0.2))]
+    assert Fold("GGGGAAAACCCC").hairpin(0, 3) == float("inf")
+    got = spark.createDataFrame([("ACGUT",), ("",), (None,), ("ACGT" * 150,), ("GGGGAAAACCCC",), ("ggggaaaacccc",), ("AAAAAAAAAA",)], "s string").select(fold(F.col("s")).alias("f")).select("f.*").collect()
+    assert got[0].error and got[1].mfe is None and got[2].dot_bracket is None and got[3].error == "too long" and got[4].dot_bracket == got[5].dot_bracket == "((((....))))" and got[6].mfe is None and got[6].dot_bracket == ""
+
+
+def test_fold_adds_up():
+    """A structure's parts have the energy that the tables say, and no pair crosses another."""
+    import random
+
+    rnd = random.Random(12)
+    for n in (5, 9, 20, 60, 120):
+        for letters in ("ACGT", "ACGU"):
+            f = Fold("".join(rnd.choice(letters) for _ in range(n)))
+            parts = f.parts() if f.x[n] < float("inf") else []
+            for g, kind, (i, j), inner in parts:
+                assert f.v[i, j] == pytest.approx(g + sum(f.v[p] for p in inner))
+                want = {"hairpin": lambda: f.hairpin(i, j), "bulge": lambda: f.bulge(i, inner[0][0], j, inner[0][1]), "interior loop": lambda: f.interior(i, inner[0][0], j, inner[0][1])}.get(kind)
+                assert want is None or g == pytest.approx(want())
+                assert all(i < p < q < j for p, q in inner) and all(a[1] < b[0] for a, b in zip(inner, inner[1:]))
+            pairs = [p for _, _, p, _ in parts]
+            assert len({x for p in pairs for x in p}) == 2 * len(pairs)
