@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -117,6 +119,7 @@ def rotate(s: str) -> str:
     return s[at:] + s[:at]
 
 
+# Letter of the kind in an identity, and the letters of its sequences.
 _TYPES = {"DNA": ("D", set("ATUGCYRSWKMBDHVNZ")), "RNA": ("R", set("ATUGCYRSWKMBDHVNZ")), "PROTEIN": ("P", set("ACDEFGHIKLMNPQRSTVWYUO*BXZ"))}
 
 
@@ -215,49 +218,85 @@ class Scoring:
         for (a, b), x in (table or {}).items():
             self.scores[alphabet.index(a), alphabet.index(b)] = x
 
-    def rows(self, a: str, b: str) -> np.ndarray | None:
-        """Score of every letter of a with every one of b; None if a letter is foreign."""
+    def places(self, s: str) -> np.ndarray | None:
+        """The place of every letter in the alphabet; None if one is foreign."""
         try:
-            x, y = (self.index[np.frombuffer(s.encode("latin-1"), np.uint8)] for s in (a, b))
+            x = self.index[np.frombuffer(s.encode("latin-1"), np.uint8)]
         except UnicodeEncodeError:
             return None
-        return None if (x < 0).any() or (y < 0).any() else self.scores[np.ix_(x, y)]
+        return None if (x < 0).any() else x
+
 
+#: Cells of a matrix that are kept at once. Of larger ones some rows are kept, and those between two of them worked out again on the way back.
+KEPT_CELLS = 1 << 22
 
-def align(a: str, b: str, scoring: Scoring, local: bool) -> tuple[int, str, str] | None:
+
+def align(a: str, b: str, scoring: Scoring, local: bool, kept_cells: int = KEPT_CELLS) -> tuple[int, str, str] | None:
     """Score and the two gapped texts. Rows of the matrix are computed whole: a running maximum carries gaps along a row.
 
     Of equal ways the diagonal goes before a gap in b, that before a gap in a. A global alignment ends where either text
-    is used up; what is left of the other is not shown.
+    is used up; what is left of the other is not shown. Memory grows with one text's length times the root of the other's.
     """
-    s = scoring.rows(a, b)
-    if s is None:
+    x, y = scoring.places(a), scoring.places(b)
+    if x is None or y is None:
         return None
     n, m, gap = len(a), len(b), scoring.gap
+    against = scoring.scores[:, y] if len(scoring.scores) else np.zeros((0, m), np.int64)
     ramp = gap * np.arange(m + 1)
-    h = np.zeros((n + 1, m + 1), np.int64)
-    if not local:
-        h[0], h[:, 0] = ramp, gap * np.arange(n + 1)
+
+    def row(i: int, above: np.ndarray) -> np.ndarray:
+        best = np.empty(m + 1, np.int64)
+        best[0] = 0 if local else gap * i
+        np.maximum(above[:-1] + against[x[i - 1]], above[1:] + gap, out=best[1:])
+        if local:
+            np.maximum(best, 0, out=best)
+        return np.maximum.accumulate(best - ramp) + ramp
+
+    every = 1 if (n + 1) * (m + 1) <= kept_cells else max(1, int(n**0.5))
+    h = np.zeros(m + 1, np.int64) if local else ramp.copy()
+    kept, top, where = {0: h}, 0, (0, 0)
     for i in range(1, n + 1):
-        best = np.maximum(h[i - 1, :-1] + s[i - 1], h[i - 1, 1:] + gap)
-        best = np.r_[h[i, 0], np.maximum(best, 0) if local else best]
-        h[i] = np.maximum.accumulate(best - ramp) + ramp
-    i, j = np.unravel_index(int(h.argmax()), h.shape) if local else (n, m)
-    score, x, y = int(h[i, j]), [], []
-    while i > 0 and j > 0 and (not local or h[i, j] > 0):
-        if h[i, j] == h[i - 1, j - 1] + s[i - 1, j - 1]:
+        h = row(i, h)
+        if i % every == 0:
+            kept[i] = h
+        if local and h.max() > top:
+            top, where = int(h.max()), (i, int(h.argmax()))
+    i, j = where if local else (n, m)
+    score = top if local else int(h[m])
+    block: dict[int, np.ndarray] = {}
+
+    def of(i: int) -> np.ndarray:
+        """Row i, from the rows that are kept."""
+        if every == 1:
+            return kept[i]
+        if i not in block:
+            low = (i - 1) // every * every if i else 0
+            block.clear()
+            block[low] = kept[low]
+            for k in range(low + 1, min(n, low + every) + 1):
+                block[k] = row(k, block[k - 1])
+        return block[i]
+
+    one, two = [], []
+    while i > 0 and j > 0:
+        here, above = of(i), of(i - 1) if i - 1 in block or every == 1 else None
+        if above is None:  # the row above belongs to the stretch before
+            above, here = kept[i - 1] if i - 1 in kept else of(i - 1), here
+        if local and here[j] <= 0:
+            break
+        if here[j] == above[j - 1] + against[x[i - 1], j - 1]:
             i, j = i - 1, j - 1
-            x.append(a[i])
-            y.append(b[j])
-        elif h[i, j] == h[i - 1, j] + gap:
+            one.append(a[i])
+            two.append(b[j])
+        elif here[j] == above[j] + gap:
             i -= 1
-            x.append(a[i])
-            y.append("-")
+            one.append(a[i])
+            two.append("-")
         else:
             j -= 1
-            x.append("-")
-            y.append(b[j])
-    return score, "".join(reversed(x)), "".join(reversed(y))
+            one.append("-")
+            two.append(b[j])
+    return score, "".join(reversed(one)), "".join(reversed(two))
 
 
 def alignment(a: Column, b: Column, scoring: Scoring | None = None, local: bool = False) -> Column:
@@ -272,13 +311,21 @@ def alignment(a: Column, b: Column, scoring: Scoring | None = None, local: bool
     return run(a, b)
 
 
-# EDNAFULL-like scores of the four bases and the gap letter, by position in 'ACGT-' one place on: the published table's first row and column are the gap's.
+# Scores of the published nucleotide matrix, rows and columns in the order of its letters.
+NUC_4_LETTERS = "-ACGT"
 NUC_4_ROWS = [[0, 0, 0, 0, 0], [0, 5, -4, -4, -4], [0, -4, 5, -4, -4], [0, -4, -4, 5, -4], [0, -4, -4, -4, 5]]
 
 
+def scoring_of(pairs: Iterable[tuple[str, str, int]], gap: int = -1) -> Scoring:
+    """Scoring by a substitution matrix given as (letter, letter, score), such as the rows of read_matrix(). A pair without a score has the least of all."""
+    pairs = list(pairs)
+    letters = "".join(dict.fromkeys(x for a, b, _ in pairs for x in (a, b)))
+    least = min((s for *_, s in pairs), default=0)
+    return Scoring(gap, least, least, letters, {(a, b): int(s) for a, b, s in pairs})
+
+
 def nuc_4(gap: int = -1) -> Scoring:
-    letters = "ACGT-"
-    return Scoring(gap, alphabet=letters, table={(x, y): NUC_4_ROWS[i][j] for i, x in enumerate(letters) for j, y in enumerate(letters)})
+    return scoring_of(((x, y, NUC_4_ROWS[i][j]) for i, x in enumerate(NUC_4_LETTERS) for j, y in enumerate(NUC_4_LETTERS)), gap)
 
 
 # --- Full text --------------------------------------------------------------------------------------------------------

@@ -6,10 +6,13 @@ a record's own grammar is then a projection or an Arrow kernel over single recor
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -62,49 +65,109 @@ def parse_fasta(text: str, strict_end: bool = True, max_line: int | None = None,
 
 
 class _Range(InputPartition):
-    def __init__(self, path: str, start: int, end: int):
-        self.path, self.start, self.end = path, start, end
+    def __init__(self, uri: str, start: int, end: int):
+        self.uri, self.start, self.end = uri, start, end
 
 
 class _FastqReader(DataSourceReader):
+    """Files of any file system that Arrow can open by a URI (local, HDFS, S3, GCS and others), read in ranges of bytes, in Arrow batches."""
+
     def __init__(self, options: dict):
         self.options = options
 
     def partitions(self) -> list[_Range]:
-        import glob
+        import fnmatch
         import os
 
+        from pyarrow import fs as afs
+
         size = int(self.options.get("splitbytes", 64 << 20))
+        given = self.options["path"]
+        uri = given if re.match(r"[a-z0-9+]+://", given) else "file://" + os.path.abspath(given.removeprefix("file:"))
+        # A pattern in the last part of the path is matched among the folder's files.
+        folder, _, last = uri.rpartition("/")
+        pattern = last if any(c in last for c in "*?[") else None
+        system, path = afs.FileSystem.from_uri(folder if pattern else uri)
+        info = system.get_file_info(path)
+        files = [info] if info.type == afs.FileType.File else system.get_file_info(afs.FileSelector(path, allow_not_found=True))
+        scheme = uri.split("://")[0] + "://"
         out = []
-        path = self.options["path"].removeprefix("file:")
-        found = sorted(glob.glob(os.path.join(path, "*"))) if os.path.isdir(path) else sorted(glob.glob(path))
-        for p in found:
-            n = os.path.getsize(p)
-            out += [_Range(p, 0, -1)] if p.endswith(".gz") else [_Range(p, a, min(n, a + size)) for a in range(0, max(n, 1), size)]
+        for f in sorted(files, key=lambda f: f.path):
+            if f.type != afs.FileType.File or f.base_name[:1] in "._" or pattern and not fnmatch.fnmatch(f.base_name, pattern):
+                continue
+            where = scheme + (f.path if f.path.startswith("/") or scheme != "file://" else "/" + f.path)
+            out += [_Range(where, 0, -1)] if f.base_name.endswith(".gz") else [_Range(where, a, min(f.size, a + size)) for a in range(0, max(f.size, 1), size)]
         return out
 
-    def read(self, part: _Range) -> Iterator[tuple]:
-        import gzip
-
-        with gzip.open(part.path, "rb") if part.end < 0 else open(part.path, "rb") as f:
-            if part.start:
-                f.seek(part.start - 1)
-                f.readline()
-                # The '@' of a quality line may look like a record's: one is where the second line on begins with '+'.
-                ahead = [(f.tell(), f.readline()) for _ in range(1)]
-                while ahead[-1][1] and len(ahead) < 8:
-                    at = f.tell()
-                    ahead.append((at, f.readline()))
-                start = next((i for i in range(len(ahead) - 2) if ahead[i][1][:1] == b"@" and ahead[i + 2][1][:1] == b"+"), None)
-                if start is None:
-                    return
-                f.seek(ahead[start][0])
-            while part.end < 0 or f.tell() < part.end:
-                lines = [f.readline() for _ in range(4)]
-                if not lines[0]:
-                    return
-                head, seq, plus, quality = (x.rstrip(b"\r\n").decode("utf-8", "replace") for x in lines)
-                yield fastq_row(head, seq, plus, quality)
+    def read(self, part: _Range) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs as afs
+
+        system, path = afs.FileSystem.from_uri(part.uri)
+        if part.end < 0:
+            with system.open_input_stream(path, compression="gzip") as f:
+                yield from fastq_batches(f, 0, -1, True)
+        else:
+            with system.open_input_file(path) as f:
+                f.seek(max(0, part.start - 1))
+                yield from fastq_batches(f, max(0, part.start - 1), part.end, part.start == 0)
+
+
+def fastq_batches(f, at: int, end: int, first: bool, block: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Records of four lines that begin before ``end`` (-1: all), from a file that stands at ``at``; the last is read beyond it.
+
+    Not ``first``: the range begins amid a record. A record begins at a line with '@' whose second next begins with '+': a quality line may
+    begin with '@' too, but two lines on stands a sequence. Lines are split by Arrow, columns are slices of the lines.
+    """
+    rest, synced, done = b"", first, False
+    skip_line = not first
+    while not done:
+        data = f.read(block)
+        done = not data
+        text = rest + data
+        if skip_line:  # the line in which the range begins belongs to the one before
+            cut = text.find(b"\n")
+            if cut < 0 and not done:
+                rest = text
+                continue
+            at, text, skip_line = at + cut + 1, text[cut + 1 :] if cut >= 0 else b"", False
+        lines = text.split(b"\n")
+        tail = lines.pop()
+        if done and tail:
+            lines.append(tail)
+            tail = b""
+        if not synced:
+            if len(lines) < 8 and not done:
+                rest = text
+                continue
+            start = next((i for i in range(min(8, len(lines) - 2)) if lines[i][:1] == b"@" and lines[i + 2][:1] == b"+"), None)
+            if start is None:
+                return
+            at += sum(len(x) + 1 for x in lines[:start])
+            lines, synced = lines[start:], True
+        whole = len(lines) - len(lines) % 4
+        if done and len(lines) > whole:
+            lines += [b""] * (whole + 4 - len(lines))
+            whole += 4
+        if end >= 0 and whole:
+            sizes = np.cumsum([0] + [len(x) + 1 for x in lines[:whole]])[:-1:4]
+            kept = int(np.searchsorted(sizes, end - at))
+            if kept * 4 < whole:
+                lines, whole, done, tail = lines[: kept * 4], kept * 4, True, b""
+        if whole:
+            yield _fastq_batch([lines[k:whole:4] for k in range(4)])
+        at += sum(len(x) + 1 for x in lines[:whole])
+        rest = b"\n".join([*lines[whole:], tail])
+
+
+_FASTQ_NAMES = ["identifier", "optionals", "sequence", "quality", "error"]
+
+
+def _fastq_batch(columns: list[list[bytes]]) -> pa.RecordBatch:
+    rows = [fastq_row(*(x.rstrip(b"\r").decode("utf-8", "replace") for x in r)) for r in zip(*columns)]
+    kinds = [pa.string(), pa.map_(pa.string(), pa.string()), pa.string(), pa.string(), pa.string()]
+    cols = list(zip(*rows))
+    cols[1] = [list(x.items()) for x in cols[1]]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=_FASTQ_NAMES)
 
 
 def fastq_row(head: str, seq: str, plus: str, quality: str) -> tuple:
@@ -118,7 +181,10 @@ def fastq_row(head: str, seq: str, plus: str, quality: str) -> tuple:
 
 
 class FastqSource(DataSource):
-    """``spark.read.format("fastq").load(path)``: strict records of four lines; files are read in ranges of ``splitBytes``."""
+    """``spark.read.format("fastq").load(path)``: strict records of four lines; files are read in ranges of ``splitBytes``.
+
+    path: a file, a folder, or a pattern of files in one, on any file system that Arrow knows by its URI.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -162,23 +228,30 @@ def genbank_features(records: DataFrame, key: str = "version") -> DataFrame:
 
 
 def read_gff(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """features (0-based starts), regions (name, region_start, region_end) and sequences (FASTA part, name and sequence)."""
-    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("line_id"), F.col("value").alias("line"))
-    rows = valid_rows(parse_lines(lines.where(F.col("line").contains("\t") & ~F.col("line").startswith("#")), "gff"))
-    region = F.split(F.regexp_replace("line", r"\s+", " "), " ")
+    """features (0-based starts), rejects (reason, line), regions (name, region_start, region_end), versions and sequences (FASTA part, name and sequence).
+
+    All but the sequences have ``file_name``. What follows ##FASTA is no feature line and no reject, and the same holds for comments and blank lines.
+    """
+    at_file = F.col("_metadata.file_path").alias("file_name")
+    lines = spark.read.text(path).select(at_file, F.col("value").alias("line"))
+    # A file's part before its sequences, in one go where files are whole: sequence lines have no tab.
+    parsed = parse_lines(lines.where(~F.col("line").rlike(r"\A(?:#|>|[A-Za-z*-]*\s*\z)")), "gff", "file_name")
+    words = F.split(F.regexp_replace(F.trim("line"), r"\s+", " "), " ")
     at = lines.where(F.col("line").startswith("##sequence-region"))
-    tail = spark.read.option("lineSep", "\n>").text(path).where(~F.col("value").startswith("##gff") & ~F.col("value").contains("\t"))
+    tail = spark.read.option("lineSep", "\n>").text(path).select("value").where(~F.col("value").startswith("##gff") & ~F.col("value").contains("\t"))
     return {
-        "features": rows.drop("line_id").withColumn("start_pos", F.col("start_pos") - 1),
-        "regions": at.select(F.get(region, F.lit(1)).alias("name"), F.get(region, F.lit(2)).try_cast("bigint").alias("region_start"), F.get(region, F.lit(3)).try_cast("bigint").alias("region_end")),
+        "features": valid_rows(parsed).withColumn("start_pos", F.col("start_pos") - 1),
+        "rejects": parsed.where("reason is not null").select("file_name", "reason", "line"),
+        "regions": at.select("file_name", F.get(words, F.lit(1)).alias("name"), F.get(words, F.lit(2)).try_cast("bigint").alias("region_start"), F.get(words, F.lit(3)).try_cast("bigint").alias("region_end")),
+        "versions": lines.where(F.col("line").startswith("##gff-version")).select("file_name", F.get(words, F.lit(1)).alias("version")),
         "sequences": _fasta_columns(tail),
     }
 
 
 def read_pileup(spark: SparkSession, path: str) -> DataFrame:
-    """The parse of every line: see seqloom.operators.rejects for valid rows and rejects."""
-    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("line_id"), F.col("value").alias("line")).where("line != ''")
-    return parse_lines(lines, "pileup")
+    """The parse of every line, by ``file_name``: see seqloom.operators.rejects for valid rows and rejects."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file_name"), F.col("value").alias("line")).where("line != ''")
+    return parse_lines(lines, "pileup", "file_name")
 
 
 # Columns of a slow5 read that every file has, and those it may have, with their types.
@@ -190,46 +263,49 @@ SLOW5_TYPES = {
 
 
 def read_slow5(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Headers (read_group_id, slow5_version, attributes, end_reasons) and reads. The file's own column line names the columns.
+    """Headers (read_group_id, slow5_version, attributes, end_reasons) and reads, both with ``file_name``. Each file's own column line names its columns.
 
     A value that doesn't fit its type, or a column that is not known, leaves ``error`` in its row; '.' stands for no value.
-    The header, a few dozen lines, is read by the driver.
+    Headers, a few dozen lines a file, are gathered by file and joined to the reads; the driver sees none.
     """
-    lines = spark.read.text(path)
-    head = [r.value for r in lines.where("substring(value, 1, 1) in ('#', '@')").collect()]
-    pairs = [x[1:].split("\t") for x in head]
-    version = next((p[1] for p in pairs if p[0] == "slow5_version" and len(p) > 1), "")
-    groups = int(next((p[1] for p in pairs if p[0] == "num_read_groups" and len(p) > 1), 1))
-    types = next((p for p in pairs if p[0].startswith("char*") and len(p) > 1), [])
-    columns = next((p for p in pairs if p[0] == "read_id"), list(SLOW5_TYPES))
-    reasons = next((m[1].split(",") for t in types if (m := re.match(r"enum\{(.*)\}", t))), [])
-    known = [p for p in pairs if p[0] not in ("slow5_version", "num_read_groups", "read_id") and not p[0].startswith("char*")]
-    headers = spark.createDataFrame(
-        [(g, version, {p[0].removeprefix("@"): p[1 + g] for p in known if len(p) > 1 + g}, {r: i for i, r in enumerate(reasons)}) for g in range(groups)],
-        "read_group_id bigint, slow5_version string, attributes map<string,string>, end_reasons map<string,int>",
-    )
-    cells = F.split("value", "\t", -1)
-    read = lines.where("substring(value, 1, 1) not in ('#', '@') and value != ''")
-    out, bad = [], []
-    for i, c in enumerate(columns):
-        cell = F.nullif(F.get(cells, F.lit(i)), F.lit("."))
-        kind = SLOW5_TYPES.get(c)
-        if kind is None:
-            bad.append(F.lit(f"unknown column {c}"))
-            continue
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file_name"), "value")
+    is_head = F.substring("value", 1, 1).isin("#", "@")
+    head = lines.where(is_head).groupBy("file_name").agg(F.collect_list("value").alias("h"))
+    rows = F.transform("h", lambda x: F.split(F.substring(x, 2, 1 << 30), "\t", -1))
+    named = lambda key: F.try_element_at(F.filter("rows", lambda r: F.get(r, F.lit(0)) == key), F.lit(1))
+    types = F.try_element_at(F.filter("rows", lambda r: F.get(r, F.lit(0)).startswith("char*") & (F.size(r) > 1)), F.lit(1))
+    enum = F.regexp_extract(F.array_join(F.coalesce("types", F.array().cast("array<string>")), " "), r"enum\{([^}]*)\}", 1)
+    usual = F.array(*map(F.lit, SLOW5_TYPES))
+    head = head.select("file_name", "h", rows.alias("rows")).withColumn("types", types).select(
+        "file_name", F.coalesce(F.get(named("slow5_version"), F.lit(1)), F.lit("")).alias("slow5_version"),
+        F.coalesce(F.get(named("num_read_groups"), F.lit(1)).try_cast("int"), F.lit(1)).alias("groups"),
+        F.coalesce(named("read_id"), usual).alias("columns"), F.filter(F.split(enum, ","), lambda x: x != "").alias("reasons"),
+        F.transform(F.filter("h", lambda x: x.startswith("@")), lambda x: F.split(F.substring(x, 2, 1 << 30), "\t", -1)).alias("own"),
+    )
+    own = F.filter("own", lambda r: F.get(r, F.col("read_group_id").cast("int") + 1).isNotNull())
+    headers = head.where("groups > 0").withColumn("read_group_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("groups").cast("bigint") - 1))).select(
+        "file_name", "read_group_id", "slow5_version", F.map_from_entries(F.transform(own, lambda r: F.struct(F.get(r, F.lit(0)), F.get(r, F.col("read_group_id").cast("int") + 1)))).alias("attributes"),
+        F.map_from_entries(F.transform("reasons", lambda r, i: F.struct(r, i))).alias("end_reasons"),
+    )
+    read = lines.where(~is_head & (F.col("value") != "")).join(head.select("file_name", "columns", "reasons"), "file_name", "left").withColumn("columns", F.coalesce("columns", usual))
+    read = read.withColumn("cells", F.split("value", "\t", -1))
+    out, bad = [], [F.when(F.size("cells") != F.size("columns"), F.lit("wrong number of columns"))]
+    bad.append(F.when(F.exists("columns", lambda c: ~c.isin(*SLOW5_TYPES)), F.concat(F.lit("unknown column "), F.try_element_at(F.filter("columns", lambda c: ~c.isin(*SLOW5_TYPES)), F.lit(1)))))
+    for c, kind in SLOW5_TYPES.items():
+        place = F.array_position("columns", c)
+        cell = F.when(place > 0, F.nullif(F.get("cells", (place - 1).cast("int")), F.lit(".")))
         if c == "raw_signal":
             value: Column = F.transform(F.split(cell, ","), lambda x: x.try_cast("smallint"))
             wrong = F.exists(value, lambda x: x.isNull())
-        elif c == "end_reason" and reasons:
-            value = F.get(F.array(*map(F.lit, reasons)), cell.try_cast("int"))
+        elif c == "end_reason":
+            value = F.when(F.size("reasons") > 0, F.get("reasons", cell.try_cast("int"))).otherwise(cell)
             wrong = cell.isNotNull() & value.isNull()
         else:
             value = cell.try_cast(kind)
             wrong = cell.isNotNull() & value.isNull()
         out.append(value.alias(c))
         bad.append(F.when(wrong, F.lit(f"bad {c}")))
-    bad.append(F.when(F.size(cells) != len(columns), F.lit("wrong number of columns")))
-    return headers, read.select(*out, F.coalesce(*bad).alias("error"))
+    return headers, read.select("file_name", *out, F.coalesce(*bad).alias("error"))
 
 
 def read_rebase(spark: SparkSession, path: str) -> DataFrame:
@@ -249,9 +325,25 @@ def read_rebase(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_uniprot(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each entry of UniProt XML, nested as the document is; what doesn't parse is in ``_corrupt_record``."""
-    return spark.read.format("xml").option("rowTag", "entry").option("mode", "PERMISSIVE").option("dateFormat", "yyyy-MM-dd").load(path)
+_EVIDENCED = "struct<_VALUE:string,_evidence:string>"
+_NAMES = f"array<struct<fullName:{_EVIDENCED},shortName:array<{_EVIDENCED}>,ecNumber:array<{_EVIDENCED}>>>"
+_DB_REFERENCE = "array<struct<_type:string,_id:string,_evidence:string,molecule:struct<_id:string,_VALUE:string>,property:array<struct<_type:string,_value:string>>>>"
+#: The parts of a UniProt entry with their types; lists of numbers stay text (see int_list), dates and counts are typed.
+UNIPROT = (
+    f"_dataset string, _created date, _modified date, _version int, accession array<string>, name array<string>, protein struct<recommendedName:{_NAMES[6:-1]},alternativeName:{_NAMES},submittedName:{_NAMES}>, "
+    f"gene array<struct<name:array<struct<_VALUE:string,_type:string>>>>, organism struct<name:array<struct<_VALUE:string,_type:string>>,dbReference:{_DB_REFERENCE},lineage:struct<taxon:array<string>>>, "
+    f"organismHost array<struct<name:array<struct<_VALUE:string,_type:string>>,dbReference:{_DB_REFERENCE}>>, "
+    f"reference array<struct<_key:string,citation:struct<_type:string,_date:string,_name:string,_volume:string,_first:string,_last:string,title:string,authorList:struct<person:array<struct<_name:string>>,consortium:array<struct<_name:string>>>,dbReference:{_DB_REFERENCE}>,scope:array<string>>>, "
+    f"comment array<struct<_type:string,text:array<{_EVIDENCED}>>>, dbReference {_DB_REFERENCE}, proteinExistence struct<_type:string>, keyword array<struct<_id:string,_VALUE:string>>, "
+    "feature array<struct<_type:string,_id:string,_description:string,location:struct<begin:struct<_position:int,_status:string>,end:struct<_position:int,_status:string>,position:struct<_position:int>>>>, "
+    "evidence array<struct<_key:int,_type:string>>, sequence struct<_VALUE:string,_length:int,_mass:int,_checksum:string,_modified:date,_version:int,_precursor:boolean,_fragment:string>, _corrupt_record string"
+)
+
+
+def read_uniprot(spark: SparkSession, path: str, typed: bool = True) -> DataFrame:
+    """A row for each entry of UniProt XML, in the types of UNIPROT; what doesn't fit is in ``_corrupt_record``. Not typed: all there is, as inferred."""
+    r = spark.read.format("xml").option("rowTag", "entry").option("mode", "PERMISSIVE").option("dateFormat", "yyyy-MM-dd")
+    return (r.schema(UNIPROT) if typed else r).load(path)
 
 
 def int_list(text: Column) -> Column:
@@ -259,13 +351,68 @@ def int_list(text: Column) -> Column:
     return F.transform(F.filter(F.split(text, r"\s+"), lambda x: x != ""), lambda x: x.try_cast("int"))
 
 
-_POLY_LOCATION = "struct<start:bigint,end:bigint,complement:boolean,join:boolean,five_prime_partial:boolean,three_prime_partial:boolean,sub_locations:array<struct<start:bigint,end:bigint,complement:boolean>>>"
-POLYJSON = f"meta string, features array<struct<name:string,hash:string,type:string,description:string,location:{_POLY_LOCATION},tags:map<string,string>,sequence:string>>, sequence string"
-
-
-def read_polyjson(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each JSON document: meta (JSON text), features, sequence."""
-    return spark.read.schema(POLYJSON).option("multiLine", True).json(path)
+_SEGMENTS = "array<struct<path:array<int>,start:bigint,end:bigint,complement:boolean>>"
+_LOCATION = f"struct<start:bigint,end:bigint,complement:boolean,join:boolean,five_prime_partial:boolean,three_prime_partial:boolean,sub_locations:string,segments:{_SEGMENTS}>"
+#: A record of native JSON. sub_locations is their own JSON, to any depth; segments are the innermost ones in the order in which they are read, each with its strand.
+NATIVE_JSON = (
+    "meta struct<name:string,hash:string,description:string,url:string,created_by:string,created_with:string,created_on:string,schema:string,other:map<string,string>>, "
+    f"features array<struct<name:string,hash:string,type:string,description:string,location:{_LOCATION},tags:map<string,string>,sequence:string>>, sequence string, error string"
+)
+_META = ("name", "hash", "description", "url", "created_by", "created_with", "created_on", "schema")
+
+
+def json_segments(location: dict) -> list[dict]:
+    """The innermost locations in reading order: turning a location turns those within and their order."""
+    out: list[dict] = []
+    stack = [(location, (), False)]
+    while stack:
+        x, path, turned = stack.pop()
+        here = turned != bool(x.get("complement"))
+        inner = [s for s in x.get("sub_locations") or [] if isinstance(s, dict)]
+        if not inner:
+            out.append({"path": list(path), "start": x.get("start"), "end": x.get("end"), "complement": here})
+        # The last pushed is read first.
+        stack += [(s, (*path, i), here) for i, s in (list(enumerate(inner)) if here else list(enumerate(inner))[::-1])]
+    return out
+
+
+def native_record(text: str) -> dict:
+    """A document as a row of NATIVE_JSON."""
+    try:
+        doc = json.loads(text)
+        if not isinstance(doc, dict):
+            raise ValueError("not an object")
+        meta = doc.get("meta") if isinstance(doc.get("meta"), dict) else {}
+        plain = lambda v: v if v is None or isinstance(v, str) else json.dumps(v)
+        features = []
+        for f in doc.get("features") or []:
+            where = f.get("location") or {}
+            place = {k: where.get(k) for k in ("start", "end", "complement", "join", "five_prime_partial", "three_prime_partial")}
+            place |= {"sub_locations": json.dumps(where["sub_locations"]) if where.get("sub_locations") else None, "segments": json_segments(where)}
+            features.append({k: plain(f.get(k)) for k in ("name", "hash", "type", "description", "sequence")} | {"location": place, "tags": [(k, plain(v)) for k, v in (f.get("tags") or {}).items()]})
+        known = {k: plain(meta.get(k)) for k in _META} | {"other": [(k, plain(v)) for k, v in meta.items() if k not in _META]}
+        return {"meta": known, "features": features, "sequence": plain(doc.get("sequence")), "error": None}
+    except (ValueError, AttributeError, TypeError, RecursionError) as e:
+        return {"meta": None, "features": None, "sequence": None, "error": f"{type(e).__name__}: {e}"}
+
+
+def native_rows(documents: DataFrame) -> DataFrame:
+    """Rows of NATIVE_JSON, one for each text (``value``); what doesn't parse leaves ``error``."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    arrow = to_arrow_schema(StructType.fromDDL(NATIVE_JSON))
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_pylist([native_record(t) for t in b.column(0).to_pylist() if t and t.strip()], schema=arrow)
+
+    return documents.select("value").mapInArrow(kernel, NATIVE_JSON)
+
+
+def read_native_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """A row for each file, or for each line: meta, features, sequence, error."""
+    return native_rows(spark.read.text(path, wholetext=not lines))
 
 
 def read_codon_json(spark: SparkSession, path: str) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +42,26 @@ def gff_text() -> Column:
     )
 
 
+def gff_lines(features: DataFrame, regions: DataFrame, sequences: DataFrame, version: str = "3") -> DataFrame:
+    """``value`` and its place (``section``, ``name``, ``at``) of whole GFF3 text: version, regions, feature lines, the end mark, sequences.
+
+    Of the form that read_gff() gives. Sorted by the place it is a file; write_gff() does that.
+    """
+    place = lambda section, name=None, at=None: [F.lit(section).alias("section"), (F.lit("") if name is None else name).alias("name"), (F.lit(0) if at is None else at).cast("long").alias("at")]
+    spark = features.sparkSession
+    fixed = spark.createDataFrame([(0, "", 0, f"##gff-version {version}"), (3, "", 0, "###"), (4, "", 0, "##FASTA")], "section int, name string, at long, value string")
+    spot = regions.select(*place(1, F.col("name")), F.concat_ws(" ", F.lit("##sequence-region"), "name", F.col("region_start").cast("string"), F.col("region_end").cast("string")).alias("value"))
+    rows = features.select(*place(2, F.coalesce("seqid", F.lit("unknown")), F.col("start_pos")), gff_text().alias("value"))
+    tail = sequences.select(*place(5, F.col("name")), fasta_text(F.col("name"), F.col("sequence"), 70).alias("value")).withColumn("value", F.regexp_replace("value", "\n\\z", ""))
+    return fixed.unionByName(spot).unionByName(rows).unionByName(tail)
+
+
+def write_gff(features: DataFrame, regions: DataFrame, sequences: DataFrame, path: str, version: str = "3", single_file: bool = True) -> None:
+    """Whole GFF3 text in order; in parts that follow each other by name unless it is to be a single file."""
+    lines = gff_lines(features, regions, sequences, version).orderBy("section", "name", "at", "value").select("value")
+    write_lines(lines, path, single_file)
+
+
 def genbank_text(records: DataFrame) -> DataFrame:
     """``value``: the text of each record of read_genbank()'s form."""
 
@@ -69,7 +91,7 @@ def slow5_text(headers: DataFrame, reads: DataFrame) -> tuple[list[str], DataFra
     groups = sorted(headers.collect(), key=lambda r: r.read_group_id)  # a file has a handful of read groups
     keys = sorted({k for g in groups for k in g.attributes})
     reasons = sorted(groups[0].end_reasons.items(), key=lambda x: x[1]) if groups and groups[0].end_reasons else []
-    cols = [c for c in reads.columns if c != "error"]
+    cols = [c for c in reads.columns if c not in ("error", "file_name")]
     kinds = {
         "read_id": "char*", "read_group": "uint32_t", "digitisation": "double", "offset": "double", "range": "double", "sampling_rate": "double", "len_raw_signal": "uint64_t",
         "raw_signal": "int16_t*", "channel_number": "char*", "median_before": "double", "read_number": "int32_t", "start_mux": "uint8_t", "start_time": "uint64_t",
@@ -91,6 +113,13 @@ def slow5_text(headers: DataFrame, reads: DataFrame) -> tuple[list[str], DataFra
     return head, reads.select(F.concat_ws("\t", *(F.coalesce(cell(c), F.lit(".")) for c in cols)).alias("value"))
 
 
+def write_slow5(headers: DataFrame, reads: DataFrame, path: str, single_file: bool = True) -> None:
+    """A slow5 file of one header's read groups and its reads: the header stands in the first part, parts follow each other by name."""
+    head, lines = slow5_text(headers, reads)
+    first = headers.sparkSession.createDataFrame([(x,) for x in head], "value string").coalesce(1)
+    write_lines(first.union(lines), path, single_file)
+
+
 def codon_json(table: DataFrame) -> DataFrame:
     """``value``: one document of a codon table in long form, letters and triplets sorted."""
     codon = F.struct("triplet", "weight")
@@ -105,8 +134,26 @@ def enzyme_json(enzymes: DataFrame) -> DataFrame:
     return enzymes.select(F.to_json(F.struct("*")).alias("value"))
 
 
-def polyjson_text(records: DataFrame, pretty: bool = True) -> DataFrame:
-    return records.select(F.to_json(F.struct("*"), {"pretty": str(pretty).lower()}).alias("value"))
+def native_json_text(records: DataFrame, pretty: bool = True) -> DataFrame:
+    """``value``: each record of read_native_json()'s form as a document, sub-locations to any depth."""
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def document(r: dict) -> str:
+            meta = dict(r["meta"] or {})
+            meta |= dict(meta.pop("other", None) or [])
+            features = []
+            for f in r["features"] or []:
+                where = {k: v for k, v in (f["location"] or {}).items() if k != "segments" and v is not None}
+                if "sub_locations" in where:
+                    where["sub_locations"] = json.loads(where["sub_locations"])
+                features.append({**f, "location": where, "tags": dict(f["tags"] or [])})
+            plain = lambda d: {k: v for k, v in d.items() if v is not None}
+            return json.dumps({"meta": plain(meta), "features": [plain(f) for f in features], "sequence": r["sequence"]}, indent=1 if pretty else None, ensure_ascii=False)
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([document(r) for r in b.to_pylist()], pa.string())], names=["value"])
+
+    return records.select("meta", "features", "sequence").mapInArrow(kernel, "value string")
 
 
 def write_lines(lines: DataFrame, path: str, single_file: bool = False, sep: str = "\n", mode: str = "errorifexists") -> None:

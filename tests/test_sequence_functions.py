@@ -76,10 +76,36 @@ def test_sketch_similarity(spark):
 def test_alignment():
     one = K.Scoring()
     assert K.align("GATTACA", "GCATGCU", one, False) == (0, "G-ATTACA", "GCA-TGCU") and K.align("GATTACA", "GCATGCU", one, True) == (2, "AT", "AT")
-    assert K.align("GATTACA", "GCATGCT", K.nuc_4(), True) == (15, "GATTAC", "GCATGC") and K.align("AAAT", "T", one, False) == (-2, "T", "T")
+    # The published example scores by the matrix's rows in another order of letters than its own.
+    swapped = K.scoring_of((x, y, K.NUC_4_ROWS[i][j]) for i, x in enumerate("ACGT-") for j, y in enumerate("ACGT-"))
+    assert K.align("GATTACA", "GCATGCT", swapped, True) == (15, "GATTAC", "GCATGC")
+    assert K.align("AAAA", "AAAA", K.nuc_4(), True) == (20, "AAAA", "AAAA") and K.align("GATTACA", "GCATGCT", K.nuc_4(), True)[0] == 17 and K.align("AAAT", "T", one, False) == (-2, "T", "T")
     assert K.align("", "", one, False) == (0, "", "") and K.align("gat", "GAT", one, False) is None
 
 
+def plain_align(a, b, score, gap, local):
+    """The matrix cell by cell."""
+    n, m = len(a), len(b)
+    h = [[0 if local else gap * (i + j) for j in range(m + 1)] for i in range(n + 1)]
+    for i in range(1, n + 1):
+        for j in range(1, m + 1):
+            h[i][j] = max(h[i - 1][j - 1] + score(a[i - 1], b[j - 1]), h[i - 1][j] + gap, h[i][j - 1] + gap, *([0] if local else []))
+    return max(map(max, h)) if local else h[n][m]
+
+
+def test_alignment_against_plain_matrix():
+    rnd = random.Random(8)
+    for _ in range(40):
+        a, b = ("".join(rnd.choice("ACGT") for _ in range(rnd.randint(0, 40))) for _ in range(2))
+        for scoring, score in ((K.Scoring(-2, 3, -1), lambda p, q: 3 if p == q else -1), (K.nuc_4(-3), lambda p, q: 5 if p == q else -4)):
+            for local in (False, True):
+                got = K.align(a, b, scoring, local)
+                assert got == K.align(a, b, scoring, local, kept_cells=10) and got[0] == plain_align(a, b, score, scoring.gap, local)
+                assert len(got[1]) == len(got[2]) and got[1].replace("-", "") in a and got[2].replace("-", "") in b
+                if local:
+                    assert got[0] == sum(scoring.gap if "-" in (p, q) else score(p, q) for p, q in zip(got[1], got[2]))
+
+
 def test_suffix_search(spark):
     rnd = random.Random(2)
     s = "".join(rnd.choice("AC") for _ in range(400))
