@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seqloom.functions.letters import letters, name_fields
@@ -16,8 +16,9 @@ from seqloom.llm.mixing import mix, share_report
 from seqloom.llm.names import link_mentions, mention_pairs
 from seqloom.llm.packing import fill_report, pack, window_report
 from seqloom.llm.pieces import split_items
+from seqloom.llm.tokens import sized
 from seqloom.llm.truncation import find_truncated, truncation_rates
-from seqloom.session import table
+from seqloom.session import cut_lineage, table
 
 
 def _letters(spark: SparkSession, d: str) -> dict[str, DataFrame]:
@@ -111,6 +112,21 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     return fill_report(p8_pack(spark, d), _limits(spark, d)["container_tokens"])
 
 
+def p8_kept(spark: SparkSession, d: str) -> DataFrame:
+    """What packing must keep: texts once, pieces that follow each other and only of texts larger than a container, containers within bounds, every token."""
+    capacity = _limits(spark, d)["container_tokens"]
+    packed = cut_lineage(p8_pack(spark, d))
+    texts = packed.groupBy("doc_id").agg(F.sum("n_tokens").alias("t"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("from_token") != F.col("piece_no") * capacity).alias("odd"), F.max("piece_no").alias("last"))
+    own = texts.agg(F.count(F.lit(1)).alias("n_texts"), F.count_if((F.col("odd") > 0) | (F.col("n") != F.col("last") + 1)).alias("n_gaps"), F.count_if((F.col("n") > 1) & (F.col("t") <= capacity)).alias("n_split_within"))
+    before = Window.partitionBy("container_id").orderBy("start_token", "n_tokens")
+    end = F.col("start_token") + F.col("n_tokens")
+    placed = packed.select("container_id", end.alias("end"), (F.coalesce(F.lag(end).over(before), F.lit(0)) != F.col("start_token")).alias("off"))
+    boxes = placed.agg(F.count_if(F.col("end") > capacity).alias("n_overfull"), F.count_if("off").alias("n_overlaps"))
+    had = sized(table(spark, d, "documents"), "doc_id", "text", "source").agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("had"))
+    lost = had.crossJoin(packed.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("has"))).select((F.col("had") - F.col("has")).alias("n_lost_tokens"))
+    return own.crossJoin(boxes).crossJoin(lost)  # one row each
+
+
 def p8_windows(spark: SparkSession, d: str) -> DataFrame:
     """How near every window keeps to the targets."""
     return window_report(p8_pack(spark, d), {s: x for s, (x, _) in _targets(spark, d).items()})
@@ -120,6 +136,17 @@ def p9_mix(spark: SparkSession, d: str) -> DataFrame:
     return mix(table(spark, d, "documents"), _targets(spark, d))
 
 
+def p9_kept(spark: SparkSession, d: str) -> DataFrame:
+    """Whether each source with text has its share, to a hundredth of all tokens, and keeps to its repeats."""
+    targets = _targets(spark, d)
+    mixed = cut_lineage(p9_mix(spark, d))
+    report = share_report(spark, mixed, targets).where("n_texts > 0")
+    due = F.round(F.col("target_share") / F.sum("target_share").over(Window.partitionBy(F.lit(0))), 6)
+    most = spark.createDataFrame([(s, m) for s, (_, m) in targets.items()], "source string, m int")
+    rows = report.withColumn("due", due).join(F.broadcast(most), "source")
+    return rows.select("source", "due", (F.abs(F.col("actual_share") - F.col("due")) < 0.01).alias("near_enough"), (F.col("most_copies") <= F.col("m")).alias("within_repeats"))
+
+
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return share_report(spark, p9_mix(spark, d), _targets(spark, d))
 
@@ -132,7 +159,7 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
     return truncation_rates(find_truncated(table(spark, d, "documents")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_groups, p4_found, p4_pieces, p6_found, p6_records, p7_found, p7_entities, p8_pack, p8_fill, p8_windows, p9_mix, p9_shares, p10_found, p10_rates)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_groups, p4_found, p4_pieces, p6_found, p6_records, p7_found, p7_entities, p8_pack, p8_fill, p8_kept, p8_windows, p9_mix, p9_kept, p9_shares, p10_found, p10_rates)}
 
 _CANON = """with t as (
   select 'fasta' src, fasta_id id, upper(regexp_replace(sequence, '[^A-Za-z]', '', 'g')) seq,
@@ -141,9 +168,24 @@ _CANON = """with t as (
   union all select 'features', feature_id, upper(regexp_replace(sequence, '[^A-Za-z]', '', 'g')), '' from features),
   c as (select src, id, min(id) over (partition by src, seq, nm) first_id, count(*) over (partition by src, seq, nm) n from t where seq <> '')
 """
+_NEAR = r"""with recursive x as (select 'fasta' src, fasta_id id, upper(regexp_replace(sequence, '[^A-Za-z]', '', 'g')) s from fasta union all select 'fastq', read_row_id, upper(regexp_replace(sequence, '[^A-Za-z]', '', 'g')) from fastq),
+  u as (select src, s, min(id) rep from x where length(s) >= 9 group by src, s), k as (select distinct src, rep, substr(s, cast(i as integer), 9) g from u, unnest(range(1, length(s) - 7)) r(i)),
+  n as (select src, rep, count(*) n from k group by all), b as (select a.src, a.rep ra, b.rep rb, count(*) c from k a join k b on a.src = b.src and a.g = b.g and a.rep < b.rep group by all),
+  near as (select b.src, ra, rb from b join n p on p.src = b.src and p.rep = ra join n q on q.src = b.src and q.rep = rb where c + 1e-9 >= 0.7 * (p.n + q.n - c))
+"""
 ORACLE: dict[str, str] = {
     "p4_found": """select 'genbank' src, record_id item_id from genbank where length(regexp_replace(sequence, '[^A-Za-z]', '', 'g')) > 5000
   union all select 'fasta', cast(fasta_id as varchar) from fasta where length(regexp_replace(sequence, '[^A-Za-z]', '', 'g')) > 5000""",
     "p6_found": _CANON + "select src, first_id, id copy_id from c where id <> first_id",
     "p6_records": _CANON + "select src, first_id, n n_copies from c where id = first_id",
+    "p2_found": _NEAR + """select near.src, least(p.id, q.id) id_a, greatest(p.id, q.id) id_b from near join u a on a.src = near.src and a.rep = ra join u b on b.src = near.src and b.rep = rb
+  join x p on p.src = near.src and p.s = a.s join x q on q.src = near.src and q.s = b.s""",
+    "p2_groups": _NEAR + """, e as (select src, ra p, rb q from near union all select src, rb, ra from near),
+  w(src, p, c) as (select distinct src, p, p from e union select e.src, e.q, w.c from w join e on e.src = w.src and e.p = w.p where w.c < e.q), roots as (select src, p, min(c) c from w group by all)
+  select roots.src, roots.p rep_id, c group_id, m n_links from roots join (select src, p, count(*) m from e group by all) using (src, p)""",
+    # What must hold whatever the tokens are: every text once and whole or in pieces that follow each other, no container too full.
+    "p8_kept": """select count(*) n_texts, 0::bigint n_gaps, 0::bigint n_split_within, 0::bigint n_overfull, 0::bigint n_overlaps, 0::bigint n_lost_tokens from documents where text is not null and doc_id is not null""",
+    # Every source that can has its share, none repeats a text too often; what a source without text leaves goes to the others in proportion.
+    "p9_kept": """with has as (select source from documents where text <> '' group by source)
+  select source, round(target_share / sum(target_share) over (), 6) due, true near_enough, true within_repeats from mix_targets join has using (source)""",
 }
