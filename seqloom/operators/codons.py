@@ -41,6 +41,18 @@ def start_counts(df: DataFrame, seq: Column) -> DataFrame:
     return df.where(F.length(seq) >= 3).groupBy(F.substring(seq, 1, 3).alias("start_codon")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def genome_table(spark: SparkSession, features: DataFrame, number: int = 1, type_col: str = "feature_type", seq: str = "sequence") -> DataFrame:
+    """The codon table of a genome's features: letter, triplet, weight (how often it is used), is_start and is_stop by the genetic code ``number``,
+    n_starts (genes that begin with it) and gene_count (coding regions). One pass over the features counts codons, starts and genes alike.
+    """
+    genes = coding_regions(features, type_col, seq).select(triplets(F.col(seq)).alias("t"))
+    words = genes.select(F.posexplode("t").alias("i", "triplet")).groupBy("triplet").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("i") == 0).alias("n_starts"))
+    # A gene has one first codon, whatever its letters: the starts of all triplets, standard or not, number the genes.
+    whole = words.agg(F.coalesce(F.sum("n_starts"), F.lit(0)).alias("gene_count"))
+    table = codon_dim(spark, number).drop("weight").join(words, "triplet", "left").crossJoin(F.broadcast(whole))  # one row
+    return table.select("letter", "triplet", F.coalesce("n", F.lit(0)).cast("long").alias("weight"), "is_start", "is_stop", F.coalesce("n_starts", F.lit(0)).cast("long").alias("n_starts"), "gene_count")
+
+
 def add_tables(a: DataFrame, b: DataFrame) -> DataFrame:
     """Weights of two tables summed by triplet; the letters are the first one's."""
     return a.join(b.select("triplet", F.col("weight").alias("w2")), "triplet").select("letter", "triplet", (F.col("weight") + F.col("w2")).alias("weight"))

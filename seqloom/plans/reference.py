@@ -1,10 +1,12 @@
 """Queries of the sequence operators over whole tables, and the SQL that says the same.
 
-Sequences are the letters of fasta.sequence (and of features.sequence for coding regions); oligos are 32-mers derived from the keys of supplier.
+Sequences are the letters of fasta.sequence (and of features.sequence for coding regions), whole. Only what can't be done with them, the expansion of
+ambiguous letters, takes words derived from the keys of supplier.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import pandas as pd
@@ -22,6 +24,7 @@ from seqloom.operators.cloning import ENZYMES, digest_parts, golden_gate
 from seqloom.operators.features import location
 from seqloom.operators.fold import fold
 from seqloom.operators.rejects import parse_lines, valid_rows
+from seqloom.plans.problems import PILEUP_LINES
 from seqloom.session import spread, table
 from seqloom.sources.genbank import FEATURE
 from seqloom.sources.readers import read_records
@@ -44,10 +47,6 @@ def dna(spark: SparkSession, d: str) -> DataFrame:
     return sequences(spark, d).where(S.is_dna("seq"))
 
 
-def oligos(spark: SparkSession, d: str) -> DataFrame:
-    return spread(table(spark, d, "supplier").select("s_suppkey")).select(F.col("s_suppkey").alias("id"), F.translate(F.md5(F.col("s_suppkey").cast("string")), "0123456789abcdef", "ACGTACGTACGTACGT").alias("seq"))
-
-
 def coding(spark: SparkSession, d: str) -> DataFrame:
     f = spread(table(spark, d, "features").where("feature_type = 'CDS' and sequence is not null").select("feature_id", "feature_type", "sequence"))
     f = f.select(F.col("feature_id").alias("id"), "feature_type", letters(F.col("sequence")).alias("sequence"))
@@ -83,15 +82,16 @@ scalar("complement", S.complement, sql=f"case when {_OK} then {_COMP} end")
 scalar("reverse_complement", S.reverse_complement, sql=f"case when {_OK} then reverse({_COMP}) end")
 scalar("complement_rna", lambda s: S.complement_rna(as_rna(s)), sql=f"case when {_RNA_OK} then {_RNA} end")
 scalar("reverse_complement_rna", lambda s: S.reverse_complement_rna(as_rna(s)), sql=f"case when {_RNA_OK} then reverse({_RNA}) end")
-scalar("complement_base", lambda s: S.complement_base(F.substring(s, 1, 1)), sql=f"case when regexp_full_match(substr(seq, 1, 1), '{_IUPAC}') then {_COMP.replace('(seq', '(substr(seq, 1, 1)')} else ' ' end")
-scalar("complement_base_rna", lambda s: S.complement_base(F.substring(as_rna(s), 1, 1), rna=True), sql=f"case when regexp_full_match(substr(replace(seq, 'T', 'U'), 1, 1), '[{S.RNA_CODES}]*') then {_RNA.replace('replace(seq', 'replace(substr(seq, 1, 1)')} else ' ' end")
-scalar("is_palindromic", lambda s: S.is_palindromic(F.substring(s, 1, 4)), sql=f"case when regexp_full_match(substr(seq, 1, 4), '{_IUPAC}') then substr(seq, 1, 4) = reverse({_COMP.replace('(seq', '(substr(seq, 1, 4)')}) else false end")
-scalar("is_palindromic_whole", S.is_palindromic, sql=f"case when {_OK} then seq = reverse({_COMP}) else false end")
+_each = lambda s, f: F.array_join(F.transform(F.split(s, ""), f), "")
+_LACKING = {k: "".join(c for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" if c not in codes) for k, codes in (("DNA", S.DNA_CODES), ("RNA", S.RNA_CODES))}
+scalar("complement_base", lambda s: _each(s, lambda c: S.complement_base(c)), sql=f"translate(seq, '{S.DNA_CODES}{_LACKING['DNA']}', '{S.DNA_COMPLEMENTS}{' ' * len(_LACKING['DNA'])}')")
+scalar("complement_base_rna", lambda s: _each(as_rna(s), lambda c: S.complement_base(c, rna=True)), sql=f"translate(replace(seq, 'T', 'U'), '{S.RNA_CODES}{_LACKING['RNA']}', '{S.RNA_COMPLEMENTS}{' ' * len(_LACKING['RNA'])}')")
+scalar("is_palindromic", S.is_palindromic, sql=f"case when {_OK} then seq = reverse({_COMP}) else false end")
 scalar("gc_content", lambda s: F.round(S.gc_content(s), 9), sql="round(len(regexp_extract_all(seq, '[GC]')) / length(seq)::double, 9)")
 scalar("is_dna", S.is_dna, sql="regexp_full_match(seq, '[ACGT]*')")
 scalar("is_rna", lambda s: S.is_rna(as_rna(s)), sql="regexp_full_match(replace(seq, 'T', 'U'), '[ACGU]*')")
-scalar("alphabet_encode", lambda s: S.encode(F.substring(s, 1, 1), S.extend(S.ALPHABETS["DNA"], ["N"])), sql="nullif(strpos('ACGTN', substr(seq, 1, 1)), 0) - 1")
-scalar("alphabet_decode", lambda s: S.decode(F.length(s) % 5, S.ALPHABETS["DNA"]), sql="case length(seq) % 5 when 0 then 'A' when 1 then 'C' when 2 then 'G' when 3 then 'T' end")
+scalar("alphabet_encode", lambda s: _each(s, lambda c: F.coalesce(S.encode(c, S.extend(S.ALPHABETS["DNA"], ["N"])).cast("string"), F.lit("-"))), sql="regexp_replace(translate(seq, 'ACGTN', '01234'), '[A-Z]', '-', 'g')")
+scalar("alphabet_decode", lambda s: _each(s, lambda c: F.coalesce(S.decode(S.encode(c, S.ALPHABETS["DNA"]), S.ALPHABETS["DNA"]), F.lit("-"))), sql="regexp_replace(seq, '[^ACGT]', '-', 'g')")
 scalar("marmur_doty", S.marmur_doty, sql="2.0::double * len(regexp_extract_all(seq, '[AT]')) + 4 * len(regexp_extract_all(seq, '[GC]')) - 7")
 
 
@@ -112,20 +112,20 @@ def _thermo(seq: str, primer: float, salt: float) -> tuple[str, str, str]:
 
 QUERIES["santa_lucia"] = lambda spark, d: sequences(spark, d).withColumn("t", S.santa_lucia("seq", 0.1e-6, 0.35)).select("id", *(F.round(f"t.{x}", 5).alias(x) for x in ("melting_temp", "dh", "ds")))
 ORACLE["santa_lucia"] = _SEQ + "select id, round({}, 5) melting_temp, round({}, 5) dh, round({}, 5) ds from s".format(*_thermo("seq", 0.1e-6, 0.35))
-scalar("melting_temp", lambda s: F.round(S.melting_temp(s), 5), oligos, f"round({_thermo('seq', 500e-9, 50e-3)[0]}, 5)", _OLIGO)
+scalar("melting_temp", lambda s: F.round(S.melting_temp(s), 5), sql=f"round({_thermo('seq', 500e-9, 50e-3)[0]}, 5)")
 scalar("count_pattern", lambda s: S.count_overlapping(s, "AA"), sql="len(list_filter(range(1, length(seq)), lambda i: substr(seq, i, 2) = 'AA'))")
-scalar("locate_pattern", lambda s: F.array_join(S.locate_all(s, "CACA").cast("array<string>"), ","), oligos, "array_to_string(list_transform(list_filter(range(1, 30), lambda i: substr(seq, i, 4) = 'CACA'), lambda i: i - 1), ',')", _OLIGO)
+_PLACES = "array_to_string(list_transform(list_filter(range(1, length(seq) + 1), lambda i: substr(seq, i, {1}) = '{0}'), lambda i: i - 1), ',')"
+scalar("locate_pattern", lambda s: F.array_join(S.locate_all(s, "CACA").cast("array<string>"), ","), sql=_PLACES.format("CACA", 4))
 scalar("extract", lambda s: S.extract(s, 100, 130), sql="case when length(seq) >= 130 then substr(seq, 101, 30) end")
 scalar("sequence_length", F.length, sql="cast(length(seq) as integer)")
-scalar("burrows_wheeler", K.bwt, oligos, "array_to_string(list_transform(list_sort(list_transform(range(1, length(seq) + 2), lambda i: substr(seq || '$', i) || substr(seq, 1, i - 1))), lambda r: right(r, 1)), '')", _OLIGO)
-scalar("suffix_array_locate", lambda s: F.array_join(F.array_sort(K.locate_in(s, K.suffix_array(s), "GT")).cast("array<string>"), ","), oligos, "array_to_string(list_transform(list_filter(range(1, 32), lambda i: substr(seq, i, 2) = 'GT'), lambda i: i - 1), ',')", _OLIGO)
-scalar("burrows_wheeler_whole", K.bwt)
-scalar("suffix_array_locate_whole", lambda s: F.array_join(F.array_sort(K.locate_in(s, K.suffix_array(s), "GT")).cast("array<string>"), ","))
-scalar("canonical_rotation_whole", K.canonical_rotation)
-scalar("canonical_circular_whole", lambda s: F.md5(K.canonical_rotation(s, double=True)), dna)
-_ROT = "list_min(list_transform(range(1, length({0}) + 1), lambda i: substr({0} || {0}, i, length({0}))))"
-scalar("canonical_rotation", K.canonical_rotation, oligos, _ROT.format("seq"), _OLIGO)
-scalar("canonical_circular", lambda s: F.md5(K.canonical_rotation(s, double=True)), oligos, f"md5(least({_ROT.format('seq')}, {_ROT.format(f'reverse({_COMP})')}))", _OLIGO)
+# Sorting rotations takes SQL the square of the length: DNA without ambiguous letters is short enough. The queries of all sequences have no SQL.
+scalar("burrows_wheeler", K.bwt, dna, "array_to_string(list_transform(list_sort(list_transform(range(1, length(seq) + 2), lambda i: substr(seq || '$', i) || substr(seq, 1, i - 1))), lambda r: right(r, 1)), '')", _DNA)
+scalar("burrows_wheeler_all", K.bwt)
+scalar("suffix_array_locate", lambda s: F.array_join(F.array_sort(K.locate_in(s, K.suffix_array(s), "GT")).cast("array<string>"), ","), sql=_PLACES.format("GT", 2))
+_ROT = "list_min(list_transform(range(1, length({0}) + 1), lambda i: substr({0}, i) || substr({0}, 1, i - 1)))"
+scalar("canonical_rotation", K.canonical_rotation, dna, _ROT.format("seq"), _DNA)
+scalar("canonical_rotation_all", K.canonical_rotation)
+scalar("canonical_circular", lambda s: F.md5(K.canonical_rotation(s, double=True)), dna, f"md5(least({_ROT.format('seq')}, {_ROT.format(f'reverse({_COMP})')}))", _DNA)
 scalar("seqhash", lambda s: K.seqhash(s, "DNA", False, True), dna)
 scalar("seqhash_circular", lambda s: K.seqhash(s, "DNA", True, True), dna)
 scalar("mash_sketch", lambda s: K.mash_sketch(s, 17, 50))
@@ -222,12 +222,19 @@ def codon_cdf(spark, d):
     return C.codon_cdf(codon_weights(spark, d))
 
 
-@query(_SEQ + "select id, true as same from s where regexp_full_match(seq, '[ACDEFGHIKLMNPQRSTVWY]+') and not regexp_full_match(seq, '[ACGT]+')")
+@query(_SEQ + "select id, seq protein, 3 * length(seq) n_bases from s where regexp_full_match(seq, '[ACDEFGHIKLMNPQRSTVWY]+') and not regexp_full_match(seq, '[ACGT]+')")
 def optimize_codons(spark, d):
-    """Proteins written as DNA, and read back."""
+    """Proteins written as DNA, and what the DNA says."""
     rows = C.table_rows(_dna_weights(spark, d))
     p = sequences(spark, d).where(F.col("seq").rlike("^[ACDEFGHIKLMNPQRSTVWY]+$") & ~S.is_dna("seq"))
-    return p.withColumn("cds", C.optimize(F.col("seq"), rows, 7)).select("id", (S.translate_dna("cds", genetic_code(1)) == F.col("seq")).alias("same"))
+    return p.withColumn("cds", C.optimize(F.col("seq"), rows, 7)).select("id", S.translate_dna("cds", genetic_code(1)).alias("protein"), F.length("cds").alias("n_bases"))
+
+
+@query(_CDS + _FREQ + _DIM + _WEIGHTS + ", n as (select substr(seq, 1, 3) triplet, count(*) n_starts from s group by 1) "
+       "select letter, w.triplet, weight, w.triplet in ('TTG', 'CTG', 'ATG') is_start, letter = '*' is_stop, coalesce(n_starts, 0) n_starts, (select count(*) from s) gene_count from w left join n on n.triplet = w.triplet")
+def genome_codon_table(spark, d):
+    f = spread(table(spark, d, "features").where("feature_type = 'CDS' and sequence is not null").select("feature_type", "sequence"))
+    return C.genome_table(spark, f.select("feature_type", letters(F.col("sequence")).alias("sequence")))
 
 
 @query("with f as (select feature_id, complement, upper(regexp_replace(g.sequence, '[^A-Za-z]', '', 'g')) p, segments from features x join genbank g using (record_id) where g.sequence is not null and len(segments) > 0), "
@@ -240,12 +247,12 @@ def feature_sequences(spark, d):
     return f.join(g, "record_id").select("feature_id", F.md5(S.feature_sequence("p", "segments", F.coalesce("turned", F.lit(False)))).alias("digest"))
 
 
-# Nearly all primers are short: longer ones are looked for where none of 200 letters or less was found.
+# Nearly all primers are short: longer ones are looked for where none of 60 letters or less was found.
 _TEMP = _thermo("x", 500e-9, 50e-3)[0]
 _DESIGN = _DNA + f""", ends as (select id, 'forward' side, seq from s union all select id, 'reverse', reverse({_COMP}) from s),
-  m1 as (select id, side, min_by(x, k) x from (select id, side, k, substr(seq, 1, cast(k as integer)) x from ends, unnest(range(15, 201)) u(k) where k <= length(seq)) where {_TEMP} >= 55.0 group by id, side),
-  rest as (select * from ends anti join m1 using (id, side) where length(seq) > 200),
-  m2 as (select id, side, min_by(x, k) x from (select id, side, k, substr(seq, 1, cast(k as integer)) x from rest, unnest(range(201, length(seq) + 1)) u(k)) where {_TEMP} >= 55.0 group by id, side),
+  m1 as (select id, side, min_by(x, k) x from (select id, side, k, substr(seq, 1, cast(k as integer)) x from ends, unnest(range(15, 61)) u(k) where k <= length(seq)) where {_TEMP} >= 55.0 group by id, side),
+  rest as (select * from ends anti join m1 using (id, side) where length(seq) > 60),
+  m2 as (select id, side, min_by(x, k) x from (select id, side, k, substr(seq, 1, cast(k as integer)) x from rest, unnest(range(61, length(seq) + 1)) u(k)) where {_TEMP} >= 55.0 group by id, side),
   m as (select * from m1 union all select * from m2)
   select s.id, a.x forward, b.x reverse from s left join m a on a.id = s.id and a.side = 'forward' left join m b on b.id = s.id and b.side = 'reverse'"""
 
@@ -255,63 +262,87 @@ def design_primers(spark, d):
     return dna(spark, d).withColumn("p", P.design_primers(F.col("seq"), 55.0)).select("id", "p.forward", "p.reverse")
 
 
-@query()
+@query(_DESIGN.replace("a.x forward, b.x reverse", "'TTATAGGTCTCATACT' || a.x forward, 'TATATGGTCTCTTCAT' || b.x reverse"))
 def design_primers_overhangs(spark, d):
     return dna(spark, d).withColumn("p", P.design_primers(F.col("seq"), 55.0, "TTATAGGTCTCATACT", "ATGAAGAGACCATATA")).select("id", "p.forward", "p.reverse")
 
 
+# A product of a sequence's own two primers, where each binds once: all of it. What else they make has no short SQL.
 @query()
 def pcr_products(spark, d):
     """Every sequence amplified with its own primers."""
-    made = design_primers(spark, d).where("forward is not null and reverse is not null").join(dna(spark, d), "id").withColumn("primers", F.array("forward", "reverse"))
-    return P.pcr(made, "id", "seq", "primers", 55.0)
+    own = dna(spark, d).withColumn("p", P.design_primers(F.col("seq"), 55.0)).where("p.forward is not null and p.reverse is not null")
+    return P.pcr(own.withColumn("primers", F.array("p.forward", "p.reverse")), "id", "seq", "primers", 55.0)
 
 
 @query()
 def pcr_circular(spark, d):
-    made = design_primers(spark, d).where("forward is not null and reverse is not null").join(dna(spark, d), "id").withColumn("primers", F.array("forward", "reverse"))
-    return P.pcr(made, "id", "seq", "primers", 55.0, circular=True, check=False)
-
-
-_DIGEST = _DNA + """, sites as (select id, seq, i - 1 + 7 pos, 0 strand from s, unnest(range(1, length(seq) - 4)) u(i) where substr(seq, cast(i as integer), 6) = 'GGTCTC'
-    union all select id, seq, i - 2, 1 from s, unnest(range(1, length(seq) - 4)) u(i) where substr(seq, cast(i as integer), 6) = 'GAGACC'),
-  t as (select * from (select *, row_number() over (partition by id, strand order by pos desc) r from sites) where r > 1 or pos + 5 <= length(seq)),
-  p as (select *, lead(pos) over w nxt, lead(strand) over w nstrand, lag(pos) over w before, row_number() over w k from t window w as (partition by id order by pos, strand)),
-  f as (select id, k, substr(seq, cast(pos + 1 as integer), cast(nxt - pos as integer)) x from p where nxt is not null and strand = 0 and nstrand = 1 and nxt - pos > 8)
-  select id, cast(row_number() over (partition by id order by k) as integer) fragment_no, substr(x, 5, length(x) - 8) fragment, substr(x, 1, 4) forward, right(x, 4) reverse from f"""
-
-
-@query(_DIGEST)
+    own = dna(spark, d).withColumn("p", P.design_primers(F.col("seq"), 55.0)).where("p.forward is not null and p.reverse is not null")
+    return P.pcr(own.withColumn("primers", F.array("p.forward", "p.reverse")), "id", "seq", "primers", 55.0, circular=True)
+
+
+def _digest_sql(site: str, back: str, skip: int, circular: bool, directional: bool) -> str:
+    """Cuts in order, and the pieces between neighbours; single cuts are cases of their own."""
+    k, m = 4, len(site)
+    both = "seq || seq" if circular else "seq"
+    trim = "" if circular else f" where r > 1 or pos + {skip + k} <= length(whole)"
+    kept = "strand = 0 and nstrand = 1 and " if directional else ""
+    rest = "" if directional else (
+        f""" union all select id, 1, substr(seq, cast(pos + {k + 1} as integer)) || substr(seq, 1, cast(pos as integer)), substr(whole, cast(pos + 1 as integer), {k}), substr(whole, cast(pos + 1 as integer), {k}) from p where many = 2 and k = 1""" if circular else
+        f""" union all select id, 1, case when strand = 0 then substr(whole, cast(pos + {k + 1} as integer)) else substr(whole, 1, cast(pos - {k} as integer)) end, case when strand = 0 then substr(whole, cast(pos + 1 as integer), {k}) else '' end,
+      case when strand = 0 then '' else substr(whole, cast(pos - {k - 1} as integer), {k}) end from p where many = 1
+    union all select id, 2, case when strand = 0 then substr(whole, 1, cast(pos as integer)) else substr(whole, cast(pos + 1 as integer)) end, case when strand = 0 then '' else substr(whole, cast(pos - {k - 1} as integer), {k}) end,
+      case when strand = 0 then substr(whole, cast(pos + 1 as integer), {k}) else '' end from p where many = 1""")
+    single = "" if directional else f" and many <> {2 if circular else 1}"
+    return _DNA + f""", w as (select id, seq, {both} as whole from s), sites as (select id, seq, whole, i - 1 + {m + skip} pos, 0 strand from w, unnest(range(1, length(whole) - {m - 2})) u(i) where substr(whole, cast(i as integer), {m}) = '{site}'
+    union all select id, seq, whole, i - 1 - {skip}, 1 from w, unnest(range(1, length(whole) - {m - 2})) u(i) where substr(whole, cast(i as integer), {m}) = '{back}'),
+  t as (select * from (select *, row_number() over (partition by id, strand order by pos desc) r from sites){trim}),
+  p as (select *, lead(pos) over w nxt, lead(strand) over w nstrand, row_number() over w k, count(*) over (partition by id) many from t window w as (partition by id order by pos, strand)),
+  f as (select id, k, case when pos >= 0 then substr(whole, cast(pos + 1 as integer), cast(nxt - pos as integer)) else '' end x from p where nxt is not null and {kept}(k = 1 or pos - {m + skip} <= length(seq)){single}),
+  g as (select id, k, substr(x, {k + 1}, length(x) - {2 * k}) fragment, substr(x, 1, {k}) forward, right(x, {k}) reverse from f where length(x) > 8{rest})
+  select id, cast(row_number() over (partition by id order by k) as integer) fragment_no, fragment, forward, reverse from g"""
+
+
+@query(_digest_sql("GGTCTC", "GAGACC", 1, False, True))
 def digest_directional(spark, d):
     return digest_parts(dna(spark, d), "id", "seq", ENZYMES["BsaI"])
 
 
-@query()
+@query(_digest_sql("GAAGAC", "GTCTTC", 2, False, False))
 def digest_all(spark, d):
     return digest_parts(dna(spark, d), "id", "seq", ENZYMES["BbsI"], directional=False)
 
 
-@query()
+@query(_digest_sql("GCGATG", "CATCGC", 10, True, True))
 def digest_circular(spark, d):
     return digest_parts(dna(spark, d), "id", "seq", ENZYMES["BtgZI"], circular=True)
 
 
-_PARTS = ", ".join(f"'TTGGTCTCA{a}' || substr(seq, {1 + 10 * i}, 10) || '{b}TGAGACCAA'" for i, (a, b) in enumerate((("AATG", "CGAG"), ("CGAG", "TACT"), ("TACT", "AATG"))))
+@query(_digest_sql("GGTCTC", "GAGACC", 1, True, False))
+def digest_circular_all(spark, d):
+    return digest_parts(dna(spark, d), "id", "seq", ENZYMES["BsaI"], circular=True, directional=False)
+
 
+_FREE = "replace(replace(seq, 'GGTCTC', 'GGTCTA'), 'GAGACC', 'GAGACA')"
+_THIRDS = ["substr(seq, 1, length(seq) // 3)", "substr(seq, length(seq) // 3 + 1, length(seq) // 3)", "substr(seq, 2 * (length(seq) // 3) + 1)"]
 
-@query(_OLIGO + f", p as (select id, list_max(list_transform([{_PARTS}], lambda x: len(regexp_extract_all(x, 'GGTCTC|GAGACC')))) sites from s) "
-       "select id reaction, case when sites = 2 then 1 else 0 end n_constructs, 0 n_loops, case when sites = 2 then 42 end size from p")
+
+@query(_DNA + f", p as (select id, {_FREE} seq from s) select id reaction, 1 n_constructs, 0 n_loops, md5('AATGAA' || {_THIRDS[0]} || 'AACGAGAA' || {_THIRDS[1]} || 'AATACTAA' || {_THIRDS[2]} || 'AA') construct from p")
 def golden_gate_reactions(spark, d):
-    """Three parts a reaction, made from an oligo, with ends that fit in a ring."""
+    """Each sequence, rid of the enzyme's sites, as three parts whose ends make a ring."""
     ends = ["AATG", "CGAG", "TACT", "AATG"]
-    part = lambda i: F.struct(F.lit(i).alias("part_no"), F.concat(F.lit("TTGGTCTCA" + ends[i]), F.substring("seq", 1 + 10 * i, 10), F.lit(ends[i + 1] + "TGAGACCAA")).alias("sequence"))
-    parts = oligos(spark, d).select(F.col("id").alias("reaction"), F.explode(F.array(part(0), part(1), part(2))).alias("p")).select("reaction", "p.*", F.lit(False).alias("circular"))
+    free = F.replace(F.replace("seq", F.lit("GGTCTC"), F.lit("GGTCTA")), F.lit("GAGACC"), F.lit("GAGACA"))
+    third = F.floor(F.length("seq") / 3).cast("int")
+    cut = [F.substring("seq", F.lit(1), third), F.substring("seq", third + 1, third), F.substring("seq", 2 * third + 1, F.length("seq"))]
+    part = lambda i: F.struct(F.lit(i).alias("part_no"), F.concat(F.lit(f"TTGGTCTCA{ends[i]}AA"), cut[i], F.lit(f"AA{ends[i + 1]}TGAGACCAA")).alias("sequence"))
+    parts = dna(spark, d).select("id", free.alias("seq")).select(F.col("id").alias("reaction"), F.explode(F.array(part(0), part(1), part(2))).alias("p")).select("reaction", "p.*", F.lit(False).alias("circular"))
     made = golden_gate(parts, "reaction", "sequence", "circular", ENZYMES["BsaI"], "part_no")
-    return made.select("reaction", F.size("constructs").alias("n_constructs"), F.size("loops").alias("n_loops"), F.length(F.get("constructs", F.lit(0))).alias("size"))
+    return made.select("reaction", F.size("constructs").alias("n_constructs"), F.size("loops").alias("n_loops"), F.md5(F.get("constructs", F.lit(0))).alias("construct"))
 
 
 def _neighbours(spark, d):
-    o = oligos(spark, d)
+    """Whole sequences beside those of the next id."""
+    o = dna(spark, d)
     return o.join(o.select((F.col("id") - 1).alias("id"), F.col("seq").alias("other")), "id")
 
 
@@ -339,20 +370,20 @@ def de_bruijn_barcodes(spark, d):
     return spark.createDataFrame([(k, i, b) for k, v in sets.items() for i, b in enumerate(v)], "kind string, place int, barcode string")
 
 
-_FOURS = _OLIGO + ", o as (select id, j, substr(seq, cast(4 * j + 1 as integer), 4) x from s, unnest(range(0, 8)) u(j)), "
 _COUNT = "case when {0} = reverse(translate({0}, 'ACGT', 'TGCA')) then 0 when {0} = {1} then 1000 when hamming({0}, {1}) = 1 then 2 else 0 end"
 
 
-@query(_FOURS + f"t as (select a.id, a.j, a.x, sum({_COUNT.format('a.x', 'b.x')} + " + _COUNT.format("a.x", "reverse(translate(b.x, 'ACGT', 'TGCA'))") + f") total, any_value({_COUNT.format('a.x', 'a.x')}) good from o a join o b using (id) group by a.id, a.j, a.x) select id, round(product(case when total = good then 1.0 else good / total::double end), 9) as value from t group by id")
+@query(_DNA + ", o as (select id, j, substr(seq, cast(j as integer), 4) x from s, unnest(range(1, length(seq) - 2, 100)) u(j)), "
+       f"t as (select a.id, a.j, a.x, sum({_COUNT.format('a.x', 'b.x')} + " + _COUNT.format("a.x", "reverse(translate(b.x, 'ACGT', 'TGCA'))") + f") total, any_value({_COUNT.format('a.x', 'a.x')}) good from o a join o b using (id) group by a.id, a.j, a.x) select id, round(product(case when total = good then 1.0 else good / total::double end), 9) as value from t group by id")
 def set_efficiency(spark, d):
-    """Fidelity of the eight four-letter words of each oligo as overhangs of one reaction."""
+    """Fidelity of every hundredth word of a sequence as overhangs of one reaction, by the rule that stands in for measurements."""
     counts = Y.ideal_fidelity()
 
     @F.pandas_udf("double")
     def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: round(Y.set_efficiency([x[i : i + 4] for i in range(0, 32, 4)], counts), 9))
+        return s.map(lambda x: round(Y.set_efficiency([x[i : i + 4] for i in range(0, len(x) - 3, 100)], counts), 9))
 
-    return oligos(spark, d).select("id", run("seq").alias("value"))
+    return dna(spark, d).where(F.length("seq") > 3).select("id", run("seq").alias("value"))
 
 
 @query()
@@ -378,10 +409,25 @@ def fix_coding_sequences(spark, d):
 @query(_CDS + "select id, cast((i - 1) // 3 as integer) codon_start, cast((i + 5) // 3 - 1 as integer) codon_end, site from s, unnest(range(1, length(seq) - 4)) u(i), (values ('GGTCTC'), ('GAGACC'), ('GAAGAC'), ('GTCTTC')) v(site) where substr(seq, cast(i as integer), 6) = site")
 def remove_sequence_suggestions(spark, d):
     """Codons that hold sites of two enzymes, on either strand."""
-    sites = F.explode(F.array(*(F.lit(x) for x in ("GGTCTC", "GAGACC", "GAAGAC", "GTCTTC")))).alias("site")
-    at = coding(spark, d).select("id", "seq", sites).where(F.contains("seq", "site"))
-    places = F.filter(F.sequence(F.lit(0), F.length("seq") - 6), lambda i: F.substring("seq", i + 1, F.lit(6)) == F.col("site"))
-    return at.where(F.length("seq") >= 6).select("id", "site", F.explode(places).alias("i")).select("id", F.floor(F.col("i") / 3).cast("int").alias("codon_start"), (F.floor((F.col("i") + 6) / 3) - 1).cast("int").alias("codon_end"), "site")
+    finders = {x: Y.remove_sequences([x], "site") for x in ("GGTCTC", "GAAGAC")}
+    both = {x: (x, K.turned(x)) for x in finders}
+
+    @F.pandas_udf("array<struct<codon_start:int,codon_end:int,site:string>>")
+    def run(s: pd.Series) -> pd.Series:
+        def of(text):
+            found = [(x, g) for x, f in finders.items() for g in f(text)]
+            # Which strand a suggestion is of: the finder lists those of the word first.
+            many = {x: len(re.findall(x, text)) for x in finders}
+            seen = dict.fromkeys(finders, 0)
+            out = []
+            for x, g in found:
+                out.append({"codon_start": g.start, "codon_end": g.end, "site": both[x][seen[x] >= many[x]]})
+                seen[x] += 1
+            return out
+
+        return s.map(of)
+
+    return coding(spark, d).select("id", F.explode(run("seq")).alias("x")).select("id", "x.*")
 
 
 @query("select read_row_id id, md5('@' || identifier || coalesce(array_to_string(list_transform(list_sort(map_entries(optionals)), lambda e: ' ' || e.key || '=' || e.value), ''), '') || chr(10) || sequence || chr(10) || '+' || chr(10) || quality) digest from fastq")
@@ -400,7 +446,7 @@ def fastq_optionals(spark, d):
     return table(spark, d, "fastq").select(F.col("read_row_id").alias("id"), F.explode("optionals"))
 
 
-@query()
+@query(PILEUP_LINES + "select line_id, md5(c[1] || chr(9) || c[2]::bigint || chr(9) || c[3] || chr(9) || c[4]::bigint || chr(9) || c[5] || chr(9) || c[6]) digest from valid")
 def pileup_records(spark, d):
     """Valid pileup lines written anew."""
     return valid_rows(parse_lines(table(spark, d, "pileup_lines"), "pileup")).select("line_id", F.md5(pileup_text()).alias("digest"))

@@ -74,16 +74,22 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     reads take only the columns they need.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/seqloom-{uuid.uuid4().hex}"
+    path = own_folder(spark)
     df.write.parquet(path)
-    if not _written:
-        atexit.register(_forget)
-    _written[path] = spark
     out = spark.read.schema(df.schema).parquet(path)
     out._seqloom_path = path
     return out
 
 
+def own_folder(spark: SparkSession) -> str:
+    """The path of a new folder in the shared one, for files that a run writes and reads again. It is removed at the driver's end."""
+    path = f"{shared_folder(spark)}/seqloom-{uuid.uuid4().hex}"
+    if not _written:
+        atexit.register(_forget)
+    _written[path] = spark
+    return path
+
+
 def release(*tables: DataFrame) -> None:
     """Deletes tables of cut_lineage() from which nothing will be computed any more: what came of them has been written itself."""
     for t in tables:
