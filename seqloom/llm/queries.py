@@ -88,6 +88,15 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return _pieces(spark, d).where("piece_no = 0").select("src", "item_id")
 
 
+def p4_kept(spark: SparkSession, d: str) -> DataFrame:
+    """Each item put together again from its pieces, without the overlaps, and whether all pieces keep to the limit and overlap as asked."""
+    k = _limits(spark, d)
+    own = F.struct("piece_no", F.expr("substring(piece, overlap + 1)").alias("new"))
+    whole = F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(own)), lambda x: x["new"]), ""))
+    fits = F.bool_and((F.length("piece") <= k["piece_max_residues"]) & (F.col("overlap") == F.when(F.col("piece_no") == 0, 0).otherwise(k["piece_overlap_residues"])) & (F.length("piece") == F.col("end_pos") - F.col("start_pos")))
+    return _pieces(spark, d).groupBy("src", "item_id").agg(F.max("end_pos").alias("n_letters"), whole.alias("digest"), fits.alias("fits"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return mention_pairs(link_mentions(table(spark, d, "genbank_refs")))
 
@@ -159,7 +168,7 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
     return truncation_rates(find_truncated(table(spark, d, "documents")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_groups, p4_found, p4_pieces, p6_found, p6_records, p7_found, p7_entities, p8_pack, p8_fill, p8_kept, p8_windows, p9_mix, p9_kept, p9_shares, p10_found, p10_rates)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_groups, p4_found, p4_kept, p4_pieces, p6_found, p6_records, p7_found, p7_entities, p8_pack, p8_fill, p8_kept, p8_windows, p9_mix, p9_kept, p9_shares, p10_found, p10_rates)}
 
 _CANON = """with t as (
   select 'fasta' src, fasta_id id, upper(regexp_replace(sequence, '[^A-Za-z]', '', 'g')) seq,
@@ -176,6 +185,8 @@ _NEAR = r"""with recursive x as (select 'fasta' src, fasta_id id, upper(regexp_r
 ORACLE: dict[str, str] = {
     "p4_found": """select 'genbank' src, record_id item_id from genbank where length(regexp_replace(sequence, '[^A-Za-z]', '', 'g')) > 5000
   union all select 'fasta', cast(fasta_id as varchar) from fasta where length(regexp_replace(sequence, '[^A-Za-z]', '', 'g')) > 5000""",
+    "p4_kept": """with t as (select 'genbank' src, record_id item_id, upper(regexp_replace(sequence, '[^A-Za-z]', '', 'g')) s from genbank union all select 'fasta', cast(fasta_id as varchar), upper(regexp_replace(sequence, '[^A-Za-z]', '', 'g')) from fasta)
+  select src, item_id, length(s)::bigint n_letters, md5(s) digest, true fits from t where length(s) > 5000""",
     "p6_found": _CANON + "select src, first_id, id copy_id from c where id <> first_id",
     "p6_records": _CANON + "select src, first_id, n n_copies from c where id = first_id",
     "p2_found": _NEAR + """select near.src, least(p.id, q.id) id_a, greatest(p.id, q.id) id_b from near join u a on a.src = near.src and a.rep = ra join u b on b.src = near.src and b.rep = rb
