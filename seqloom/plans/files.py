@@ -173,7 +173,7 @@ def genbank_files(spark, d):
         F.coalesce(F.regexp_replace("sequence", "[^A-Za-z]+", ""), F.lit("")).alias("sequence"), "features", F.lit(None).cast("string").alias("error"),
     )
     path = own_folder(spark)
-    W.write_lines(W.genbank_text(whole), path, sep="")
+    W.write_lines(W.genbank_text(whole), path)
     again = R.read_genbank(spark, path)
     plain = lambda c: F.coalesce(F.regexp_replace(F.trim(c), r"\s+", " "), F.lit(""))
     said = F.array_join(F.transform("refs", lambda r: F.concat(plain(r["authors"]), F.lit("|"), plain(r["consortium"]))), "\n")

@@ -26,9 +26,7 @@ from seqloom.operators.fold import fold
 from seqloom.operators.rejects import parse_lines, valid_rows
 from seqloom.plans.problems import PILEUP_LINES
 from seqloom.session import spread, table
-from seqloom.sources.genbank import FEATURE
-from seqloom.sources.readers import read_records
-from seqloom.sources.writers import fasta_text, fastq_text, genbank_text, pileup_text
+from seqloom.sources.writers import fasta_text, fastq_text, pileup_text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -267,18 +265,54 @@ def design_primers_overhangs(spark, d):
     return dna(spark, d).withColumn("p", P.design_primers(F.col("seq"), 55.0, "TTATAGGTCTCATACT", "ATGAAGAGACCATATA")).select("id", "p.forward", "p.reverse")
 
 
-# A product of a sequence's own two primers, where each binds once: all of it. What else they make has no short SQL.
+def _pairs_sql(circular: bool) -> str:
+    """Sites of each sequence's own primers, paired: the first reverse one before the next forward one, the last forward one with all that follow."""
+    temp = _thermo("x", 500e-9, 50e-3)[0]
+    around = """ union all select id, pos, rpos from (select f.id, f.pos, r.rpos, f.first from f join r on r.id = f.id and r.rpos < f.first where f.nxt is null and not exists (select 1 from r q where q.id = f.id and q.rpos > f.pos))""" if circular else ""
+    return "with made as (" + _DESIGN + """), pr as (select m.id, s.seq, side, p from (select id, 'forward' side, forward p from made where forward is not null and reverse is not null union all select id, 'reverse', reverse from made where forward is not null and reverse is not null) m
+    join (""" + _DNA + """ select * from s) s on s.id = m.id),
+  tk as (select id, seq, side, p, k, right(p, cast(k as integer)) x from pr, unnest(range(7, length(p) + 1)) u(k)),
+  k0 as (select id, seq, side, p, min(k) k0 from tk where """ + temp + """ >= 55.0 group by all),
+  bind as (select id, seq, side, p, right(p, cast(k0 - 1 as integer)) e from k0 where k0 > 7),
+  fs as (select id, side, p, e, i - 1 pos from bind, unnest(range(1, length(seq) - length(e) + 2)) u(i) where substr(seq, cast(i as integer), length(e)) = e),
+  rs as (select id, side, p, i - 1 rpos from (select *, reverse(translate(e, 'ACGT', 'TGCA')) b from bind), unnest(range(1, length(seq) - length(e) + 2)) u(i) where substr(seq, cast(i as integer), length(e)) = b),
+  f as (select id, pos, lead(pos) over (partition by id order by pos) nxt, min(pos) over (partition by id) as first from (select distinct id, pos from fs)), r as (select distinct id, rpos from rs),
+  near as (select f.id, f.pos, r.rpos, f.nxt, row_number() over (partition by f.id, f.pos order by r.rpos) rn from f join r on f.id = r.id and f.pos < r.rpos and (f.nxt is null or r.rpos < f.nxt)),
+  pair as (select id, pos, rpos from near where nxt is null or rn = 1""" + around + """),
+  product as (select id, pos, rpos, fs.side a, rs.side b, left(fs.p, length(fs.p) - length(fs.e)) || case when rpos > pos then substr(seq, cast(pos + 1 as integer), cast(rpos - pos as integer)) else substr(seq, cast(pos + 1 as integer)) || substr(seq, 1, cast(rpos as integer)) end
+    || reverse(translate(rs.p, 'ACGT', 'TGCA')) x from pair join fs using (id, pos) join rs using (id, rpos) join (select distinct id, seq from pr) using (id))
+  select id, count(x) n, coalesce(md5(string_agg(x, '|' order by pos, rpos, a, b)), md5('')) products from (select distinct id from pr) left join product using (id) group by id"""
+
+
+def _with_own_primers(spark, d) -> DataFrame:
+    own = dna(spark, d).withColumn("p", P.design_primers(F.col("seq"), 55.0)).where("p.forward is not null and p.reverse is not null")
+    return own.withColumn("primers", F.array("p.forward", "p.reverse"))
+
+
+def _product_digests(made: DataFrame) -> DataFrame:
+    return made.select("id", F.size("products").cast("bigint").alias("n"), F.md5(F.array_join("products", "|")).alias("products"))
+
+
+@query(_pairs_sql(False))
+def pcr_pairs(spark, d):
+    """Every sequence amplified with its own primers."""
+    return _product_digests(P.pcr(_with_own_primers(spark, d), "id", "seq", "primers", 55.0, check=False))
+
+
+@query(_pairs_sql(True))
+def pcr_pairs_circular(spark, d):
+    return _product_digests(P.pcr(_with_own_primers(spark, d), "id", "seq", "primers", 55.0, circular=True, check=False))
+
+
 @query()
 def pcr_products(spark, d):
-    """Every sequence amplified with its own primers."""
-    own = dna(spark, d).withColumn("p", P.design_primers(F.col("seq"), 55.0)).where("p.forward is not null and p.reverse is not null")
-    return P.pcr(own.withColumn("primers", F.array("p.forward", "p.reverse")), "id", "seq", "primers", 55.0)
+    """The same with the look for concatemers."""
+    return P.pcr(_with_own_primers(spark, d), "id", "seq", "primers", 55.0)
 
 
 @query()
 def pcr_circular(spark, d):
-    own = dna(spark, d).withColumn("p", P.design_primers(F.col("seq"), 55.0)).where("p.forward is not null and p.reverse is not null")
-    return P.pcr(own.withColumn("primers", F.array("p.forward", "p.reverse")), "id", "seq", "primers", 55.0, circular=True)
+    return P.pcr(_with_own_primers(spark, d), "id", "seq", "primers", 55.0, circular=True)
 
 
 def _digest_sql(site: str, back: str, skip: int, circular: bool, directional: bool) -> str:
@@ -399,6 +433,14 @@ def fragment_sequences(spark, d):
     return cut.select("id", F.size("f.fragments").alias("n_fragments"), F.array_join("f.fragments", "|").alias("fragments"), F.round("f.efficiency", 9).alias("efficiency"), "f.error")
 
 
+@query(_DNA + "select id, md5(seq) digest, true fits from s")
+def fragments_joined(spark, d):
+    """Fragments put together again, each without the four letters it shares with the one before, and whether all keep to the largest size."""
+    cut = dna(spark, d).withColumn("f", Y.fragments(F.col("seq"), 90, 110, Y.ideal_fidelity())).select("id", "f.*")
+    joined = F.array_join(F.transform("fragments", lambda x, i: F.substring(x, F.when(i == 0, 1).otherwise(5), F.length(x))), "")
+    return cut.select("id", F.coalesce(F.md5(F.when(F.col("error").isNull(), joined)), F.col("error")).alias("digest"), F.forall("fragments", lambda x: F.length(x) <= 110).alias("fits"))
+
+
 @query()
 def fix_coding_sequences(spark, d):
     rows = C.table_rows(_dna_weights(spark, d))
@@ -441,11 +483,6 @@ def fasta_records(spark, d):
     return sequences(spark, d).select("id", F.md5(fasta_text(F.col("id").cast("string"), F.col("seq"))).alias("digest"))
 
 
-@query("select read_row_id id, unnest(map_entries(optionals)).key as \"key\", unnest(map_entries(optionals)).value as \"value\" from fastq where optionals is not null")
-def fastq_optionals(spark, d):
-    return table(spark, d, "fastq").select(F.col("read_row_id").alias("id"), F.explode("optionals"))
-
-
 @query(PILEUP_LINES + "select line_id, md5(c[1] || chr(9) || c[2]::bigint || chr(9) || c[3] || chr(9) || c[4]::bigint || chr(9) || c[5] || chr(9) || c[6]) digest from valid")
 def pileup_records(spark, d):
     """Valid pileup lines written anew."""
@@ -458,12 +495,6 @@ def random_sequences(spark, d):
     return t.select("id", S.random_sequence(50, F.col("id")).alias("dna"), S.random_sequence(50, F.col("id"), "ACUG").alias("rna"), S.random_protein(30, F.col("id")).alias("protein"))
 
 
-@query("select record_id, md5(concat_ws('|', organism, array_to_string(taxonomy, ';'), locus.locus_name, locus.circular::varchar)) digest from genbank")
-def genbank_meta(spark, d):
-    t = table(spark, d, "genbank")
-    return t.select("record_id", F.md5(F.concat_ws("|", "organism", F.array_join("taxonomy", ";"), "locus.locus_name", F.col("locus.circular").cast("string"))).alias("digest"))
-
-
 @query("""select feature_id, segments[1].seg_start first_start, segments[-1].seg_end last_end, len(segments) n_segments, complement turned, five_prime_partial, three_prime_partial
   from features where gbk_location_string is not null and len(segments) > 0""")
 def parse_locations(spark, d):
@@ -471,16 +502,3 @@ def parse_locations(spark, d):
     f = table(spark, d, "features").where("gbk_location_string is not null and size(segments) > 0").select("feature_id", location(F.col("gbk_location_string")).alias("x"))
     ends = [F.element_at("x.segments", 1)["seg_start"].alias("first_start"), F.element_at("x.segments", -1)["seg_end"].alias("last_end")]
     return f.select("feature_id", *ends, F.size("x.segments").alias("n_segments"), F.col("x.complement").alias("turned"), "x.five_prime_partial", "x.three_prime_partial")
-
-
-@query("select record_id, md5(coalesce(regexp_replace(sequence, '[^A-Za-z]', '', 'g'), '')) digest, coalesce(len(taxonomy), 0) n_taxa, locus.circular circular from genbank")
-def genbank_round_trip(spark, d):
-    """Records written as flat files and read again."""
-    t = spread(table(spark, d, "genbank"))
-    refs = "cast(array() as array<struct<authors:string,title:string,journal:string,pub_med:string,remark:string,bases_range:string,consortium:string>>)"
-    whole = t.select(
-        "locus", "definition", "accession", F.col("record_id").alias("version"), "keywords", F.col("organism").alias("source"), "organism", "taxonomy", F.expr(refs).alias("refs"), "base_count", "other",
-        F.coalesce(F.regexp_replace("sequence", "[^A-Za-z]+", ""), F.lit("")).alias("sequence"), F.expr(f"cast(array() as array<{FEATURE}>)").alias("features"), F.lit(None).cast("string").alias("error"),
-    )
-    again = read_records(genbank_text(whole))
-    return again.select(F.col("version").alias("record_id"), F.md5("sequence").alias("digest"), F.size("taxonomy").alias("n_taxa"), F.col("locus.circular").alias("circular"))
