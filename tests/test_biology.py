@@ -223,7 +223,7 @@ def test_fold_adds_up():
     import random
 
     rnd = random.Random(12)
-    for n in (5, 9, 20, 60, 120):
+    for n in (5, 9, 20, 60, 120, *range(140, 200, 3)):
         for letters in ("ACGT", "ACGU"):
             f = Fold("".join(rnd.choice(letters) for _ in range(n)))
             parts = f.parts() if f.x[n] < float("inf") else []
