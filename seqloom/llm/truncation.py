@@ -38,6 +38,8 @@ TAIL_LINES, LONG_FORM = 8, 100
 NEAR_EVERY = 10
 TERMINAL = tuple('.!?"»”)]')
 _NUMBER = re.compile(r"\d+")
+#: A line by its last number: what is before and after it.
+_NUMBERED_LINE = re.compile(rf"^(?=[^\n]{{1,{2 * LONG_FORM}}}$)([^\n]*?(?<!\d))(\d+)([^\d\n]*)$", re.M)
 
 
 def line_form(line: str) -> str:
@@ -69,20 +71,23 @@ def line_form(line: str) -> str:
 
 
 def kept_form(line: str) -> str:
-    form = line_form(line)
+    """The form of a line; of a long one, a digest of the line."""
+    form = line_form(line) if len(line) <= 2 * LONG_FORM else line
     return form if len(form) <= LONG_FORM else "#" + hashlib.md5(form.encode()).hexdigest()[:16]
 
 
-def running_forms(lines: list[str]) -> set[str]:
-    """Forms of the lines that stand more than once with their last number going up by one."""
-    seen: dict[str, int] = {}
+def running_forms(text: str) -> set[str]:
+    """Forms of the lines of at most twice LONG_FORM letters that stand more than once with their last number going up by one."""
+    seen: dict[tuple[str, str], int] = {}
     out = set()
-    for x in lines:
-        if len(x) <= 2 * LONG_FORM and (numbers := _NUMBER.findall(x)):
-            key, last = _NUMBER.sub("#", x), int(numbers[-1][:18])
-            if len(key) > 1 and seen.get(key) == last - 1:
-                out.add(kept_form(x))
-            seen[key] = last
+    for m in _NUMBERED_LINE.finditer(text):
+        before, last, after = m[1].lstrip(), int(m[2][-18:]), m[3].rstrip()
+        if not before and not after:
+            continue
+        key = (_NUMBER.sub("#", before), after)
+        if seen.get(key) == last - 1:
+            out.add(kept_form(m[0].strip()))
+        seen[key] = last
     return out
 
 
@@ -154,7 +159,7 @@ def _ends(df: DataFrame, id_col: str, texts: list[str], source: str) -> DataFram
             pages: Counter[str] = Counter()
             tails, ends = [], []
             for t in b.column("text").to_pylist():
-                pages.update(running_forms([x.strip() for x in t.split("\n")]))
+                pages.update(running_forms(t))
                 tails.append([{"form": x, "gap": y, "sound": z} for x, y, z in tail(t)])
                 ends.append(t.rstrip().endswith(TERMINAL))
             n, more = b.num_rows, len(pages)

@@ -140,7 +140,7 @@ def test_truncated(spark):
 def test_ends_of_texts():
     assert line_form("Delivered at New Velmora on 3 May 1999") == "N on 9" and line_form("For the 2 parties: X & Co") == "N the 9 parties: N & N" and line_form("") == ""
     assert line_form("0rder accordingly!") == line_form("Order accordingly!") and line_form("rendu le 3 mai 1999.") == line_form("rendu le 14 décembre 2001.") == "rendu le 9"
-    assert running_forms(["A B - Page 2", "x", "A B - Page 3", "7", "8", "clause 4", "clause 9"]) == {"N - N 9"}
+    assert running_forms("A B - Page 2 \nx\nA B - Page 3\n7\n8\nclause 4\nclause 9\n" + "y" * 300 + " 4\n" + "y" * 300 + " 5") == {"N - N 9"}
     assert near("abcd", "abd") == 1 and near("", "ab") == 2 and is_near("N dismlssed. N order", {"N dismissed. N order"}) and not is_near("N dismissed. N ord", {"N dismissed. N order"}) and not is_near("x", {"N"})
     page = frozenset({"N - N 9"})
     assert last_block(tail("a\n\nb.\nc\n\nX Court - Page 3\n\n"), page) == ("b. | c", False) and last_block(tail(""), page) == ("", True) and last_block(tail("a."), page) == ("a.", True)
