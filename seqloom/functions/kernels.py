@@ -394,6 +394,94 @@ def locate_in(seq: Column, index: Column, pattern: str) -> Column:
     return run(seq, index)
 
 
+#: Places between two rows of counts, and between two suffixes whose start is kept, of an FM index.
+FM_COUNTS, FM_STARTS = 128, 32
+
+
+def fm_of(s: str) -> dict:
+    """The index of a text that counts and finds patterns without the text: its transform, its letters with the number of letters before each in order, their
+    counts at every FM_COUNTS places, and every FM_STARTS-th start with the place in order that has it."""
+    order = suffix_order(s)
+    data = np.frombuffer(("\0" + s).encode("utf-32-le"), np.uint32)  # the end mark is less than any letter
+    last = data[order]  # the letter before each suffix; the mark before the whole text
+    letters, codes = np.unique(last, return_inverse=True)
+    before = np.searchsorted(np.sort(last), letters)
+    hits = codes[:, None] == np.arange(len(letters))[None, :]
+    counts = np.vstack([np.zeros(len(letters), np.int64), np.cumsum(hits, axis=0)])[::FM_COUNTS]
+    kept = np.flatnonzero(order % FM_STARTS == 0)
+    return {
+        "bwt": "".join(map(chr, last.tolist())), "letters": "".join(map(chr, letters.tolist())), "before": before.tolist(), "counts": counts.ravel().tolist(), "places": kept.tolist(), "starts": order[kept].tolist(),
+    }
+
+
+class FMIndex:
+    """Search in what fm_of() made."""
+
+    def __init__(self, x: dict):
+        self.bwt, self.letters, self.before = x["bwt"], x["letters"], list(x["before"])
+        self.counts = np.asarray(x["counts"]).reshape(-1, len(self.letters))
+        self.starts = dict(zip(x["places"], x["starts"]))
+
+    def rank(self, letter: int, at: int) -> int:
+        """How often a letter occurs in the transform before a place."""
+        row = at // FM_COUNTS
+        return int(self.counts[row, letter]) + self.bwt.count(self.letters[letter], row * FM_COUNTS, at)
+
+    def range(self, pattern: str) -> tuple[int, int]:
+        """The places in order of the suffixes that begin with a pattern, found from its last letter to its first."""
+        low, high = 0, len(self.bwt)
+        for c in reversed(pattern):
+            k = self.letters.find(c)
+            if k < 0 or c == "\0":
+                return 0, 0
+            low, high = (self.before[k] + self.rank(k, x) for x in (low, high))
+            if low >= high:
+                return 0, 0
+        return low, high
+
+    def start(self, at: int) -> int:
+        """The start of the suffix at a place in order: steps back through the text to one that is kept."""
+        steps = 0
+        while at not in self.starts:
+            k = self.letters.index(self.bwt[at])
+            at = self.before[k] + self.rank(k, at)
+            steps += 1
+        return self.starts[at] + steps
+
+
+_FM = "bwt string, letters string, before array<int>, counts array<int>, places array<int>, starts array<int>"
+
+
+def fm_index(seq: Column) -> Column:
+    """Struct of an FM index, to be kept in the place of a record; null for empty texts."""
+
+    @F.pandas_udf(_FM)
+    def run(s: pd.Series) -> pd.DataFrame:
+        names = ["bwt", "letters", "before", "counts", "places", "starts"]
+        got = [fm_of(x) if x else dict.fromkeys(names) for x in s]
+        return pd.DataFrame({n: [g[n] for g in got] for n in names})
+
+    return run(seq)
+
+
+def _fm_search(index: Column, kind: str, of) -> Column:
+    @F.pandas_udf(kind)
+    def run(x: pd.DataFrame) -> pd.Series:
+        return pd.Series([None if r["bwt"] is None else of(FMIndex(r)) for r in x.to_dict("records")], dtype=object)
+
+    return run(index)
+
+
+def fm_count(index: Column, pattern: str) -> Column:
+    """Occurrences of a pattern by an FM index alone, overlapping ones too; null for an empty pattern."""
+    return _fm_search(index, "int", lambda f: f.range(pattern)[1] - f.range(pattern)[0]) if pattern else F.lit(None).cast("int")
+
+
+def fm_locate(index: Column, pattern: str) -> Column:
+    """0-based positions of a pattern by an FM index alone, ascending."""
+    return _fm_search(index, "array<int>", lambda f: sorted(f.start(i) for i in range(*f.range(pattern)))) if pattern else F.lit(None).cast("array<int>")
+
+
 def mash_similarity(a: Column, b: Column) -> Column:
     """Hashes that two sorted sketches share, repeats counted, over the size of the smaller; 1 minus it is the distance."""
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from seqloom.functions import kernels as K
 from seqloom.functions import sequence as S
-from seqloom.functions.genetic_code import STANDARD, genetic_code
+from seqloom.functions.genetic_code import DIFFERENT, STANDARD, genetic_code
 from seqloom.functions.letters import letters
 from seqloom.operators import codons as C
 from seqloom.operators import primers as P
@@ -120,6 +120,8 @@ scalar("sequence_length", F.length, sql="cast(length(seq) as integer)")
 scalar("burrows_wheeler", K.bwt, dna, "array_to_string(list_transform(list_sort(list_transform(range(1, length(seq) + 2), lambda i: substr(seq || '$', i) || substr(seq, 1, i - 1))), lambda r: right(r, 1)), '')", _DNA)
 scalar("burrows_wheeler_all", K.bwt)
 scalar("suffix_array_locate", lambda s: F.array_join(F.array_sort(K.locate_in(s, K.suffix_array(s), "GT")).cast("array<string>"), ","), sql=_PLACES.format("GT", 2))
+scalar("fm_count", lambda s: K.fm_count(K.fm_index(s), "AC"), sql="len(list_filter(range(1, length(seq)), lambda i: substr(seq, i, 2) = 'AC'))::integer")
+scalar("fm_locate", lambda s: F.array_join(K.fm_locate(K.fm_index(s), "ACAG").cast("array<string>"), ","), sql=_PLACES.format("ACAG", 4))
 _ROT = "list_min(list_transform(range(1, length({0}) + 1), lambda i: substr({0}, i) || substr({0}, 1, i - 1)))"
 scalar("canonical_rotation", K.canonical_rotation, dna, _ROT.format("seq"), _DNA)
 scalar("canonical_rotation_all", K.canonical_rotation)
@@ -132,6 +134,18 @@ for _n in (1, 11, 2):
     _code = genetic_code(_n)
     scalar(f"translate_table_{_n}", lambda s, c=_code: S.translate_dna(s, c), dna, f"array_to_string(list_transform(range(0, length(seq) // 3), lambda i: {_AA.format(''.join(_code.values()))}), '')", _DNA)
 assert "".join(genetic_code(1).values()) == STANDARD
+
+
+def translate_all_tables(spark, d):
+    """Every DNA sequence by every genetic code."""
+    s = dna(spark, d)
+    said = F.array(*(F.struct(F.lit(n).alias("number"), F.md5(F.coalesce(S.translate_dna("seq", genetic_code(n)), F.lit(""))).alias("digest")) for n in DIFFERENT))
+    return s.select("id", F.explode(said).alias("x")).select("id", "x.*")
+
+
+QUERIES["translate_all_tables"] = translate_all_tables
+_TABLES = ", ".join(f"({n}, '{''.join(genetic_code(n).values())}')" for n in DIFFERENT)
+ORACLE["translate_all_tables"] = _DNA + f", c(number, code) as (values {_TABLES}) select id, number, md5(array_to_string(list_transform(range(0, length(seq) // 3), lambda i: {_AA.replace(chr(39) + '{}' + chr(39), 'code')}), '')) digest from s, c"
 scalar("gc_fix_suggestion", lambda s: F.to_json(S.gc_fix_suggestion(s, 0.52, 0.48)), dna)
 ORACLE["gc_fix_suggestion"] = _DNA + ", g as (select *, len(regexp_extract_all(seq, '[GC]')) / length(seq)::double gc from s) select id, case when gc > 0.52 then '{\"bias\":\"AT\",\"quantity\":' || cast(floor((gc - 0.52) * length(seq)) + 1 as integer) || '}' when gc < 0.48 then '{\"bias\":\"GC\",\"quantity\":' || cast(floor((0.48 - gc) * length(seq)) + 1 as integer) || '}' end as value from g"
 scalar("fold_dna", lambda s: F.to_json(fold(s, 37.0)), dna)

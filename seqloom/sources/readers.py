@@ -29,12 +29,16 @@ def _fasta_columns(chunks: DataFrame) -> DataFrame:
     return chunks.where(F.col("value").rlike(r"(?m)^[ \t]*[^; \t\r\n]")).select(F.regexp_replace(F.get(lines, F.lit(0)), r"\s+$", "").alias("name"), F.regexp_replace(F.array_join(kept, ""), r"\r", "").alias("sequence"))
 
 
-def read_fasta(spark: SparkSession, path: str, max_records: int | None = None) -> DataFrame:
+def read_fasta(spark: SparkSession, path: str, max_records: int | None = None, max_line: int | None = None) -> DataFrame:
     """name, sequence. Lines that start with ';' and blank lines are left out; a last record without a line end is kept.
 
-    Nothing but JVM expressions; a file splits at the '>' of its records.
+    max_line: adds ``error``, set for records with a longer line. Nothing but JVM expressions; a file splits at the '>' of its records.
     """
-    out = _fasta_columns(spark.read.option("lineSep", "\n>").text(path))
+    chunks = spark.read.option("lineSep", "\n>").text(path)
+    out = _fasta_columns(chunks)
+    if max_line is not None:
+        long = F.exists(F.split(F.regexp_replace("value", r"\A\s*>", ""), "\n", -1), lambda x: F.length(x) > max_line)
+        out = _fasta_columns(chunks.where(~long)).withColumn("error", F.lit(None).cast("string")).unionByName(_fasta_columns(chunks.where(long)).withColumn("error", F.lit(f"line longer than {max_line}")))
     return out if max_records is None else out.limit(max_records)
 
 

@@ -134,6 +134,12 @@ def enzyme_json(enzymes: DataFrame) -> DataFrame:
     return enzymes.select(F.to_json(F.struct("*")).alias("value"))
 
 
+def enzyme_map_json(enzymes: DataFrame, name: str = "name") -> DataFrame:
+    """``value``: one document, a map from each enzyme's name to the enzyme. A list of enzymes has some thousand of them."""
+    entry = F.struct(F.col(name).alias("key"), F.struct("*").alias("value"))
+    return enzymes.where(F.col(name).isNotNull()).dropDuplicates([name]).agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(entry)))).alias("value"))
+
+
 def native_json_text(records: DataFrame, pretty: bool = True) -> DataFrame:
     """``value``: each record of read_native_json()'s form as a document, sub-locations to any depth."""
 

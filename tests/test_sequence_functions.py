@@ -115,6 +115,20 @@ def test_suffix_search(spark):
     assert got[3] is None
 
 
+def test_fm_index(spark):
+    rnd = random.Random(5)
+    texts = ["".join(rnd.choice(a) for _ in range(n)) for a in ("AC", "ACGT", "xyzé", "# $A") for n in (1, 2, 31, 32, 33, 300)]
+    patterns = ("A", "AC", "CAC", "zz", "é", "$", "AAAAAAAAAAAAAAAAAAAAAAAA")
+    for t in texts:
+        f = K.FMIndex(K.fm_of(t))
+        for p in patterns:
+            want = [i for i in range(len(t)) if t.startswith(p, i)]
+            low, high = f.range(p)
+            assert high - low == len(want) and sorted(f.start(i) for i in range(low, high)) == want
+    df = spark.createDataFrame([("ACAC",), ("",), (None,), ("A$",)], "s string").withColumn("x", K.fm_index(F.col("s")))
+    assert [tuple(r) for r in df.select(K.fm_count(F.col("x"), "AC"), K.fm_locate(F.col("x"), "AC")).collect()] == [(2, [0, 2]), (None, None), (None, None), (0, [])]
+
+
 def test_genetic_codes():
     assert len(DIFFERENT) == 25 and all(len(genetic_code(n)) == 64 for n in DIFFERENT)
     assert genetic_code(1)["TGA"] == "*" and genetic_code(2)["AGA"] == "*" and genetic_code(12)["CTG"] == "S" and start_codons(3) == ["ATA", "ATG", "GTG"] and stop_codons(27) == ["TGA"] and stop_codons(11) == ["TAA", "TAG", "TGA"]

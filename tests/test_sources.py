@@ -21,6 +21,7 @@ def test_fasta(spark, tmp_path):
     assert [tuple(r) for r in R.read_fasta(spark, p).collect()] == [("one | x", "GATTACA"), ("two", ""), ("three", "ACGT")]
     g = put(tmp_path / "a.fasta.gz", ">z\nAC\n", True)
     assert [tuple(r) for r in R.read_fasta(spark, g).collect()] == [("z", "AC")]
+    assert {(r.name, r.error) for r in R.read_fasta(spark, p, max_line=6).collect()} == {("one | x", "line longer than 6"), ("two", None), ("three", None)}
     assert R.read_fasta(spark, put(tmp_path / "e.fasta", "")).count() == 0 and R.read_fasta(spark, p, 1).count() == 1
 
 
@@ -275,6 +276,7 @@ def test_codon_json(spark, tmp_path):
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, dim.collect()))
     m = R.read_matrix(spark, put(tmp_path / "m.txt", "# x\n   A  C\nA  5 -4\nC -4  5\n"))
     assert sorted(map(tuple, m.collect())) == [("A", "A", 5), ("A", "C", -4), ("C", "A", -4), ("C", "C", 5)]
+    assert W.enzyme_map_json(spark.createDataFrame([("BsaI", "GGTCTC"), ("BbsI", "GAAGAC"), (None, "A")], "name string, site string")).first().value == '{"BbsI":{"name":"BbsI","site":"GAAGAC"},"BsaI":{"name":"BsaI","site":"GGTCTC"}}'
     assert '"name":"BsaI"' in W.enzyme_json(spark.createDataFrame([("BsaI", "GGTCTC")], "name string, site string")).first().value
 
 
