@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.session import cut_lineage
+from seqloom.session import cut_lineage, release
 
 
 def _shape(e: DataFrame) -> tuple:
@@ -30,7 +30,9 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).where("u != v")
         new = small.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+        last = e
         e, now = _shape(new)
+        release(last)  # what came of it is written
         if now == seen:
             break
         seen = now
