@@ -29,7 +29,7 @@ from seqloom.session import cut_lineage, release
 
 Q = 3
 #: Naming parts are compared if so much of their weighted 3-grams is common.
-LEAST_SHARED = 0.2
+LEAST_SHARED = {"p": 0.25, "o": 0.2}
 #: How steeply a gram's weight rises with its rarity. Organisations share most of their words with others.
 STEEPNESS = {"p": 1, "o": 4}
 #: Grams in fewer naming parts than this all weigh the same: a typing error makes grams that are rare for no good reason.
@@ -215,7 +215,7 @@ class Rarity:
         whole = rest = sum(w for w, _, _ in ranked)
         out = []
         for w, _, g in ranked:
-            if rest < LEAST_SHARED * whole:
+            if rest < LEAST_SHARED[kind] * whole:
                 break
             out.append(g)
             rest -= w
@@ -263,11 +263,12 @@ def similar_names(mains: DataFrame) -> DataFrame:
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     prefix = mains.select("kind", "main").mapInArrow(kernel, "kind string, gram string, main string, plain string, w double").repartition(tasks, "kind", "gram")
     x, y = (prefix.select("kind", "gram", F.col("main").alias(c), F.col("plain").alias(f"p{c}"), F.col("w").alias(f"w{c}")) for c in "xy")
-    met = x.join(y, ["kind", "gram"]).where(f"x < y and least(wx, wy) >= {LEAST_SHARED} * greatest(wx, wy)")
+    least = F.when(F.col("kind") == "p", LEAST_SHARED["p"]).otherwise(LEAST_SHARED["o"])
+    met = x.join(y, ["kind", "gram"]).where((F.col("x") < F.col("y")) & (F.least("wx", "wy") >= least * F.greatest("wx", "wy")))
     # A surname's verdict costs no more than telling its pairs apart, so it comes first.
     px, py = F.col("px"), F.col("py")
     long = (F.length("x") >= SHORTEST) & (F.length("y") >= SHORTEST) & (F.abs(F.length(px) - F.length(py)) <= 2)
-    people = met.where((F.col("kind") == "p") & ((px == py) | (long & (_one_error(px, py) | _one_error(F.col("x"), F.col("y"))))))
+    people = met.where((F.col("kind") == "p") & ((px == py) | (long & (_one_error(px, py) | (((px != F.col("x")) | (py != F.col("y"))) & _one_error(F.col("x"), F.col("y")))))))
     return people.select("kind", "x", "y").distinct().unionByName(_similar_bodies(met.where("kind = 'o'").select("x", "y").distinct(), rarity))
 
 
