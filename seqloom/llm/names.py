@@ -4,7 +4,7 @@
    given name and initials. Titles, particles and short forms of given names are not listed anywhere: they are learned from how
    words stand in the spellings and which initials go with which given names under one surname.
 2. The distinct naming parts are sets of the 3-grams of their words, each gram weighing by its rarity over all of them. Two parts whose weighted
-   similarity reaches LEAST_SHARED share a gram among the rarest of either, namely of those without which the rest would not weigh
+   similarity reaches LEAST_SHARED share a gram (surnames: two) among the rarest of either, namely of those without which the rest would not weigh
    enough; only those prefixes are joined.
 3. What the join finds is verified: a surname may differ by one typing error; organisations by a soft similarity of their words, in which each counts by
    its rarity and may match by spelling, as an abbreviation, as letters of an acronym or with one typing error.
@@ -18,6 +18,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from itertools import combinations
 
 import pandas as pd
 import pyarrow as pa
@@ -30,6 +31,8 @@ from seqloom.session import cut_lineage, release
 Q = 3
 #: Naming parts are compared if so much of their weighted 3-grams is common.
 LEAST_SHARED = {"p": 0.25, "o": 0.2}
+#: Surnames must have two grams in common: pairs of grams are so much rarer that the join's size grows with the names, not with their square.
+TOGETHER = {"p": 2, "o": 1}
 #: How steeply a gram's weight rises with its rarity. Organisations share most of their words with others.
 STEEPNESS = {"p": 1, "o": 4}
 #: Grams in fewer naming parts than this all weigh the same: a typing error makes grams that are rare for no good reason.
@@ -210,15 +213,22 @@ class Rarity:
         return {w: min(MOST_WEIGHT, max(1.0, math.log(self.n.get(kind, 1) / rarest(w)))) * (1 - (optional or {}).get(w, 0.0)) for w in name.split()}
 
     def prefix(self, kind: str, name: str) -> tuple[list[str], float]:
-        """The rarest grams of a name, one of which is shared with every name that is similar enough, and the weight of all its grams."""
+        """Keys of a name's rarest grams, and the weight of all its grams. Every name that is similar enough shares a key.
+
+        What is left out weighs so little that names which share only that are not similar enough; where two grams must be shared, not even together
+        with the heaviest one.
+        """
         ranked = sorted(((self.gram(kind, g), self.df.get((kind, g), 0), g) for g in grams(name)), key=lambda x: (-x[0], x[1], x[2]))
         whole = rest = sum(w for w, _, _ in ranked)
+        enough = LEAST_SHARED[kind] * whole - (ranked[0][0] if ranked and TOGETHER[kind] > 1 else 0.0)
         out = []
         for w, _, g in ranked:
-            if rest < LEAST_SHARED[kind] * whole:
+            if rest < enough:
                 break
             out.append(g)
             rest -= w
+        if TOGETHER[kind] > 1 and len(out) > 1:
+            out = [f"{a} {b}" for a, b in combinations(sorted(out), 2)]
         return out, whole
 
 
