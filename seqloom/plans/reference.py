@@ -462,6 +462,13 @@ def fix_coding_sequences(spark, d):
     return coding(spark, d).withColumn("f", Y.fixed_cds(F.col("seq"), rows, finders)).select("id", "f.fixed", F.size("f.changes").alias("n_changes"), "f.error")
 
 
+@query(_CDS + f"select id, md5(array_to_string(list_transform(range(0, length(seq) // 3), lambda i: {_AA.format(STANDARD)}), '')) protein, length(seq)::integer n from s")
+def fixed_proteins(spark, d):
+    """What the fixed coding sequences say, which must be what they said before."""
+    fixed = fix_coding_sequences(spark, d)
+    return fixed.select("id", F.md5(S.translate_dna("fixed", genetic_code(1))).alias("protein"), F.length("fixed").alias("n"))
+
+
 @query(_CDS + "select id, cast((i - 1) // 3 as integer) codon_start, cast((i + 5) // 3 - 1 as integer) codon_end, site from s, unnest(range(1, length(seq) - 4)) u(i), (values ('GGTCTC'), ('GAGACC'), ('GAAGAC'), ('GTCTTC')) v(site) where substr(seq, cast(i as integer), 6) = site")
 def remove_sequence_suggestions(spark, d):
     """Codons that hold sites of two enzymes, on either strand."""
